@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, substring, suffix
+from . import bpe, packing, quality, records, simhash, substring, suffix, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), *tokens.default_paths(), with_ids=False).drop("ids")
+
+
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = records.record_round_trip(_documents(spark, sf_dir), *tokens.default_paths())
+    return back.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_substring": op5_substring,
+        "op6_packing": op6_packing,
         "op7_bpe": op7_bpe,
+        "op8_records": op8_records,
         "op10_suffix_array": op10_suffix_array,
     }
 
