@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, records, simhash, substring, suffix, tokens
+from . import bpe, media, packing, quality, records, simhash, substring, suffix, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.film_features(media.media_column(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_bpe": op7_bpe,
         "op8_records": op8_records,
+        "op9_media": op9_media,
         "op10_suffix_array": op10_suffix_array,
     }
 
