@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, records, simhash, substring, suffix, tokens
+from . import bpe, media, packing, pii, quality, records, simhash, substring, suffix, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,27 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.film_features(media.media_column(_documents(spark, sf_dir)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_documents(spark, sf_dir))
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.first, s.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE]
+    # Both arrays are by kind, then start; a stable sort by kind and start
+    # merges them.
+    place = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(pii.KINDS))
+    everything = F.expr(
+        f"transform(array_sort(transform(concat(base, added), s -> struct(CASE s.kind {place} END AS k, s.first AS a, s.end AS b, s AS span))), x -> x.span)"
+    )
+    return found.withColumn("spans", everything).select(
+        "doc_id",
+        *counts,
+        F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_substring": op5_substring,
