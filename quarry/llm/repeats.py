@@ -136,7 +136,7 @@ def _scan(spec: Windows, buckets: int):
         doc, version, spans = _by_doc(*(c[later] for c in cols[2:]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array((version % buckets).astype(np.int32)),
+                pa.array(((rolling.mix(doc.astype(np.uint64)) ^ version.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
                 pa.array(doc),
                 pa.array(version),
                 spans,
