@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 REMEMBER = 1_200_000
 _BESIDE = re.compile(r"\s | \s")
 _FAR = "\u0530"
+#: Signs that end many units; none of them takes part in a contraction.
+_SIGNS = "#*$%&!,.;:?|"
 
 
 def byte_letters() -> list[str]:
@@ -48,7 +50,7 @@ class UnitEncoder:
         self.split = regex.compile(pattern).findall
         self.letters = dict(enumerate(byte_letters()))
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.known = _Known(self)
+        self.known, self.bare = _Known(self, "Ġ"), _Known(self, "")
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -61,18 +63,27 @@ class UnitEncoder:
     def piece(self, shown: str) -> bytes:
         return b"".join([self.raw[t.id] for t in self.model.tokenize(shown)])
 
-    def unit(self, unit: str) -> bytes:
-        """Ids of a unit behind a space."""
-        if unit.isascii():
-            if unit.isalpha():
-                return self.piece("Ġ" + unit)
-            head, last = unit[:-1], unit[-1:]
-            if head.isalpha() and last in ",.":
-                return self.known[head] + self.piece(last)
-        elif max(unit) > _FAR:
-            return self.whole(" " + unit)
-        pieces = self.split(" " + unit)
-        return b"".join([self.piece(p.encode().decode("latin-1").translate(self.letters)) for p in pieces])
+    def _shown(self, text: str) -> str:
+        return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.letters)
+
+    def unit(self, unit: str, known: _Known) -> bytes:
+        """Ids of a unit behind a space or, for ``bare``, behind nothing."""
+        if not unit.isascii() and max(unit) > _FAR:
+            return self.whole(" " + unit if known.lead else unit)
+        if unit.isalpha():
+            return self.piece(known.lead + self._shown(unit))
+        if "\n" in unit:
+            # A line break between other characters is a piece of its own.
+            parts = unit.split("\n")
+            if parts == unit.split():
+                first, *rest = parts
+                line = self.piece("Ċ")
+                return b"".join([known[first], *(x for r in rest for x in (line, self.bare[r]))])
+        head = unit.rstrip(_SIGNS)
+        if head and head != unit and head.isalpha():
+            return known[head] + self.piece(unit[len(head) :])
+        pieces = self.split(" " + unit if known.lead else unit)
+        return b"".join([self.piece(self._shown(p)) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
@@ -81,20 +92,22 @@ class UnitEncoder:
                 out.append(self.whole(text) if text else b"")
                 continue
             first, *rest = text.split(" ")
-            out.append(self.whole(first) + b"".join(map(known.__getitem__, rest)))
+            out.append(self.bare[first] + b"".join(map(known.__getitem__, rest)))
             if len(known) > REMEMBER:
                 known.clear()
+            if len(self.bare) > REMEMBER // 4:
+                self.bare.clear()
         return out
 
 
 class _Known(dict):
     """Units and their ids; looks up what it has not met."""
 
-    def __init__(self, encoder: UnitEncoder):
-        self.encoder = encoder
+    def __init__(self, encoder: UnitEncoder, lead: str):
+        self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = self.encoder.unit(unit)
+        ids = self[unit] = self.encoder.unit(unit, self)
         return ids
 
 
