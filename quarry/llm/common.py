@@ -33,14 +33,35 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def doc_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and whole ``text`` (null: empty), nothing else."""
+def doc_rows(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id`` and whole ``text`` (null: empty), nothing else; with
+    ``carry`` the row as it came, in one struct ``_row``."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")] if carry else []),
     )
 
 
+def carried(df: DataFrame) -> tuple[str, str]:
+    """Name and DDL of the carried struct, for schemas; empty without one."""
+    if "_row" not in df.columns:
+        return "", ""
+    return "_row", f", _row {df.schema['_row'].dataType.simpleString()}"
+
+
+def with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows as they came, with a new text and, where there is one, a new
+    ``n_chars``."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def row_key() -> F.Column:
+    """A hash of id and text that tells rows apart; never null."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its ``n + 1`` offsets, from 0."""
     if isinstance(column, pa.ChunkedArray):

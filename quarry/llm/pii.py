@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .common import doc_rows, slices
+from .common import carried, doc_rows, slices, with_text
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret", "id"]
@@ -284,7 +284,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 SPAN = "struct<kind: string, first: long, end: long>"
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``base`` and ``added`` spans (code points, end
     exclusive, by kind as listed, then start), ``redacted`` text.
 
@@ -292,6 +292,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     equal spans.
     """
     model = judge()
+    rows = doc_rows(docs, carry)
+    row, row_schema = carried(rows)
+    whole_row = [row] if row else []
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
 
     def rows_of(spans: list) -> list[dict]:
@@ -308,8 +311,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
                         pa.array([rows_of(in_order(b)) for b, _ in found], kind),
                         pa.array([rows_of(in_order(m)) for _, m in found], kind),
                         pa.array([redact(t, b + m) for t, (b, m) in zip(texts, found, strict=True)], pa.string()),
+                        *(batch.column(c) for c in whole_row),
                     ],
-                    names=["doc_id", "base", "added", "redacted"],
+                    names=["doc_id", "base", "added", "redacted", *whole_row],
                 )
 
-    return doc_rows(docs).mapInArrow(run, f"doc_id long, base array<{SPAN}>, added array<{SPAN}>, redacted string")
+    return rows.mapInArrow(run, f"doc_id long, base array<{SPAN}>, added array<{SPAN}>, redacted string{row_schema}")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all spans in their texts replaced."""
+    return with_text(personal_data(docs, carry=True), docs, "redacted")

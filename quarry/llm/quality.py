@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, staged
+from .common import doc_rows, row_key, staged
 
 WINDOW = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -34,15 +34,16 @@ STOP_WORDS = [
 def features(docs: DataFrame) -> DataFrame:
     """Counts of every whole text: the base columns and what the rules need."""
     words = F.filter(F.split("text", SPACE), lambda w: w != F.lit(""))
-    d = doc_rows(docs).select("doc_id", "text", words.alias("_w"))
+    d = doc_rows(docs).select("doc_id", "text", words.alias("_w"), row_key().alias("key"))
     lines = F.expr(r"filter(split(text, '\n'), x -> length(trim(translate(x, '\t\u000b\f\r', '    '))) > 0)")
-    d = d.select("doc_id", "text", "_w", lines.alias("_l"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    d = d.select("doc_id", "key", "text", "_w", lines.alias("_l"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     windows = F.expr(
         f"CASE WHEN size(_h) < {WINDOW} THEN array() ELSE transform(sequence(0, size(_h) - {WINDOW}), "
         f"i -> xxhash64({', '.join(f'_h[i + {j}]' for j in range(WINDOW))})) END"
     )
     d = d.select(
         "doc_id",
+        "key",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -70,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
         f"'n', a.n + p + {WINDOW} - greatest(p, a.to), 'to', p + {WINDOW}), a -> a.n)"
     )
     return d.withColumn("n_repeat_words", F.coalesce(covered.cast("long"), F.lit(0).cast("long"))).select(
-        "doc_id", *FEATURES, *MORE
+        "doc_id", "key", *FEATURES, *MORE
     )
 
 
@@ -153,7 +154,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     votes = rules()
     table = staged(features(docs), "quality")
-    voted = table.select("doc_id", *FEATURES, *(v.alias(f"v_{k}") for k, v in votes.items()))
+    voted = table.select("doc_id", "key", *FEATURES, *(v.alias(f"v_{k}") for k, v in votes.items()))
     names = [f"v_{k}" for k in votes]
     counted = voted.groupBy(*names).count().collect()  # at most 3 ** rules rows
     patterns = sorted((tuple(r[x] for x in names), r["count"]) for r in counted)
@@ -164,5 +165,11 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     scored = voted.withColumn("posterior", 1 / (1 + F.exp(-lo))).withColumn("base_failed", base)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).select(
-        "doc_id", *FEATURES, "base_failed", "kept", "posterior", *names
+        "doc_id", *FEATURES, "base_failed", "kept", "posterior", *names, "key"
     )
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, that the rules keep."""
+    good = quality_rules(docs).where("kept").select(F.col("key").alias("_key"))
+    return docs.withColumn("_key", row_key()).join(good, "_key", "left_semi").drop("_key")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import LAST_ID, doc_rows, slices, staged, text_buffer
+from .common import LAST_ID, carried, doc_rows, slices, staged, text_buffer
 
 #: Text bytes scanned at a time, and runs a task gathers before it settles.
 SCAN = 2 << 20
@@ -292,7 +292,9 @@ def _indexed(spec: Windows, index: Index):
     return run
 
 
-def repeated_windows(docs: DataFrame, spec: Windows, index: Index, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(
+    docs: DataFrame, spec: Windows, index: Index, buckets: int | None = None, carry: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``(texts, spans)``: the documents with a ``version`` (a hash of their
     text, so that rows with one id stay apart), and by document the first
     windows and ends of stretches of windows that occurred earlier.
@@ -302,7 +304,8 @@ def repeated_windows(docs: DataFrame, spec: Windows, index: Index, buckets: int
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = doc_rows(docs).withColumn("version", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    version = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    texts = doc_rows(docs).withColumn("version", version)
     scanned = texts.mapInArrow(_scan(spec, buckets), "bucket int, doc_id long, version long, data binary")
     found = staged(scanned.groupBy("bucket").applyInArrow(_settle(spec), FOUND), "found")
     asks = found.where("kind = 1").groupBy("doc_id", "version").agg(F.collect_list("spans").alias("asks"))
@@ -317,7 +320,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, index: Index, buckets: int
         found.where("kind = 0").drop("kind").unionByName(matched)
         .groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
     )
-    return texts, spans
+    return doc_rows(docs, carry).withColumn("version", version), spans
 
 
 def covered(spans: list[bytes] | None, units: int, length: int) -> np.ndarray:
@@ -333,6 +336,8 @@ def covered(spans: list[bytes] | None, units: int, length: int) -> np.ndarray:
 def cut_out(texts: DataFrame, spans: DataFrame, cut: Callable[[str, list[bytes] | None], tuple], schema: str) -> DataFrame:
     """Join spans to texts and apply ``cut`` to each row."""
     names = [c.split()[0] for c in schema.split(",")]
+    row, row_schema = carried(texts)
+    whole_row = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -340,10 +345,11 @@ def cut_out(texts: DataFrame, spans: DataFrame, cut: Callable[[str, list[bytes]
                 rows = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
                 cols = list(zip(*rows, strict=True))
                 arrays = [pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
+                own = [batch.column("doc_id"), *arrays, *(batch.column(c) for c in whole_row)]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", *names, *whole_row])
 
     key = F.coalesce("doc_id", F.lit(LAST_ID))
     joined = texts.withColumn("_id", key).join(
         spans.select(F.col("doc_id").alias("_id"), "version", "spans"), ["_id", "version"], "left"
     )
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, {schema}")
+    return joined.select("doc_id", "text", "spans", *whole_row).mapInArrow(run, f"doc_id long, {schema}{row_schema}")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, slices, staged
+from .common import LAST_ID, doc_rows, row_key, slices, staged
 from .components import connected_components
 
 SHINGLE = 3
@@ -56,7 +56,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text", 4 << 20):
             found = [fingerprint(shingle_hashes(t.encode())) for t in batch.column("text").to_pylist()]
             signed = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), signed], names=["doc_id", "key", "fp"])
 
 
 class BkTree:
@@ -187,10 +187,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero.  Rows without an id take part
     and carry their group's smallest id, null if none has one.
     """
-    marks = staged(doc_rows(docs).mapInArrow(_marks, "doc_id long, fp long"), "marks")
-    fps = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(fps))
-    by_fp = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = by_fp.join(lowest, "root").select("fp", "component_id")
+    marks, member = _members(docs)
     return marks.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints; fingerprints with their component's
+    smallest id and the row (by id, then key) that stands for it."""
+    keyed = doc_rows(docs).withColumn("key", row_key())
+    marks = staged(keyed.mapInArrow(_marks, "doc_id long, key long, fp long"), "marks")
+    first = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")
+    fps = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(first).alias("first"))
+    roots = connected_components(fingerprint_links(fps))
+    by_fp = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first").alias("stays"))
+    return marks, by_fp.join(lowest, "root").select("fp", "component_id", "stays")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole: one of each component, that with the
+    smallest id (without ids, with the smallest hash); of equal rows, one."""
+    _, member = _members(docs)
+    stays = member.select(F.col("stays.key").alias("_key")).distinct()
+    kept = docs.withColumn("_key", row_key()).join(stays, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

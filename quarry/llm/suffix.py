@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import with_text
 from .repeats import Context, Windows, covered, cut_out, repeated_windows
 from .rindex import RunIndex, first_places
 
@@ -45,9 +46,10 @@ def seen_before(groups: list[list[Context]], spec: Windows) -> list[np.ndarray]:
     return out + (_part(held, spec) if held else [])
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, buckets: int | None = None, whole_rows: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``
-    (bytes: a cut may fall inside a character).
+    (bytes: a cut may fall inside a character; with ``whole_rows`` text without
+    the rests of such characters, and the row as it came in ``_row``).
 
     A byte goes if one of the strings of ``length`` bytes over it starts
     earlier as well: in a document with a smaller id, or further left in the
@@ -55,14 +57,21 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM
     other; rows without an id come last.  Null and empty texts have no bytes.
     """
     spec = Windows(length, gram, words=False, within=True)
-    texts, spans = repeated_windows(docs, spec, seen_before, buckets)
+    texts, spans = repeated_windows(docs, spec, seen_before, buckets, whole_rows)
 
     def cut(text: str, found: list[bytes] | None) -> tuple:
         raw = text.encode()
         if not found:
-            return len(raw), 0, 0, raw
+            return len(raw), 0, 0, text if whole_rows else raw
         gone = covered(found, len(raw), length)
         n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        return len(raw), int(gone.sum()), n_spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        return len(raw), int(gone.sum()), n_spans, kept.decode("utf-8", "ignore") if whole_rows else kept
 
-    return cut_out(texts, spans, cut, "n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = "string" if whole_rows else "binary"
+    return cut_out(texts, spans, cut, f"n_bytes long, n_removed long, n_spans long, kept {kind}")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated bytes removed from their texts."""
+    return with_text(remove_repeated_bytes(docs, whole_rows=True), docs, "kept")
