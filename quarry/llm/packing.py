@@ -38,10 +38,11 @@ class Bm25Shard:
         flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         of, flat = of[flat != ends], flat[flat != ends]
         n = max(1, len(docs))
-        keys = np.sort(flat * n + of)
+        bits = n.bit_length()
+        keys = np.sort(flat << bits | of)
         head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         times = np.diff(np.append(head, len(keys))).astype(np.float64)
-        term, self.doc = keys[head] // n, keys[head] % n
+        term, self.doc = keys[head] >> bits, keys[head] & ((1 << bits) - 1)
         self.n = len(docs)
         self.first = np.searchsorted(term, np.arange(int(flat.max(initial=0)) + 2))
         df = np.diff(self.first)
@@ -50,7 +51,9 @@ class Bm25Shard:
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
         # Of each document's terms that others have too, the weightiest ask.
         shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((term[shared], -self.weight[shared], self.doc[shared]))]
+        # Postings lie by term; a weight is far below 64, so one stable sort
+        # orders them by document, then weight, then term.
+        order = shared[np.argsort(self.doc[shared] * 64.0 - self.weight[shared], kind="stable")]
         self.ask_term = term[order]
         self.ask_first = np.searchsorted(self.doc[order], np.arange(n + 1))
 

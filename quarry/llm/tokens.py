@@ -12,7 +12,6 @@ go through the library's whole pipeline.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +21,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers (some 200 bytes each); then it starts afresh.
 REMEMBER = 1_200_000
-_BESIDE = re.compile(r"\s | \s")
 _FAR = "\u0530"
 #: Signs that end many units; none of them takes part in a contraction.
 _SIGNS = "#*$%&!,.;:?|"
@@ -68,6 +66,8 @@ class UnitEncoder:
 
     def unit(self, unit: str, known: _Known) -> bytes:
         """Ids of a unit behind a space or, for ``bare``, behind nothing."""
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise _Beside
         if not unit.isascii() and max(unit) > _FAR:
             return self.whole(" " + unit if known.lead else unit)
         if unit.isalpha():
@@ -88,11 +88,14 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for text in texts:
-            if not text or text[0] == " " or text[-1] == " " or _BESIDE.search(text):
+            # A line break that ends a text is a piece, too.
+            last = text[-1:] == "\n" and not text[-2:-1].isspace() and len(text) > 1
+            first, *rest = text[:-1].split(" ") if last else text.split(" ")
+            try:
+                ids = self.bare[first] + b"".join(map(known.__getitem__, rest))
+                out.append(ids + self.piece("Ċ") if last else ids)
+            except _Beside:
                 out.append(self.whole(text) if text else b"")
-                continue
-            first, *rest = text.split(" ")
-            out.append(self.bare[first] + b"".join(map(known.__getitem__, rest)))
             if len(known) > REMEMBER:
                 known.clear()
             if len(self.bare) > REMEMBER // 4:
@@ -100,6 +103,10 @@ class UnitEncoder:
         return out
 
 
+class _Beside(Exception):
+    """A space beside other white space: the text is no sequence of units."""
+
+
 class _Known(dict):
     """Units and their ids; looks up what it has not met."""
 
@@ -107,7 +114,12 @@ class _Known(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = self.encoder.unit(unit, self)
+        e = self.encoder
+        if unit.isascii() and unit.isalpha():
+            ids = b"".join([e.raw[t.id] for t in e.model.tokenize(self.lead + unit)])
+        else:
+            ids = e.unit(unit, self)
+        self[unit] = ids
         return ids
 
 
