@@ -29,8 +29,8 @@ from . import rolling
 from .common import LAST_ID, carried, doc_rows, slices, staged, text_buffer
 
 #: Text bytes scanned at a time, and runs a task gathers before it settles.
-SCAN = 2 << 20
-GATHER = 400_000
+SCAN = 512 << 10
+GATHER = 250_000
 
 RUN = [np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32]  # anchor, context, doc, version, start, count
 ASK = [np.uint64, np.int64, np.int64, np.uint32, np.uint32]  # anchor, doc, version, start, count

@@ -28,13 +28,14 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     have = width
     while True:
         sorted_key = key[order]
-        step = np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)))
-        dense = np.cumsum(step)
-        rank = np.empty(n, np.int64)
+        dense = np.zeros(n, np.int32)
+        np.cumsum(sorted_key[1:] != sorted_key[:-1], out=dense[1:])
+        del sorted_key
+        rank = np.empty(n, np.int32)
         rank[order] = dense
         if not n or dense[-1] == n - 1 or have >= depth + width:
             return order, rank
-        key = rank * (n + 1)
+        key = rank * np.int64(n + 1)
         if have < n:
             key[: n - have] += rank[have:] + 1
         order = np.argsort(key)
@@ -50,11 +51,11 @@ class RunIndex:
         raw = np.frombuffer(b"".join(parts), np.uint8)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         n = int(sizes.sum()) + m
-        text = np.empty(n, np.int64)
+        text = np.empty(n, np.int32)
         closes = self.starts + sizes
         inner = np.ones(n, bool)
         inner[closes] = False
-        text[inner] = raw.astype(np.int64) + m
+        text[inner] = raw.astype(np.int32) + m
         text[closes] = np.arange(m)
         order, _ = suffix_order(text, int(sizes.max(initial=0)) + 1)
         letters = text[order - 1]  # place 0 wraps to the last end mark

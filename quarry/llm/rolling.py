@@ -19,7 +19,7 @@ _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Elements scanned at a time; places must fit the low bits of a sort key.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _PLACE = np.uint64(24)
 
 
@@ -39,7 +39,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = (n + 0xFFFF) >> 16 << 16
             inverse = pow(int(_BASE), -1, 1 << 64)
             for name, base in (("up", int(_BASE)), ("down", inverse)):
                 seq = np.full(size, np.uint64(base))

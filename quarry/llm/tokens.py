@@ -20,7 +20,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers (some 200 bytes each); then it starts afresh.
-REMEMBER = 1_200_000
+REMEMBER = 800_000
 _FAR = "\u0530"
 #: Signs that end many units; none of them takes part in a contraction.
 _SIGNS = "#*$%&!,.;:?|"
