@@ -90,6 +90,51 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Windows by their words, found in a document with a smaller id.
+OP5_SQL = """
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), f AS (
+    SELECT h, min(doc_id) AS first_id FROM p GROUP BY h
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN f USING (h) WHERE first_id < doc_id
+), kept AS (
+    SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.k) AS body
+    FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w) x
+    LEFT JOIN g ON x.doc_id = g.doc_id AND x.k = g.k WHERE g.k IS NULL GROUP BY x.doc_id
+)
+SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+#: Windows of bytes as hexadecimal digits, two a byte.
+OP10_SQL = """
+WITH w AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), p AS (
+    SELECT doc_id, i, md5(substr(hx, 2 * i - 1, 200)) AS h
+    FROM (SELECT doc_id, hx, unnest(range(1, len(hx) // 2 - 98)) AS i FROM w WHERE len(hx) >= 200)
+), f AS (
+    SELECT h, min(doc_id * 1000000000 + i) AS first_at FROM p GROUP BY h
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS k FROM p JOIN f USING (h) WHERE first_at < doc_id * 1000000000 + i
+), s AS (
+    SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < k - 1) AS n_spans
+    FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM g) GROUP BY doc_id
+), kept AS (
+    SELECT x.doc_id, string_agg(x.b, '' ORDER BY x.k) AS body
+    FROM (SELECT doc_id, unnest(range(1, len(hx) // 2 + 1)) AS k, unnest(regexp_extract_all(hx, '..')) AS b FROM w) x
+    LEFT JOIN g ON x.doc_id = g.doc_id AND x.k = g.k WHERE g.k IS NULL GROUP BY x.doc_id
+)
+SELECT w.doc_id, len(w.hx) // 2 AS n_bytes, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept.body, ''))) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -106,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring": OP5_SQL, "op10_suffix_array": OP10_SQL}
