@@ -81,6 +81,16 @@ def normal_value(key: Column | str, value: Column | str) -> Column:
     )
 
 
+def parity_value(key: Column | str, value: Column | str) -> Column:
+    """The second rule set: amounts rounded half-even to two places, states by
+    code, all else trimmed in lower case."""
+    k, v = T.col(key), T.strip(value)
+    amount = k.rlike("shares|price|value|amount") & N.is_numeric_like(v)
+    rounded = N.canonical_number(F.bround(N.without_commas(v).try_cast("decimal(38,10)"), 2).cast("string"))
+    is_state = F.contains(k, F.lit("state")) & ~F.contains(k, F.lit("description"))
+    return F.when(amount, rounded).when(is_state, V.state_code(v)).otherwise(F.lower(v))
+
+
 def comparable(rows: DataFrame) -> DataFrame:
     """``(key, field, value)`` rows: references merged into sorted sets,
     missing values dropped, values and fields made canonical."""

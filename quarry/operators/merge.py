@@ -58,6 +58,16 @@ def changed(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return joined.where(~F.struct(*(source[c] for c in cols)).eqNullSafe(F.col("_t"))).select(*(source[c] for c in source.columns))
 
 
+def sync_counts(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """How many of the source's rows are new, changed, or as they were."""
+    cols = [c for c in source.columns if c != key]
+    t = target.select(F.col(key).alias("_k"), F.struct(*cols).alias("_t"))
+    joined = source.join(t, source[key] == t["_k"], "left")
+    same = F.struct(*(source[c] for c in cols)).eqNullSafe(F.col("_t"))
+    kind = F.when(F.col("_k").isNull(), "new").when(same, "unchanged").otherwise("updated")
+    return joined.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def update_where(target: DataFrame, keys: DataFrame, key: str, **values: object) -> DataFrame:
     """Set columns of the rows whose key is listed."""
     k = keys.select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))

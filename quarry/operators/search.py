@@ -115,6 +115,20 @@ def lsh_index(chunks: DataFrame, vector: str = "embedding", tables: int = 8, wid
     return model, frame
 
 
+def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``(key, cosine)`` of two texts' TF-IDF vectors; document frequencies
+    are those of all texts of both columns."""
+    sides = [pairs.select(F.col(key), F.lit(n).alias("side"), F.explode(T.tokens(F.lower(c))).alias("word")) for n, c in ((0, a), (1, b))]
+    tf = sides[0].unionByName(sides[1]).groupBy(key, "side", "word").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    texts = pairs.agg((2 * F.count("*")).alias("n"))  # one row
+    weight = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
+    weighted = tf.join(df, "word").crossJoin(F.broadcast(texts)).select(key, "side", "word", weight.alias("w"))
+    by_word = weighted.groupBy(key, "word").agg(*(F.sum(F.when(F.col("side") == n, F.col("w")).otherwise(0.0)).alias(c) for n, c in ((0, "x"), (1, "y"))))
+    total = lambda u, v: F.sum(F.col(u) * F.col(v))
+    return by_word.groupBy(key).agg(F.coalesce(F.try_divide(total("x", "y"), F.sqrt(total("x", "x") * total("y", "y"))), F.lit(0.0)).alias("cosine"))
+
+
 def prompt_context(chunks: DataFrame, form: str, date: str, content: str, order: str) -> DataFrame:
     """Retrieved chunks as one text: ``[form date]: content``, blank lines."""
     line = F.concat(F.lit("["), F.col(form), F.lit(" "), F.col(date).cast("string"), F.lit("]: "), F.col(content))

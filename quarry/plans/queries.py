@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunking, dedup, evaluation, joins, merge, relation, search
+from ..operators import chunking, dedup, evaluation, joins, merge, nested, relation, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Query] = {}
@@ -632,6 +632,107 @@ def eva_flatten_match(spark, sf_dir):
     return rows.where("field = 'turns_text'").groupBy("field").agg(F.count("*").alias("n"))
 
 
+# Nested records and batch reports ----------------------------------------------------------
+
+
+@query("SELECT o_orderkey, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_shipdate, l_quantity, l_partkey), '') AS parts, coalesce(string_agg(CASE WHEN n <= 2 THEN CAST(l_partkey AS VARCHAR) END, ',' ORDER BY l_shipdate, l_quantity, l_partkey), '') AS first_two FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_quantity, l_partkey) AS n FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def srt_canonical_lists(spark, sf_dir):
+    kids = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    rows = joins.nested(table(spark, sf_dir, "orders").select("o_orderkey"), kids, "o_orderkey", "l_orderkey", ["l_partkey"])
+    listed = rows.select("o_orderkey", nested.sorted_list("children", "l_shipdate", "l_quantity", "l_partkey").alias("c"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.l_partkey.cast("string")), ",")
+    return listed.select("o_orderkey", ids(F.col("c")).alias("parts"), ids(nested.first_items("c", 2)).alias("first_two"))
+
+
+@query("SELECT 'lines' AS list, count(*) FILTER (n > 0) AS records, CAST(sum(n) AS BIGINT) AS items FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)")
+def agg_list_support(spark, sf_dir):
+    kids = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    rows = joins.nested(table(spark, sf_dir, "orders").select("o_orderkey"), kids, "o_orderkey", "l_orderkey", ["l_partkey"], "lines")
+    return nested.list_support(rows, "o_orderkey", ["lines"])
+
+
+@query("SELECT event_type, count(*) FILTER (value >= 10) AS succeeded, count(*) FILTER (NOT value >= 10) AS failed FROM events GROUP BY event_type")
+def agg_tallies(spark, sf_dir):
+    return nested.tallies(table(spark, sf_dir, "events"), F.col("value") >= 10, "event_type")
+
+
+@query("SELECT folder, string_agg(page_id || ':' || kb, ',' ORDER BY page_id) AS files FROM (SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS folder, length(html) // 1024 AS kb FROM pages) GROUP BY folder")
+def agg_group_files(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "/[^/]*$", "").alias("folder"), F.floor(F.length("html") / 1024).alias("kb"))
+    files = F.array_sort(F.collect_list(F.struct("page_id", "kb")))
+    return pages.groupBy("folder").agg(F.array_join(F.transform(files, lambda f: F.concat_ws(":", f.page_id, f.kb)), ",").alias("files"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 ELSE 1 END, turn) - 1 AS chunk_index FROM conversations")
+def win_chunk_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("rank", F.when(F.col("role") == "system", 0).otherwise(1))
+    return dedup.numbered(rows, ["conv_id"], ["rank", "turn"], "chunk_index", 0).select("conv_id", "turn", "chunk_index")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Item 1A' WHEN 1 THEN CASE WHEN o_orderstatus = 'F' THEN 'Item 7' ELSE 'Item 2' END ELSE CASE WHEN o_orderstatus = 'F' THEN 'Item 3' ELSE 'Item 1' END END AS item FROM orders")
+def prj_section_key(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    kind = F.when(k == 0, "risk").when(k == 1, "mda").otherwise("legal")
+    form = F.when(F.col("o_orderstatus") == "F", "10-K/A").otherwise("10-Q")
+    return table(spark, sf_dir, "orders").select("o_orderkey", nested.section_key(kind, form).alias("item"))
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 1 THEN 'new' ELSE 'updated' END AS outcome, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+def dml_sync_counts(spark, sf_dir):
+    target, source = _halves(spark, sf_dir)
+    return merge.sync_counts(target, source, "c_custkey")
+
+
+@query("SELECT page_id, true AS is_error, false AS is_processed, 'poison' AS reason FROM pages WHERE contains(html, 'track(1')")
+def dml_error_rows(spark, sf_dir):
+    bad = table(spark, sf_dir, "pages").where(F.contains("html", F.lit("track(1")))
+    return nested.error_rows(bad, "page_id", "poison")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a-' || n_regionkey ELSE '' END AS notes FROM nation")
+def join_note_lookup(spark, sf_dir):
+    table_of = F.create_map(F.lit("1"), F.concat(F.lit("a-"), F.col("n_regionkey").cast("string")))
+    ids = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("1"), F.lit("9"))).otherwise(F.array(F.lit("9")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(joins.looked_up(ids, table_of), "; ").alias("notes"))
+
+
+@query("SELECT string_agg('[' || role || ' ' || turn || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE conv_id = 0")
+def rag_context(spark, sf_dir):
+    return search.prompt_context(table(spark, sf_dir, "conversations").where("conv_id = 0"), "role", "turn", "text", "turn")
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') AS price, lower(p_type) AS kind FROM part")
+def eva_parity_values(spark, sf_dir):
+    price = F.col("p_retailprice").cast("decimal(18,4)").cast("string")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", evaluation.parity_value(F.lit("price"), price).alias("price"), evaluation.parity_value(F.lit("title"), "p_type").alias("kind")
+    )
+
+
+WORDS = "unnest(list_filter(regexp_split_to_array(lower({}), '[ \t\r\n]+'), lambda x: x <> '')) AS word"
+
+
+@query(f"WITH pairs AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id = b.item_id), tf AS (SELECT doc_id, side, word, count(*) AS tf FROM (SELECT doc_id, 0 AS side, {WORDS.format('a')} FROM pairs UNION ALL SELECT doc_id, 1, {WORDS.format('b')} FROM pairs) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), w AS (SELECT doc_id, word, sum(CASE WHEN side = 0 THEN tf * ln((2 * (SELECT count(*) FROM pairs) + 1) / (df + 1)) ELSE 0 END) AS x, sum(CASE WHEN side = 1 THEN tf * ln((2 * (SELECT count(*) FROM pairs) + 1) / (df + 1)) ELSE 0 END) AS y FROM tf JOIN df USING (word) GROUP BY doc_id, word) SELECT doc_id, round(coalesce(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 0), 6) AS cosine FROM w GROUP BY doc_id")
+def vec_tfidf_cosine(spark, sf_dir):
+    pairs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other"), F.expr("doc_id = item_id"))
+    return search.tfidf_cosine(pairs, "doc_id", "text", "other").select("doc_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def vec_ann_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    model, frame = search.lsh_index(rows)
+    return model.approxSimilarityJoin(frame, frame.where("vec_id % 50 = 0"), 0.9, "distance").select(
+        F.col("datasetB.vec_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance")
+    )
+
+
+@query()
+def fn_metadata_markdown(spark, sf_dir):
+    record = F.to_json(F.struct(F.struct("user_id", "event_type").alias("event-data"), "value"))
+    return table(spark, sf_dir, "events").select("event_id", nested.metadata_markdown(record).alias("markdown"))
+
+
 # Extensions: windows over the event table ---------------------------------------------------
 
 
