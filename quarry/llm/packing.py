@@ -50,10 +50,11 @@ class Bm25Shard:
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
         # Of each document's terms that others have too, the weightiest ask.
+        # Document, weight (all below 64) and place share one sortable number.
         shared = np.flatnonzero(df[term] > 1)
-        # Postings lie by term; a weight is far below 64, so one stable sort
-        # orders them by document, then weight, then term.
-        order = shared[np.argsort(self.doc[shared] * 64.0 - self.weight[shared], kind="stable")]
+        place = max(1, len(term).bit_length())
+        rank = ((64.0 - self.weight[shared]) * (1 << 13)).astype(np.int64)
+        order = np.sort((self.doc[shared] << 19 | rank) << place | shared) & ((1 << place) - 1)
         self.ask_term = term[order]
         self.ask_first = np.searchsorted(self.doc[order], np.arange(n + 1))
 
