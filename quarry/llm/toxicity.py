@@ -282,14 +282,18 @@ def fit(bags: list[tuple[bytes, int]]) -> Model:
     # four letters, by the number of texts of either class that have them.
     word, four, _ = next(subsequences(row, edges))
     by_word = np.searchsorted(word, np.arange(n + 1))
-    size = np.diff(by_word)[of]
-    owner = np.repeat(bag, size)
-    grams = four[np.repeat(by_word[of], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    pairs = np.unique(owner * np.int64(SIZE) + grams)
-    owner, grams = pairs // SIZE, pairs % SIZE
-    use = ~aside[owner]
-    hits = np.bincount(grams[use & toxic[owner]], minlength=SIZE)
-    misses = np.bincount(grams[use & ~toxic[owner]], minlength=SIZE)
+    hits, misses = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+    first_word = np.concatenate(([0], np.cumsum(counts)))
+    for i in range(0, len(bags), 200):
+        # Some texts at a time: which runs of letters each of them has.
+        k = np.arange(first_word[i], first_word[min(i + 200, len(bags))])
+        size = np.diff(by_word)[of[k]]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pairs = np.unique(np.repeat(bag[k], size) * np.int64(SIZE) + four[np.repeat(by_word[of[k]], size) + inner])
+        owner, grams = pairs // SIZE, pairs % SIZE
+        use = ~aside[owner]
+        hits += np.bincount(grams[use & toxic[owner]], minlength=SIZE)
+        misses += np.bincount(grams[use & ~toxic[owner]], minlength=SIZE)
     telling = _telling(hits, misses, int((toxic & ~aside).sum()), int((~toxic & ~aside).sum()))
     score = np.full(n, -np.inf)
     lesser = telling[four].copy()
