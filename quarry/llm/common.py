@@ -30,7 +30,19 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark, path = df.sparkSession, spark_path(df.sparkSession, df._staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spark_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def doc_rows(docs: DataFrame, carry: bool = False) -> DataFrame:
