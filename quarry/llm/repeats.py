@@ -8,7 +8,10 @@
    first run of each asks for its content.
 3. Index: the contents of one anchor build an index (a suffix automaton or a
    run-length index, by the caller) that says which windows came before.
-4. The spans of all three meet the texts once more and are cut out.
+4. Where an anchor has very many contexts (the edges of a passage that very
+   many documents share), its windows are settled one by one instead, by two
+   hashes of their content, in buckets of their own.
+5. The spans of all these meet the texts once more and are cut out.
 
 Hash values have 64 bits; a bucket holds one part in ``buckets`` of the runs,
 and a passage shared by any number of documents is one row per task.
@@ -45,6 +48,8 @@ class Windows:
     words: bool
     #: Whether an earlier start in the same document counts as earlier.
     within: bool
+    #: Contexts of one anchor that share an index at most.
+    most: int
 
 
 #: A context: document, first window, content.
@@ -129,33 +134,37 @@ def _elements(batch: pa.RecordBatch, spec: Windows):
     return rolling.word_elements(raw, starts, ends), first
 
 
-def _scan(spec: Windows, buckets: int):
-    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cols, later, _ = _later(cols, spec.within)
-        doc, version, spans = _by_doc(*(c[later] for c in cols[2:]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(((rolling.mix(doc.astype(np.uint64)) ^ version.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
-                pa.array(doc),
-                pa.array(version),
-                spans,
-            ],
-            names=["bucket", "doc_id", "version", "data"],
-        )
-        cols = [c[~later] for c in cols]
-        bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cols, bucket = [c[order] for c in cols], bucket[order]
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-        ends = np.append(at[1:], len(bucket)) if len(at) else []
-        data = [_pack([c[a:b] for c in cols], RUN) for a, b in zip(at, ends, strict=True)]
-        none = pa.nulls(len(data), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[at] if len(data) else [], pa.int32()), none, none, pa.array(data, pa.binary())],
-            names=["bucket", "doc_id", "version", "data"],
-        )
+def _flush(held: list[list[np.ndarray]], spec: Windows, buckets: int) -> Iterator[pa.RecordBatch]:
+    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+    cols, later, _ = _later(cols, spec.within)
+    doc, version, spans = _by_doc(*(c[later] for c in cols[2:]))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(((rolling.mix(doc.astype(np.uint64)) ^ version.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
+            pa.array(doc),
+            pa.array(version),
+            spans,
+        ],
+        names=["bucket", "doc_id", "version", "data"],
+    )
+    cols = [c[~later] for c in cols]
+    bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cols, bucket = [c[order] for c in cols], bucket[order]
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    ends = np.append(at[1:], len(bucket)) if len(at) else []
+    data = [_pack([c[a:b] for c in cols], RUN) for a, b in zip(at, ends, strict=True)]
+    none = pa.nulls(len(data), pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(bucket[at] if len(data) else [], pa.int32()), none, none, pa.array(data, pa.binary())],
+        names=["bucket", "doc_id", "version", "data"],
+    )
+
+
+BUCKETED = "bucket int, doc_id long, version long, data binary"
+
 
+def _scan(spec: Windows, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in batches:
@@ -167,10 +176,10 @@ def _scan(spec: Windows, buckets: int):
                     held.append([r.anchor, r.context, doc[r.row], version[r.row], r.start.astype(np.uint32), r.count.astype(np.uint32)])
                     n += len(r.row)
                 if n >= GATHER:
-                    yield from flush(held)
+                    yield from _flush(held, spec, buckets)
                     held, n = [], 0
         if held:
-            yield from flush(held)
+            yield from _flush(held, spec, buckets)
 
     return run
 
@@ -186,12 +195,22 @@ def _settle(spec: Windows):
         if held:
             cols, later, head = _later([np.concatenate(c) for c in zip(*held, strict=True)], spec.within)
             out.append(_found(0, *_by_doc(*(c[later] for c in cols[2:]))))
-            out.append(_found(1, *_asks(cols, later, head, spec)))
+            few = _few(cols[0], head, spec.most)
+            out.append(_found(1, *_asks(cols, later | ~few, head, spec)))
+            out.append(_found(2, *_asks(cols, later | few, head, spec)))
         return pa.Table.from_batches(out)
 
     return run
 
 
+def _few(anchor: np.ndarray, head: np.ndarray, most: int) -> np.ndarray:
+    """Whether each run's anchor has at most so many contexts."""
+    if not len(anchor):
+        return np.zeros(0, bool)
+    group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
+    return (np.bincount(group, weights=head) <= most)[group]
+
+
 def _asks(cols, later, head, spec: Windows):
     """First runs of contexts whose anchor has others: per document, packed."""
     anchor, context, doc, version, start, count = cols
@@ -214,11 +233,18 @@ def _asks(cols, later, head, spec: Windows):
     return doc[at], version[at], pa.array(data, pa.binary())
 
 
+def _asked(lists: pa.ListScalar) -> list[np.ndarray] | None:
+    packs = [_unpack(p.as_buffer(), ASK)[0] for p in lists.values] if lists.is_valid and len(lists.values) else []
+    return [np.concatenate(c) for c in zip(*packs, strict=True)] if packs else None
+
+
 def _contents(spec: Windows, buckets: int):
-    """Texts with their asks: contexts packed by bucket of their anchor."""
+    """Texts with their asks.  Contexts are packed by bucket of their anchor;
+    windows asked for one by one become runs of their own, whose anchor and
+    context are two hashes of their content, in buckets behind the others."""
     unit = 8 if spec.words else 1
 
-    def flush(held) -> pa.RecordBatch:
+    def pack(held) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)]
         body = [x for h in held for x in h[1]]
         bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
@@ -230,35 +256,62 @@ def _contents(spec: Windows, buckets: int):
             _pack([c[a:b] for c in cols], ASK) + b"".join(body[i] for i in order[a:b].tolist())
             for a, b in zip(at, ends, strict=True)
         ]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(data, pa.binary())], names=["bucket", "data"])
+        none = pa.nulls(len(data), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), none, none, pa.array(data, pa.binary())], names=["bucket", "doc_id", "version", "data"])
+
+    def singles(held) -> Iterator[pa.RecordBatch]:
+        for batch in _flush(held, spec, buckets):
+            behind = pa.array(batch.column("bucket").to_numpy(zero_copy_only=False) + np.int32(buckets), pa.int32())
+            yield batch.set_column(0, "bucket", behind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        whole_held, size, held, n = [], 0, [], 0
         for whole in batches:
             for batch in slices(whole, "text", SCAN):
                 elements, off = _elements(batch, spec) if spec.words else text_buffer(batch.column("text"))
-                for i, asks in enumerate(batch.column("asks")):
-                    packs = [_unpack(p.as_buffer(), ASK)[0] for p in asks.values]
-                    cols = [np.concatenate(c) for c in zip(*packs, strict=True)]
-                    a = cols[3].astype(np.int64) + off[i]
-                    b = a + cols[4] - 1 + spec.length
-                    body = [elements[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    held.append((cols, body))
-                    size += int((b - a).sum()) * unit
+                sums = None
+                for i in range(batch.num_rows):
+                    few, many = _asked(batch.column("few")[i]), _asked(batch.column("many")[i])
+                    if few is not None:
+                        a = few[3].astype(np.int64) + off[i]
+                        b = a + few[4] - 1 + spec.length
+                        whole_held.append((few, [elements[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
+                        size += int((b - a).sum()) * unit
+                    if many is not None:
+                        if sums is None:
+                            own = elements if spec.words else rolling.byte_elements(elements)
+                            sums = rolling.Sums(own), rolling.Sums(rolling.mix(own))
+                        _, doc, version, start, count = many
+                        count = count.astype(np.int64)
+                        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        at = np.repeat(start.astype(np.int64), count) + inner
+                        a = at + off[i]
+                        hashes = [s.of(a, a + spec.length) for s in sums]
+                        held.append([*hashes, np.repeat(doc, count), np.repeat(version, count), at.astype(np.uint32), np.ones(len(at), np.uint32)])
+                        n += len(at)
                     if size >= 8 << 20:
-                        yield flush(held)
-                        held, size = [], 0
+                        yield pack(whole_held)
+                        whole_held, size = [], 0
+                    if n >= GATHER:
+                        yield from singles(held)
+                        held, n = [], 0
+        if whole_held:
+            yield pack(whole_held)
         if held:
-            yield flush(held)
+            yield from singles(held)
 
     return run
 
 
-def _indexed(spec: Windows, index: Index):
-    """One bucket of contents, anchor by anchor."""
+def _indexed(spec: Windows, index: Index, buckets: int):
+    """One bucket of contents, anchor by anchor; or of single windows."""
     unit = 8 if spec.words else 1
+    settle = _settle(spec)
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:
+            done = settle(table)
+            return done.filter(pc.equal(done.column("kind"), 0)).select(["doc_id", "version", "spans"])
         cols, bodies = [], []
         for p in table.column("data"):
             raw = p.as_buffer()
@@ -306,18 +359,16 @@ def repeated_windows(
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     version = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     texts = doc_rows(docs).withColumn("version", version)
-    scanned = texts.mapInArrow(_scan(spec, buckets), "bucket int, doc_id long, version long, data binary")
+    scanned = texts.mapInArrow(_scan(spec, buckets), BUCKETED)
     found = staged(scanned.groupBy("bucket").applyInArrow(_settle(spec), FOUND), "found")
-    asks = found.where("kind = 1").groupBy("doc_id", "version").agg(F.collect_list("spans").alias("asks"))
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((1, "few"), (2, "many"))]
+    asks = found.where("kind > 0").groupBy("doc_id", "version").agg(*lists)
     keyed = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    contents = (
-        keyed.join(asks, ["doc_id", "version"])
-        .select("text", "asks")
-        .mapInArrow(_contents(spec, buckets), "bucket int, data binary")
-    )
-    matched = staged(contents.groupBy("bucket").applyInArrow(_indexed(spec, index), SPANS), "matched")
+    contents = keyed.join(asks, ["doc_id", "version"]).select("text", "few", "many").mapInArrow(_contents(spec, buckets), BUCKETED)
+    matched = staged(contents.groupBy("bucket").applyInArrow(_indexed(spec, index, buckets), SPANS), "matched")
+    settled = found.where("kind = 0").drop("kind").unionByName(matched)
     spans = (
-        found.where("kind = 0").drop("kind").unionByName(matched)
+        settled
         .groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
     )
     return doc_rows(docs, carry).withColumn("version", version), spans

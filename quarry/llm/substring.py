@@ -18,6 +18,8 @@ from .repeats import Context, Windows, covered, cut_out, repeated_windows
 
 WORDS = 50
 GRAM = 10
+#: Contexts in one automaton at most; beyond, windows are settled one by one.
+MOST = 2_000
 
 
 def seen_before(groups: list[list[Context]], spec: Windows) -> list[np.ndarray]:
@@ -45,7 +47,7 @@ def remove_repeated_words(docs: DataFrame, words: int = WORDS, gram: int = GRAM,
     document for this; rows without an id come last.  Null and empty texts
     have no words.  Texts are judged as they came in.
     """
-    spec = Windows(words, gram, words=True, within=False)
+    spec = Windows(words, gram, words=True, within=False, most=MOST)
     texts, spans = repeated_windows(docs, spec, seen_before, buckets)
 
     def cut(text: str, found: list[bytes] | None) -> tuple:

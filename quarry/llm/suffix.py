@@ -11,6 +11,9 @@ from .rindex import RunIndex, first_places
 
 BYTES = 100
 GRAM = 24
+#: Contexts of one anchor in an index at most; beyond, windows are settled
+#: one by one.
+MOST = 8_000
 #: Bytes of contexts indexed together; an anchor's contexts stay together.
 PART = 1 << 20
 
@@ -56,7 +59,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM
     same one.  Rows that share an id and a start are not earlier than each
     other; rows without an id come last.  Null and empty texts have no bytes.
     """
-    spec = Windows(length, gram, words=False, within=True)
+    spec = Windows(length, gram, words=False, within=True, most=MOST)
     texts, spans = repeated_windows(docs, spec, seen_before, buckets, whole_rows)
 
     def cut(text: str, found: list[bytes] | None) -> tuple:

@@ -62,8 +62,9 @@ def fixture(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(1, 2000), (2, 3)])
+def test_words(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(substring, "MOST", most)
     rows = fixture(seed)
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, spans string, version int")
     got = substring.remove_repeated_words(df.repartition(3), words=9, gram=3, buckets=5).collect()
@@ -72,8 +73,9 @@ def test_words(spark, seed):
     assert substring.remove_repeated_words(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_bytes(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "most"), [(3, 8000), (4, 3)])
+def test_bytes(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST", most)
     rows = fixture(seed)
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, spans string, version int")
     got = suffix.remove_repeated_bytes(df.repartition(3), length=20, gram=6, buckets=5).collect()
