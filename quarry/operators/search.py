@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_udf
@@ -115,6 +115,74 @@ def lsh_index(chunks: DataFrame, vector: str = "embedding", tables: int = 8, wid
     return model, frame
 
 
+#: Rows and queries that meet in one task at most, and row blocks at least.
+ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 32_768, 4_096, 32
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """The exact k nearest rows of each query, itself (by key) left out:
+    ``(query_id, key, rank, similarity or distance)``; ties go to the smaller
+    key.
+
+    Blocks of rows meet blocks of queries, so no task holds more than one
+    block of either; each pair's k best meet by query.  Rows without a vector
+    are neither found nor ask.
+    """
+    cos = metric == "cosine"
+    out = "similarity" if cos else "distance"
+
+    def side(df: DataFrame, asks: bool, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+        known = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+        others = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
+        dealt = known.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks)).cast("int")).withColumn(other, others)
+        return dealt.select("qb", "rb", F.lit(asks).alias("asks"), "id", "v")
+
+    n_rows = max(LEAST_BLOCKS, -(-rows.count() // ROW_BLOCK))
+    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    met = side(rows, False, "rb", n_rows, "qb", n_queries).unionByName(side(queries, True, "qb", n_queries, "rb", n_rows))
+
+    def run(block):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def take(asks: bool):
+            part = block.filter(pc.equal(block["asks"], asks))
+            lists = part["v"].combine_chunks()
+            ids, size = part["id"].to_numpy(), len(part)
+            flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+            v = flat.reshape(size, -1) if size else np.zeros((0, 0))
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                v = v / np.sqrt((v * v).sum(1))[:, None] if cos else v
+            fine = np.isfinite(v).all(1)
+            return ids[fine], np.ascontiguousarray(v[fine])
+
+        (ids, v), (asking, w) = take(False), take(True)
+        got = ([], [], [])
+        square = (v * v).sum(1)
+        for i in range(0, len(asking) if len(ids) else 0, 256):
+            # Near values by one product, those in question exactly.
+            about = square - 2 * (w[i : i + 256] @ v.T)
+            for q, x, near in zip(asking[i : i + 256], w[i : i + 256], about, strict=True):
+                near[ids == q] = np.inf
+                last = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
+                at = np.flatnonzero((near <= last + 1e-9 * (1 + abs(last) if np.isfinite(last) else 0)) & (near < np.inf))
+                cost = -(v[at] * x).sum(1) if cos else np.sqrt(((v[at] - x) ** 2).sum(1))
+                best = np.argsort(cost, kind="stable")[:k]
+                got[0].append(np.full(len(best), q))
+                got[1].append(ids[at[best]])
+                got[2].append(cost[best])
+        cols = [np.concatenate(g) if g else np.zeros(0) for g in got]
+        return pa.table({"query_id": pa.array(cols[0]).cast(block["id"].type), key: pa.array(cols[1]).cast(block["id"].type), "cost": pa.array(cols[2], pa.float64())})
+
+    kind = met.schema["id"].dataType.simpleString()
+    found = met.groupBy("qb", "rb").applyInArrow(run, f"query_id {kind}, {key} {kind}, cost double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", key))).where(F.col("rank") <= k)
+    return ranked.select("query_id", key, "rank", (-F.col("cost") if cos else F.col("cost")).alias(out))
+
+
 def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """``(key, cosine)`` of two texts' TF-IDF vectors; document frequencies
     are those of all texts of both columns."""

@@ -561,6 +561,23 @@ def vec_topk_filtered(spark, sf_dir):
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+EACH = "SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0{})) WHERE n <= {}"
+
+
+@query(EACH.format("", 10))
+def vec_topk_each(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = search.nearest(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id")
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(EACH.format(" AND e.label IN (1, 2)", 5))
+def vec_topk_filtered_each(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = search.nearest(rows.where(F.col("label").isin(1, 2)), rows.where("vec_id % 50 = 0"), 5, key="vec_id")
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vec_pairwise_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -721,10 +738,8 @@ def vec_tfidf_cosine(spark, sf_dir):
 @query()
 def vec_ann_index(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    model, frame = search.lsh_index(rows)
-    return model.approxSimilarityJoin(frame, frame.where("vec_id % 50 = 0"), 0.9, "distance").select(
-        F.col("datasetB.vec_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance")
-    )
+    found = search.nearest(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id", metric="euclid")
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query()
