@@ -1,8 +1,10 @@
 """Retrieval packing: sequences filled with lexical neighbours of a seed.
 
-Documents form shards of bounded size where they lie.  A shard has a BM25
-inverted index over token ids; the next unused document is the seed of a
-window, its most telling terms ask the index for unused neighbours, and these
+Documents are routed to shards by their words, wherever they lie in the corpus:
+a tree of centroids of weighted token vectors, fitted on a bounded sample, has a
+leaf for about each shard, and a leaf's documents meet in one task.  A shard has
+a BM25 inverted index over token ids; the next unused document is the seed of a
+window, all its terms ask the index for unused neighbours, and these
 fill the window best first.  The document that crosses the window's end is cut
 and its rest seeds the next window, so only a shard's last window is not full;
 that one is padded to a power of two only.
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import doc_rows, slices
 from .tokens import UnitEncoder
@@ -24,8 +27,10 @@ from .tokens import UnitEncoder
 LENGTH = 2048
 #: Ids a shard holds before it is packed (a longer document is a shard).
 SHARD = 2 << 20
-#: Terms of a seed that ask the index.
-TERMS = 8
+#: Documents the routing tree is fitted on, about, and its fan-out.
+SAMPLE, FAN = 8192, 8
+#: Places of a routing vector; token ids are dealt to them by a hash.
+PLACES = 4096
 K1, B = 1.2, 0.75
 
 
@@ -49,27 +54,51 @@ class Bm25Shard:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
-        # Of each document's terms that others have too, the weightiest ask.
-        # Document, weight (all below 64) and place share one sortable number.
+        # Terms of many documents have a dense row of weights, the others
+        # are added by posting; terms of one document find nobody else.
+        many = np.flatnonzero(df > max(16, n >> 3))
+        self.row = np.full(len(df), -1)
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), n), np.float32)
+        heavy = self.row[term] >= 0
+        self.dense[self.row[term[heavy]], self.doc[heavy]] = self.weight[heavy]
+        self.held = np.arange(n)
         shared = np.flatnonzero(df[term] > 1)
-        place = max(1, len(term).bit_length())
-        rank = ((64.0 - self.weight[shared]) * (1 << 13)).astype(np.int64)
-        order = np.sort((self.doc[shared] << 19 | rank) << place | shared) & ((1 << place) - 1)
-        self.ask_term = term[order]
-        self.ask_first = np.searchsorted(self.doc[order], np.arange(n + 1))
-
-    def neighbours(self, doc: int, unused: np.ndarray, terms: int = TERMS) -> np.ndarray:
-        """Unused documents that share a telling term, best first."""
-        a = self.ask_first[doc]
-        asks = self.ask_term[a : min(a + terms, self.ask_first[doc + 1])].tolist()
-        if not asks:
-            return np.zeros(0, np.int64)
+        shared = shared[np.argsort(self.doc[shared], kind="stable")]
+        self.ask_term = term[shared]
+        self.ask_first = np.searchsorted(self.doc[shared], np.arange(n + 1))
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Let go of used documents' dense weights once they are over half."""
+        if 2 * np.count_nonzero(unused) < len(self.held):
+            keep = unused[self.held]
+            self.dense, self.held = np.ascontiguousarray(self.dense[:, keep]), self.held[keep]
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document (of those not let go) for all terms of one."""
+        asks = self.ask_term[self.ask_first[doc] : self.ask_first[doc + 1]]
+        row = self.row[asks]
+        heavy = np.zeros(len(self.dense), np.float32)
+        heavy[row[row >= 0]] = 1
         score = np.zeros(self.n)
-        for t in asks:
-            at = slice(self.first[t], self.first[t + 1])
-            score[self.doc[at]] += self.weight[at]
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score[self.held] = heavy @ self.dense
+        rare = asks[row < 0]
+        for a, b in zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True):
+            score[self.doc[a:b]] += self.weight[a:b]
+        return score
+
+    def best(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term, best first, one at a time."""
+        score = np.where(unused, self.scores(doc), 0.0)
+        while self.n:
+            at = int(score.argmax())
+            if score[at] <= 0:
+                return
+            score[at] = 0
+            yield at
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        return np.array(list(self.best(doc, unused)), np.int64)
 
 
 def pack_shard(docs: list[np.ndarray], ends: int, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -100,7 +129,8 @@ def pack_shard(docs: list[np.ndarray], ends: int, length: int = LENGTH) -> list[
         seed = pieces[-1][0] if fill else lowest
         if not fill:
             place(seed)
-        for doc in index.neighbours(seed, unused).tolist():
+        index.shrink(unused)
+        for doc in index.best(seed, unused):
             if place(doc):
                 break
         else:
@@ -111,6 +141,111 @@ def pack_shard(docs: list[np.ndarray], ends: int, length: int = LENGTH) -> list[
                 place(lowest)
 
 
+_PLACE = ((np.arange(1 << 17, dtype=np.int64) * 2654435761 >> 12) % PLACES).astype(np.int32)
+
+
+def places_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of each distinct place of some documents' ids."""
+    flat = np.frombuffer(b"".join(raw), "<u4")
+    at = np.repeat(np.arange(len(raw)) * PLACES, [len(r) // 4 for r in raw])
+    has = np.zeros(len(raw) * PLACES, bool)
+    has[at + _PLACE[flat & 0x1FFFF]] = True
+    keys = np.flatnonzero(has)
+    return keys // PLACES, keys % PLACES
+
+
+class Router:
+    """A tree of centroids; its leaves are numbered, and a leaf that no
+    centroids divide (copies) has several numbers, dealt by row."""
+
+    def __init__(self, sample: list[np.ndarray], sizes: np.ndarray, target: float):
+        n = len(sample)
+        doc = np.repeat(np.arange(n), [len(p) for p in sample])
+        place = np.concatenate(sample).astype(np.int64) if n else np.zeros(0, np.int64)
+        df = np.bincount(place, minlength=PLACES)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.nodes: list[tuple[np.ndarray, list[int]]] = []
+        self.leaves: list[tuple[int, int]] = []
+        self.shards, self.fill = 0, 0.0
+        x = np.zeros((n, PLACES), np.float32)
+        x[doc, place] = self.idf[place]
+        x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+        self.root = self._grow(x, np.arange(n), sizes, target, np.random.default_rng(5))
+
+    def _leaf(self, share: float) -> int:
+        # Small leaves that follow each other, siblings first, share a shard.
+        copies = max(1, int(np.ceil(share)))
+        if self.shards and self.fill + share <= 1:
+            self.leaves.append((self.shards - 1, 1))
+            self.fill += share
+        else:
+            self.leaves.append((self.shards, copies))
+            self.shards, self.fill = self.shards + copies, share if copies == 1 else 1.0
+        return -len(self.leaves)
+
+    def _grow(self, x: np.ndarray, own: np.ndarray, sizes: np.ndarray, target: float, rng) -> int:
+        share = sizes[own].sum() / target
+        if share <= 1 or len(own) < 2:
+            return self._leaf(share)
+        k = int(min(FAN, max(2, np.ceil(share)), len(own)))
+        part = x[own]
+        mid = part[rng.choice(len(own), k, replace=False)]
+        for _ in range(8):
+            of = (part @ mid.T).argmax(1)
+            for j in range(k):
+                if (of == j).any():
+                    m = part[of == j].sum(0)
+                    mid[j] = m / max(np.sqrt((m * m).sum()), 1e-9)
+        of = (part @ mid.T).argmax(1)
+        kept = np.unique(of)
+        if len(kept) < 2:
+            return self._leaf(share)
+        at = len(self.nodes)
+        self.nodes.append((np.ascontiguousarray(mid[kept].T), []))
+        self.nodes[at][1].extend([self._grow(x, own[of == j], sizes, target, rng) for j in kept])
+        return at
+
+    def route(self, doc: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The shard of each of ``len(rows)`` documents."""
+        n = len(rows)
+        first = np.searchsorted(doc, np.arange(n + 1))
+        out, todo = np.zeros(n, np.int64), [(self.root, np.arange(n))]
+        while todo:
+            node, own = todo.pop()
+            if node < 0:
+                start, copies = self.leaves[-node - 1]
+                out[own] = start + rows[own] % copies
+                continue
+            mid, children = self.nodes[node]
+            best = np.zeros(len(own), np.int64)
+            for i, d in enumerate(own.tolist()):
+                p = place[first[d] : first[d + 1]]
+                best[i] = (self.idf[p] @ mid[p]).argmax()
+            todo += [(c, own[best == j]) for j, c in enumerate(children) if (best == j).any()]
+        return out
+
+
+def router(docs: DataFrame, vocabulary: str, pattern: str) -> Router:
+    """A router for a table, from the places of about ``SAMPLE`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = UnitEncoder.load(vocabulary, pattern)
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                ids = encoder.encode(batch.column("text").to_pylist())
+                doc, place = places_of(ids)
+                first = np.searchsorted(doc, np.arange(len(ids) + 1))
+                cols = [[len(d) // 4 + 1 for d in ids], [place[a:b].astype("<u2").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["size", "places"])
+
+    count = docs.count()
+    some = doc_rows(docs)
+    some = some.sample(SAMPLE / count, seed=3) if count > SAMPLE else some
+    found = sorted((bytes(r.places), r.size) for r in some.mapInArrow(run, "size long, places binary").collect())
+    sizes = np.array([n for _, n in found], float)
+    return Router([np.frombuffer(p, "<u2") for p, _ in found], sizes, SHARD * max(1, len(found)) / max(1, count))
+
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, padded long, ids binary"
@@ -122,14 +257,31 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
 
     ``start`` and ``length`` place the piece in its document's ids (end id
     included), ``sequence_id`` and ``offset`` in its sequence; ``padded`` is
-    the sequence's size after padding.  A map over rows: no shuffle; a task
-    holds one shard.  A null or empty text is the end id alone; rows that share
+    the sequence's size after padding.  Ids are shuffled once, to their shard; a
+    task holds one shard at a time, and a leaf of the router that holds more than
+    a shard is cut.  A null or empty text is the end id alone; rows that share
     an id are packed each; an empty table has no pieces.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    routes = router(docs, vocabulary, pattern)
+    shared = docs.sparkSession.sparkContext.broadcast(routes)
+    # A number for each shard that the shuffle deals to a partition of its own.
+    n = max(1, routes.shards)
+    dealt_to = F.pmod(F.hash("id"), F.lit(n)).alias("p")
+    own = {r.p: r.id for r in docs.sparkSession.range(40 * n).groupBy(dealt_to).agg(F.min("id").alias("id")).collect()}
+    number = np.array([own.get(i, 40 * n + i) for i in range(n)], np.int64)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.load(vocabulary, pattern)
         end = np.array([end_id], "<u4").tobytes()
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                raw = encoder.encode(batch.column("text").to_pylist())
+                rows = np.array([zlib.crc32(str(i).encode()) for i in batch.column("doc_id").to_pylist()], np.int64)
+                shard = shared.value.route(*places_of(raw), rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number[shard]), pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "shard", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
 
         def flush(names: list, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -153,17 +305,19 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
             base += last + 1
             return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        names, ids, held = [], [], 0
-        for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                    names.append(doc_id)
-                    ids.append(np.frombuffer(raw + end, "<u4"))
-                    held += len(ids[-1])
-                    if held >= SHARD:
-                        yield flush(names, ids)
-                        names, ids, held = [], [], 0
+        names, ids, held, last = [], [], 0, None
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids"))
+            for doc_id, shard, raw in zip(*columns, strict=True):
+                if ids and (shard != last or held >= SHARD):
+                    yield flush(names, ids)
+                    names, ids, held = [], [], 0
+                names.append(doc_id)
+                ids.append(np.frombuffer(raw, "<u4"))
+                held, last = held + len(ids[-1]), shard
         if ids:
             yield flush(names, ids)
 
-    return doc_rows(docs).mapInArrow(run, SCHEMA)
+    encoded = doc_rows(docs).mapInArrow(encode, "doc_id long, shard long, ids binary")
+    dealt = encoded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
+    return dealt.mapInArrow(run, SCHEMA)
