@@ -96,15 +96,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: High-recall generators: kind and pattern; the span is group 1.
+#: A written-out address from its "at" on.
+_AT = re.compile(r" ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?(?i:dot) ?[\])}]) ?[A-Za-z0-9-]++)++")
+_EDGE = re.compile(r"\b")
+
+
+def _written(text: str) -> list[tuple[int, int]]:
+    """Written-out addresses: the local part is the run of characters before
+    the "at", from its first word edge, as far left as the match before allows."""
+    out, free = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        edge = _EDGE.search(text, start)
+        if edge and edge.start() < m.start():
+            out.append((edge.start(), m.end()))
+            free = m.end()
+    return out
+
+
+#: High-recall generators beside it: kind and pattern; the span is group 1.
+#: No run is cut: what is proposed is whole, however long.
 GENERATORS = [
-    ("email", re.compile(r"\b([A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?i:dot) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,4})")),
     ("phone", re.compile(r"(?<![\w.+])((?:\(\d{2,5}\)[ -]?|\d{2,5}[ -./])\d{2,5}(?:[ ./-]\d{2,5}){0,4})(?![\w.]\d|\w)", re.ASCII)),
     ("card", re.compile(r"(?<![\w.])(\d{4}[ .-]\d{4,6}[ .-]\d{4,5}(?:[ .-]\d{1,4})?)(?!\w)", re.ASCII)),
     ("id", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])", re.ASCII)),
     ("id", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b", re.ASCII)),
-    ("secret", re.compile(r"(?i:passw(?:or)?d|passwd|secret|token|api[_-]?key|access[_-]?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"']{6,200})")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])([A-Za-z0-9_/+-]{16,200})(?![A-Za-z0-9_/+-])")),
+    ("secret", re.compile(r"(?i:passw(?:or)?d|passwd|secret|token|api[_-]?key|access[_-]?key|key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"']{6,}+)")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])([A-Za-z0-9_/+-]{16,}+)")),
 ]
 _KEYED = [
     re.compile(p)
@@ -122,7 +142,7 @@ N_FEATURES = 26
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    out = [("email", a, b) for a, b in _written(text)]
     for kind, pattern in GENERATORS:
         out += [(kind, *m.span(1)) for m in pattern.finditer(text)]
     return list(dict.fromkeys(out))
