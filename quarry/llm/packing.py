@@ -41,15 +41,17 @@ class Bm25Shard:
         sizes = np.array([len(d) for d in docs], np.int64)
         of = np.repeat(np.arange(len(docs)), sizes)
         flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        of, flat = of[flat != ends], flat[flat != ends]
         n = max(1, len(docs))
         bits = n.bit_length()
-        keys = np.sort(flat << bits | of)
+        top = int(flat.max(initial=0))
+        keys = (flat << bits | of)[flat != ends]
+        del of, flat
+        keys.sort()
         head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         times = np.diff(np.append(head, len(keys))).astype(np.float64)
         term, self.doc = keys[head] >> bits, keys[head] & ((1 << bits) - 1)
         self.n = len(docs)
-        self.first = np.searchsorted(term, np.arange(int(flat.max(initial=0)) + 2))
+        self.first = np.searchsorted(term, np.arange(top + 2))
         df = np.diff(self.first)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
@@ -306,7 +308,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
             return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         names, ids, held, last = [], [], 0, None
-        for batch in batches:
+        for batch in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids"))
             for doc_id, shard, raw in zip(*columns, strict=True):
                 if ids and (shard != last or held >= SHARD):
