@@ -197,9 +197,11 @@ def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return by_word.groupBy(key).agg(F.coalesce(F.try_divide(total("x", "y"), F.sqrt(total("x", "x") * total("y", "y"))), F.lit(0.0)).alias("cosine"))
 
 
-def prompt_context(chunks: DataFrame, form: str, date: str, content: str, order: str) -> DataFrame:
-    """Retrieved chunks as one text: ``[form date]: content``, blank lines."""
+def prompt_context(chunks: DataFrame, form: str, date: str, content: str, order: str, by: list[str] | None = None) -> DataFrame:
+    """Retrieved chunks as one text, or one per group of ``by``:
+    ``[form date]: content``, blank lines."""
     line = F.concat(F.lit("["), F.col(form), F.lit(" "), F.col(date).cast("string"), F.lit("]: "), F.col(content))
-    rows = chunks.select(F.struct(F.col(order).alias("o"), line.alias("t")).alias("r"))
+    keys = by or []
+    rows = chunks.select(*keys, F.struct(F.col(order).alias("o"), line.alias("t")).alias("r"))
     ordered = F.array_sort(F.collect_list("r"))
-    return rows.agg(F.array_join(F.transform(ordered, lambda r: r.t), "\n\n").alias("context"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r.t), "\n\n").alias("context"))

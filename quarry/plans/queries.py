@@ -718,6 +718,11 @@ def rag_context(spark, sf_dir):
     return search.prompt_context(table(spark, sf_dir, "conversations").where("conv_id = 0"), "role", "turn", "text", "turn")
 
 
+@query("SELECT conv_id, string_agg('[' || role || ' ' || turn || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+def rag_context_each(spark, sf_dir):
+    return search.prompt_context(table(spark, sf_dir, "conversations"), "role", "turn", "text", "turn", by=["conv_id"])
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') AS price, lower(p_type) AS kind FROM part")
 def eva_parity_values(spark, sf_dir):
     price = F.col("p_retailprice").cast("decimal(18,4)").cast("string")
