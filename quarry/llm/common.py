@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,43 @@ LAST_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh
-    local one where that setting is absent (tests, single machine)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset, a session whose tasks all run in this process gets a
+    temporary folder; on a cluster it is an error, as executors would each
+    write to a disk of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scratch: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, unless ``kept``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            release(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A staged table that outlives the ``scratch`` it was staged in."""
+    for inside in _scratch:
+        inside[:] = [d for d in inside if d is not df]
+    return df
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage with
     files that outlive any executor."""
@@ -32,6 +61,8 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -70,8 +101,23 @@ def with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def row_key() -> F.Column:
-    """A hash of id and text that tells rows apart; never null."""
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    """A hash of the text that, beside the id, tells rows apart; never null."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the row's ``key`` and the row as it came, in a struct ``row``
+    (whatever its columns are called)."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        row_key().alias("key"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+
+
+def same_row(a: str, b: str) -> F.Column:
+    """Whether two aliased tables' ``doc_id`` (null like null) and ``key`` agree."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,26 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+#: Nodes of more edges than the rest that are looked up by broadcast at most.
+HUBS = 50_000
+#: Edges a node has at least to be one of them.
+LEAST_HUB = 64
+
+
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` with the ``m`` that ``least`` (``a``, ``m``, ``n``) has for ``a``.
+
+    A node of more than ``edges / HUBS`` edges is a hub, so there are at most
+    ``HUBS`` hubs, whatever the input: 16 bytes each, which are broadcast, and
+    a hub's edges stay where they lie.  The others meet by shuffle, no key of
+    theirs above that many rows.
+    """
+    limit = max(LEAST_HUB, edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))
+    others = rows.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
+    return rows.join(hubs, "a").unionByName(others)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` long pairs in, ``(node, root)`` out, for every node that has
     an edge to another; ``root`` is the smallest node reachable.
@@ -29,10 +49,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both, least, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, now = now, staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         release(old)
         after = _signature(now)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, row_key, staged
+from .common import doc_rows, keyed_rows, row_key, same_row, staged
 
 WINDOW = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -35,7 +35,7 @@ def features(docs: DataFrame) -> DataFrame:
     """Counts of every whole text: the base columns and what the rules need."""
     words = F.filter(F.split("text", SPACE), lambda w: w != F.lit(""))
     d = doc_rows(docs).select("doc_id", "text", words.alias("_w"), row_key().alias("key"))
-    lines = F.expr(r"filter(split(text, '\n'), x -> length(trim(translate(x, '\t\u000b\f\r', '    '))) > 0)")
+    lines = F.expr(r"filter(split(text, '\n'), x -> length(trim(translate(x, '\t\u000b\u000c\r', '    '))) > 0)")
     d = d.select("doc_id", "key", "text", "_w", lines.alias("_l"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     windows = F.expr(
         f"CASE WHEN size(_h) < {WINDOW} THEN array() ELSE transform(sequence(0, size(_h) - {WINDOW}), "
@@ -170,6 +170,10 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, that the rules keep."""
-    good = quality_rules(docs).where("kept").select(F.col("key").alias("_key"))
-    return docs.withColumn("_key", row_key()).join(good, "_key", "left_semi").drop("_key")
+    """The rows of ``docs``, whole, with all their columns, that the rules keep.
+
+    Rows equal in id and text share a verdict and all stay or go; null and
+    empty texts go; an empty table stays empty.
+    """
+    good = quality_rules(docs).where("kept").select("doc_id", "key")
+    return keyed_rows(docs).alias("d").join(good.alias("g"), same_row("d", "g"), "left_semi").select("d.row.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, doc_rows, row_key, slices, staged
+from .common import doc_rows, keyed_rows, row_key, same_row, slices, staged
 from .components import connected_components
 
 SHINGLE = 3
@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest id reachable over fingerprint links.
     Null and empty texts have fingerprint zero.  Rows without an id take part
-    and carry their group's smallest id, null if none has one.
+    and carry their group's smallest id, null if none has one.  Repeated rows
+    each give a row; texts of any length are hashed whole, some shingles at a
+    time; extra columns are ignored; an empty table gives an empty result.
     """
     marks, member = _members(docs)
     return marks.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -193,10 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints; fingerprints with their component's
-    smallest id and the row (by id, then key) that stands for it."""
+    smallest id and the row (by id, null last, then key) that stands for it."""
     keyed = doc_rows(docs).withColumn("key", row_key())
     marks = staged(keyed.mapInArrow(_marks, "doc_id long, key long, fp long"), "marks")
-    first = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")
     fps = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(first).alias("first"))
     roots = connected_components(fingerprint_links(fps))
     by_fp = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", "first", F.coalesce("root", "fp").alias("root"))
@@ -206,8 +208,11 @@ def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole: one of each component, that with the
-    smallest id (without ids, with the smallest hash); of equal rows, one."""
+    smallest id (without ids, with the smallest hash of its text).  Of rows
+    equal in id and text the first by their other columns, written as JSON,
+    stays, so that every run keeps the same row."""
     _, member = _members(docs)
-    stays = member.select(F.col("stays.key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", row_key()).join(stays, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    stays = member.select(F.col("stays.id").alias("doc_id"), F.col("stays.key").alias("key")).distinct()
+    found = keyed_rows(docs).alias("d").join(stays.alias("s"), same_row("d", "s"), "left_semi")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"row.`{c}`") for c in docs.columns if c != "text")))
+    return found.groupBy("doc_id", "key").agg(F.min_by("row", others).alias("row")).select("row.*")

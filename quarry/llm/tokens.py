@@ -6,7 +6,8 @@ sequence of its space-separated units, and equal units have equal ids.  A unit
 not met before is split by the pattern and each new piece goes through the
 library's model.  Texts with spaces beside other white space, and units with
 characters above U+0530 (where Unicode versions of pattern engines differ),
-go through the library's whole pipeline.
+go through the library's whole pipeline, as do texts that hold an added token of
+the vocabulary: the library gives that token's own id.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes for one token wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
@@ -88,6 +90,9 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for text in texts:
+            if any(a in text for a in self.added):
+                out.append(self.whole(text))
+                continue
             # A line break that ends a text is a piece, too.
             last = text[-1:] == "\n" and not text[-2:-1].isspace() and len(text) > 1
             first, *rest = text[:-1].split(" ") if last else text.split(" ")

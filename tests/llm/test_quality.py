@@ -21,8 +21,9 @@ def brute(text):
 
 def test_counts(spark):
     rng = random.Random(3)
-    texts = [None, "", " \n\t", "a\n\n a\na\x0b\na", "x#|<> é$", "one two " * 30, "w " * 7, "w " * 8, "w " * 9, "\x1c\x85\xa0 x"]
+    texts = [None, "", " \n\t", "a\n\n a\na\x0b\na", "x#|<> é$", "one two " * 30, "w " * 7, "w " * 8, "w " * 9, "\x1c\x85\xa0 x", "f\nf\nff\nff\nabc", "\f\n\f\nabc", "f f\nf f", "\v\n\v\f \r\n\t", "fv\nfv\ntr\ntr"]
     texts += [" ".join(rng.choices(["a", "b", "c\n", "\n", "é#"], k=rng.randint(0, 80))) for _ in range(60)]
+    texts += ["".join(rng.choices("ftrvn \f\t\r\v\n\n", k=rng.randint(0, 60))) for _ in range(80)]
     df = spark.createDataFrame([(i, t, "k", 5) for i, t in enumerate(texts)] + [(None, "a", "k", 1)], "doc_id long, text string, key string, n_words int")
     got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
     for i, t in enumerate(texts):
@@ -53,3 +54,11 @@ def test_plain_text_stays(spark):
     df = spark.createDataFrame(list(enumerate(plain + junk)), "doc_id long, text string")
     kept = {r.doc_id for r in quality.quality_rules(df).where("kept").collect()}
     assert set(range(100)) <= kept and len(kept) <= 102
+
+
+def test_good_documents_keep_every_column(spark):
+    text = "the of and to in is that house man water long way with nothing else but plain words in it for this test of rows"
+    df = spark.createDataFrame([(1, text, 4, "x"), (1, text, 5, "y"), (2, "short", 6, None), (None, text, 7, None)], "doc_id long, text string, _key int, row string")
+    got = quality.good_documents(df)
+    assert got.columns == df.columns
+    assert sorted((r[2], r[3] or "") for r in got.collect()) == [(4, "x"), (5, "y"), (7, "")]

@@ -69,3 +69,26 @@ def test_tree_finds_what_a_scan_finds():
     simhash.BkTree(v, at).search(v, at, 2, found)
     pairs = {(int(i), node) for near, node in found for i in near}
     assert pairs == {(i, j) for i in range(300) for j in range(300) if (int(v[i]) ^ int(v[j])).bit_count() <= 2}
+
+
+def test_hubs_are_met_by_broadcast(spark, monkeypatch):
+    from quarry.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HUB", 3)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 40)] + [(100, 40 + i) for i in range(30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(45)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    top = {n: n for e in edges for n in e}
+    for _ in range(100):
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    assert all(top[n] == r for n, r in got.items()) and {n for n, t in top.items() if n != t} <= set(got)
+
+
+def test_one_of_each_keeps_columns_and_the_same_row(spark):
+    rows = [(1, "a b c", "z", 3), (1, "a b c", "y", 4), (2, "other words here now", "x", 5), (None, None, "w", 6), (None, "", "v", 7), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, `row.key` int")
+    for parts in (1, 4):
+        got = simhash.one_of_each(df.repartition(parts))
+        assert got.columns == df.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[2], rows[4]], df.schema).collect()))

@@ -7,11 +7,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quarry.llm import packing, records, tokens
 
 PATHS = tokens.default_paths()
 ENCODER = tokens.UnitEncoder.load(*PATHS)
+#: The library as it comes, with nothing set.
+LIBRARY = Tokenizer.from_file(PATHS[0])
 HARD = ["a", "b", " ", " ", "é", "1", "'s", "\n", "\t", ".", ",", "中", "　", "\xa0", "🙂", "ll", "\x1c", "<|endoftext|>", "Ġ"]
 
 
@@ -19,11 +22,18 @@ HARD = ["a", "b", " ", " ", "é", "1", "'s", "\n", "\t", ".", ",", "中", "　",
 @given(st.lists(st.sampled_from(HARD), max_size=30))
 def test_units_equal_the_library(parts):
     text = "".join(parts)
-    want = ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == want
 
 
-ROWS = [(5, "hello there, world"), (1, None), (9, ""), (3, "x" * 5000), (3, "again"), (None, "no id"), (2, "é 中 " * 300)]
+def test_added_tokens_have_their_own_ids():
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>\n", "<|endoftext|><|endoftext|> x", "<|endoftext| >"]:
+        want = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == want
+    assert 50256 in LIBRARY.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+ROWS = [(4, "a <|endoftext|> b"), (5, "hello there, world"), (1, None), (9, ""), (3, "x" * 5000), (3, "again"), (None, "no id"), (2, "é 中 " * 300)]
 
 
 def _frame(spark):
@@ -34,7 +44,7 @@ def _frame(spark):
 
 
 def _ids(text, end):
-    return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_records(spark):
