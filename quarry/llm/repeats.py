@@ -1,20 +1,24 @@
 """Distributed search for repeated windows, shared by both span removers.
 
-1. Scan: every text is cut into runs of windows (see ``rolling``).  A task
-   settles what it can itself: of runs with equal anchor and context only the
-   first by document order can be new, so it alone goes on.
-2. Settle: runs meet by anchor hash in buckets; again all but the first of
-   equal contexts are repeats.  Where one anchor has several contexts, the
-   first run of each asks for its content.
-3. Index: the contents of one anchor build an index (a suffix automaton or a
-   run-length index, by the caller) that says which windows came before.
-4. Where an anchor has very many contexts (the edges of a passage that very
-   many documents share), its windows are settled one by one instead, by two
-   hashes of their content, in buckets of their own.
-5. The spans of all these meet the texts once more and are cut out.
-
-Hash values have 64 bits; a bucket holds one part in ``buckets`` of the runs,
-and a passage shared by any number of documents is one row per task.
+Documents lie in blocks (by a hash of id and text), windows meet in buckets (by
+a hash of their anchor, see ``rolling``).  Anchors only bring windows together;
+whether windows are equal is decided on their contents, by an index.
+
+1. Scan: every text is cut into runs of windows with one anchor.  Buckets tell
+   which anchors occur more than once, and answer the blocks that have them.
+2. Contexts: each block reads its texts again and cuts out the contents of the
+   runs with such anchors, each distinct content once, with the places it has
+   in the block.
+3. Index: a bucket's contents are the reference shards.  An index of each shard
+   (a suffix automaton or a run-length index, by the caller) is built, the same
+   contents stream through it, and its matching statistics say where each window
+   occurs first.  The answer goes to the blocks, by content.
+4. Cut: a block puts answers, places and texts together.
+
+A content that any number of documents share is one row a block, and its places
+never leave the block.  Where one anchor has very many contexts (the edges of a
+passage that very many documents share), its windows are contents of their own,
+in buckets by their content; such anchors are a list of bounded size.
 """
 
 from __future__ import annotations
@@ -29,14 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import LAST_ID, carried, doc_rows, slices, staged, text_buffer
+from .common import carried, doc_rows, slices, staged, text_buffer
 
-#: Text bytes scanned at a time, and runs a task gathers before it settles.
+#: Text bytes scanned at a time, runs a task gathers before it sends them, and
+#: bytes and places of contents a block gathers.
 SCAN = 512 << 10
 GATHER = 250_000
-
-RUN = [np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32]  # anchor, context, doc, version, start, count
-ASK = [np.uint64, np.int64, np.int64, np.uint32, np.uint32]  # anchor, doc, version, start, count
+BODIES = 8 << 20
+#: Bytes of input a block has, about.
+BLOCK = 16 << 20
+#: Contexts of one anchor a task reports at a time at most (to be counted), and
+#: anchors that are split in all at most.
+REPORT = 512
+SPLIT = 1 << 16
+
+SEEN = [np.uint64, np.uint16, np.int32]  # anchor, context, block (-1: answered)
+HOT = [np.uint64, np.uint32]  # anchor, contexts
+CONTENT = [np.uint64, np.int32, np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.uint8, np.uint32]
+# ... anchor, block, content, whether without id, doc, start, windows, more than one place, bytes
+PLACE = [np.uint32, np.uint8, np.int64, np.int64, np.uint32]  # content, whether without id, doc, version, start
+FIRST = [np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.int64]  # content, from, to, whether without id, doc, start
+ANSWERED = -1
 
 
 @dataclass(frozen=True)
@@ -48,15 +65,27 @@ class Windows:
     words: bool
     #: Whether an earlier start in the same document counts as earlier.
     within: bool
-    #: Contexts of one anchor that share an index at most.
+    #: Contexts beyond which an anchor's windows are contents of their own.
     most: int
 
 
-#: A context: document, first window, content.
-Context = tuple[int, int, bytes]
-#: Takes groups of contexts with one anchor, each group in document order;
-#: gives for all contexts, for each of their windows, whether it came before.
-Index = Callable[[list[list[Context]], Windows], list[np.ndarray]]
+@dataclass
+class Shard:
+    """Distinct contents in document order: bodies, and where each occurs
+    first (whether without id, document, first window)."""
+
+    bodies: list[bytes]
+    none: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bodies)
+
+
+#: Takes a shard; gives for each content, for each of its windows, the content
+#: and the place in it where that window occurs first.
+Index = Callable[[Shard, Windows], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def _pack(cols: list[np.ndarray], kinds: list) -> bytes:
@@ -78,52 +107,45 @@ def _unpack(data: bytes, kinds: list) -> tuple[list[np.ndarray], int]:
     return out, at
 
 
-def _later(cols: list[np.ndarray], within: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sort runs; mark those that repeat an earlier run whole, and, of the
-    rest, the first of each context."""
-    anchor, context, doc, version, start, count = cols
-    order = np.lexsort((version, start, doc, context, anchor))
-    cols = [c[order] for c in cols]
-    anchor, context, doc, version, start, count = cols
-    if not len(anchor):
-        return cols, np.zeros(0, bool), np.zeros(0, bool)
-    head = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])))
-    at = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = doc > doc[at]
-    if within:
-        later |= (doc == doc[at]) & (start > start[at])
-    return cols, later, head
-
-
-def _by_doc(doc: np.ndarray, version: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple:
-    """One binary of merged (first window, end) pairs per document."""
-    order = np.lexsort((start, version, doc))
-    doc, version, a = doc[order], version[order], start[order].astype(np.int64)
-    b = a + count[order].astype(np.int64)
-    if len(doc):
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (a[1:] > b[:-1])))
-        at = np.flatnonzero(new)
-        b = np.maximum.reduceat(b, at)
-        doc, version, a = doc[at], version[at], a[at]
-        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))))
-    else:
-        head = np.zeros(0, np.int64)
-    pairs = np.stack([a, b], 1).astype("<u4")
-    offsets = np.append(head, len(doc)).astype(np.int32) * 8
-    spans = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
-    return doc[head], version[head], spans
+def _unpacked(packs: list, kinds: list) -> list[np.ndarray]:
+    held = [_unpack(p, kinds)[0] for p in packs]
+    return [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, k) for k in kinds]
+
 
+def _heads(*cols: np.ndarray) -> np.ndarray:
+    """Where a new group of equal values begins, in sorted columns."""
+    if not len(cols[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(cols[0]), bool)
+    new[0] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-SPANS = "doc_id long, version long, spans binary"
-FOUND = f"kind byte, {SPANS}"
 
+def _cut_by(key: np.ndarray, cols: list[np.ndarray], kinds: list, bodies: list[bytes] | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """One pack for each value of a key."""
+    order = np.argsort(key, kind="stable")
+    key, cols = key[order], [c[order] for c in cols]
+    at = _heads(key)
+    ends = np.append(at[1:], len(key)) if len(at) else at
+    packs = [_pack([c[a:b] for c in cols], kinds) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+    if bodies is not None:
+        packs = [p + b"".join([bodies[i] for i in order[a:b].tolist()]) for p, a, b in zip(packs, at.tolist(), ends.tolist(), strict=True)]
+    return key[at], packs
 
-def _found(kind: int, doc, version, data: pa.Array) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(doc), pa.array(version), data],
-        names=["kind", "doc_id", "version", "spans"],
-    )
+
+def _rows(names: str, *cols) -> pa.RecordBatch:
+    """A batch by the names and kinds of a schema string."""
+    kinds = {"int": pa.int32(), "byte": pa.int8(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows have no id, and the ids (0 without)."""
+    ids = batch.column("doc_id")
+    return ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def _elements(batch: pa.RecordBatch, spec: Windows):
@@ -134,34 +156,39 @@ def _elements(batch: pa.RecordBatch, spec: Windows):
     return rolling.word_elements(raw, starts, ends), first
 
 
-def _flush(held: list[list[np.ndarray]], spec: Windows, buckets: int) -> Iterator[pa.RecordBatch]:
-    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-    cols, later, _ = _later(cols, spec.within)
-    doc, version, spans = _by_doc(*(c[later] for c in cols[2:]))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(((rolling.mix(doc.astype(np.uint64)) ^ version.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
-            pa.array(doc),
-            pa.array(version),
-            spans,
-        ],
-        names=["bucket", "doc_id", "version", "data"],
-    )
-    cols = [c[~later] for c in cols]
-    bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cols, bucket = [c[order] for c in cols], bucket[order]
-    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-    ends = np.append(at[1:], len(bucket)) if len(at) else []
-    data = [_pack([c[a:b] for c in cols], RUN) for a, b in zip(at, ends, strict=True)]
-    none = pa.nulls(len(data), pa.int64())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at] if len(data) else [], pa.int32()), none, none, pa.array(data, pa.binary())],
-        names=["bucket", "doc_id", "version", "data"],
-    )
-
-
-BUCKETED = "bucket int, doc_id long, version long, data binary"
+TOLD = "bucket int, block int, data binary"
+ASKED = "block int, data binary"
+
+
+def _told(held: list[list[np.ndarray]], spec: Windows, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a task tells of its runs: to the buckets, each anchor and its
+    contexts; past them to the blocks, the anchors it knows to recur."""
+    anchor, context, block, none, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((doc, none, block, context, anchor))
+    anchor, context, block, none, doc = (c[order] for c in (anchor, context, block, none, doc))
+    at = _heads(anchor)
+    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(anchor))))
+    if spec.within:
+        recurs = (np.bincount(group) > 1)[group]
+    else:
+        other = (doc != doc[at][group]) | (none != none[at][group])
+        recurs = (np.bincount(group, other) > 0)[group]
+    # Of anchors that recur here, the contexts count; each block is answered.
+    back = np.flatnonzero(recurs)
+    back = back[np.lexsort((block[back], anchor[back]))]
+    back = back[_heads(anchor[back], block[back])]
+    blocks, packs = _cut_by(block[back], [anchor[back]], [np.uint64])
+    yield _rows(TOLD, blocks % buckets, blocks, packs)
+    head = _heads(anchor, context)
+    head = head[recurs[head]]
+    place = np.arange(len(head)) - np.searchsorted(group[head], group[head])
+    some = head[place < REPORT]
+    alone = _heads(anchor, context, block)
+    alone = alone[~recurs[alone]]
+    cols = [np.concatenate((anchor[alone], anchor[some])), np.concatenate((context[alone], context[some]))]
+    cols.append(np.concatenate((block[alone], np.full(len(some), ANSWERED, np.int32))))
+    to, packs = _cut_by((cols[0] % np.uint64(buckets)).astype(np.int32), cols, SEEN)
+    yield _rows(TOLD, to, [None] * len(to), packs)
 
 
 def _scan(spec: Windows, buckets: int):
@@ -170,237 +197,338 @@ def _scan(spec: Windows, buckets: int):
         for whole in batches:
             for batch in slices(whole, "text", SCAN):
                 elements, off = _elements(batch, spec)
-                doc = batch.column("doc_id").fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-                version = batch.column("version").to_numpy(zero_copy_only=False)
+                none, doc = _ids(batch)
+                block = batch.column("block").to_numpy()
                 for r in rolling.runs(elements, off, spec.length, spec.gram):
-                    held.append([r.anchor, r.context, doc[r.row], version[r.row], r.start.astype(np.uint32), r.count.astype(np.uint32)])
+                    held.append([r.anchor, r.context.astype(np.uint16), block[r.row], none[r.row], doc[r.row]])
                     n += len(r.row)
                 if n >= GATHER:
-                    yield from _flush(held, spec, buckets)
+                    yield from _told(held, spec, buckets)
                     held, n = [], 0
         if held:
-            yield from _flush(held, spec, buckets)
+            yield from _told(held, spec, buckets)
 
     return run
 
 
-def _settle(spec: Windows):
-    """One bucket: spans found by tasks pass, runs are compared."""
+def _answer(spec: Windows, buckets: int):
+    """One bucket: to each block those of its anchors that recur; without a
+    block, the anchors of too many contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        passed = table.filter(pc.is_valid(table.column("version")))
-        out = [_found(0, passed.column("doc_id").to_numpy(), passed.column("version").to_numpy(), passed.column("data").combine_chunks())] if passed.num_rows else []
-        packs = table.filter(pc.is_null(table.column("version"))).column("data")
-        held = [_unpack(p.as_buffer(), RUN)[0] for p in packs]
-        if held:
-            cols, later, head = _later([np.concatenate(c) for c in zip(*held, strict=True)], spec.within)
-            out.append(_found(0, *_by_doc(*(c[later] for c in cols[2:]))))
-            few = _few(cols[0], head, spec.most)
-            out.append(_found(1, *_asks(cols, later | ~few, head, spec)))
-            out.append(_found(2, *_asks(cols, later | few, head, spec)))
-        return pa.Table.from_batches(out)
+        known = table.filter(pc.is_valid(table.column("block")))
+        out = [pa.RecordBatch.from_arrays([known.column(c).combine_chunks() for c in ("block", "data")], names=["block", "data"])] if known.num_rows else []
+        packs = table.filter(pc.is_null(table.column("block"))).column("data")
+        anchor, context, block = _unpacked([p.as_buffer() for p in packs], SEEN)
+        if len(anchor):
+            order = np.lexsort((context, anchor))
+            anchor, context, block = (c[order] for c in (anchor, context, block))
+            at = _heads(anchor)
+            size = np.diff(np.append(at, len(anchor)))
+            group = np.repeat(np.arange(len(at)), size)
+            recurs = (size > 1) | (np.minimum.reduceat(block, at) == ANSWERED)
+            ask = recurs[group] & (block != ANSWERED)
+            out.append(_rows(ASKED, *_cut_by(block[ask], [anchor[ask]], [np.uint64])))
+            contexts = np.bincount(group[_heads(anchor, context)], minlength=len(at))
+            hot = np.flatnonzero(contexts > spec.most)
+            hot = hot[np.lexsort((anchor[at[hot]], -contexts[hot]))][: max(1, SPLIT // buckets)]
+            if len(hot):
+                out.append(_rows(ASKED, [ANSWERED], [_pack([anchor[at[hot]], contexts[hot]], HOT)]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(ASKED, [], [])])
 
     return run
 
 
-def _few(anchor: np.ndarray, head: np.ndarray, most: int) -> np.ndarray:
-    """Whether each run's anchor has at most so many contexts."""
-    if not len(anchor):
-        return np.zeros(0, bool)
-    group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
-    return (np.bincount(group, weights=head) <= most)[group]
-
-
-def _asks(cols, later, head, spec: Windows):
-    """First runs of contexts whose anchor has others: per document, packed."""
-    anchor, context, doc, version, start, count = cols
-    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-    group = np.cumsum(new) - 1
-    contexts = np.bincount(group, weights=head, minlength=group[-1] + 1)
-    wanted = contexts > 1
-    if not spec.within:
-        low = np.minimum.reduceat(doc, np.flatnonzero(new))
-        high = np.maximum.reduceat(doc, np.flatnonzero(new))
-        wanted &= low < high
-    keep = wanted[group] & ~later
-    order = np.lexsort((start[keep], version[keep], doc[keep]))
-    anchor, doc, version, start, count = (c[keep][order] for c in (anchor, doc, version, start, count))
-    if not len(doc):
-        return doc, version, pa.array([], pa.binary())
-    at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))))
-    ends = np.append(at[1:], len(doc))
-    data = [_pack([anchor[a:b], doc[a:b], version[a:b], start[a:b], count[a:b]], ASK) for a, b in zip(at, ends, strict=True)]
-    return doc[at], version[at], pa.array(data, pa.binary())
-
-
-def _asked(lists: pa.ListScalar) -> list[np.ndarray] | None:
-    packs = [_unpack(p.as_buffer(), ASK)[0] for p in lists.values] if lists.is_valid and len(lists.values) else []
-    return [np.concatenate(c) for c in zip(*packs, strict=True)] if packs else None
-
-
-def _contents(spec: Windows, buckets: int):
-    """Texts with their asks.  Contexts are packed by bucket of their anchor;
-    windows asked for one by one become runs of their own, whose anchor and
-    context are two hashes of their content, in buckets behind the others."""
-    unit = 8 if spec.words else 1
-
-    def pack(held) -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)]
-        body = [x for h in held for x in h[1]]
-        bucket = (cols[0] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cols, bucket = [c[order] for c in cols], bucket[order]
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(at[1:], len(bucket))
-        data = [
-            _pack([c[a:b] for c in cols], ASK) + b"".join(body[i] for i in order[a:b].tolist())
-            for a, b in zip(at, ends, strict=True)
-        ]
-        none = pa.nulls(len(data), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), none, none, pa.array(data, pa.binary())], names=["bucket", "doc_id", "version", "data"])
-
-    def singles(held) -> Iterator[pa.RecordBatch]:
-        for batch in _flush(held, spec, buckets):
-            behind = pa.array(batch.column("bucket").to_numpy(zero_copy_only=False) + np.int32(buckets), pa.int32())
-            yield batch.set_column(0, "bucket", behind)
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Runs of rows with one block and kind."""
+    if not batch.num_rows:
+        return
+    block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+    at = _heads(block, kind)
+    for a, b in zip(at.tolist(), np.append(at[1:], len(block)).tolist(), strict=True):
+        yield int(block[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+def _placed(df: DataFrame, parts: int) -> DataFrame:
+    """Rows by block, within it by kind."""
+    return df.repartition(parts, "block").sortWithinPartitions("block", "kind")
+
+
+CUT = "kind byte, bucket int, block int, data binary"
+CONTENTS, PLACES = 0, 1
+
+
+class _Gathered:
+    """Distinct contents of a block and their places."""
+
+    def __init__(self, block: int, buckets: int):
+        self.block, self.buckets, self.next = block, buckets, 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.bodies, self.places, self.size, self.n = [], [], 0, 0
+
+    def add(self, bodies: list[bytes], anchor, none, doc, version, start, count) -> None:
+        known, at = self.known, np.empty(len(bodies), np.int64)
+        for i, body in enumerate(bodies):
+            k = known.get(body)
+            if k is None:
+                k = known[body] = len(known)
+                self.bodies.append(body)
+                self.size += len(body)
+            at[i] = k
+        self.places.append([at, anchor, none, doc, version, start, count])
+        self.n += len(bodies)
+
+    def full(self) -> bool:
+        return self.size >= BODIES or self.n >= GATHER
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        at, anchor, none, doc, version, start, count = (np.concatenate(c) for c in zip(*self.places, strict=True))
+        order = np.lexsort((start, doc, none, at))
+        at, anchor, none, doc, version, start, count = (c[order] for c in (at, anchor, none, doc, version, start, count))
+        head = _heads(at)
+        more = np.diff(np.append(head, len(at))) > 1
+        sizes = np.array([len(b) for b in self.bodies])
+        own = np.full(len(head), self.block)
+        cols = [anchor[head], own, at[head] + self.next, none[head], doc[head], start[head], count[head], more, sizes]
+        to, packs = _cut_by((anchor[head] % np.uint64(self.buckets)).astype(np.int32), cols, CONTENT, self.bodies)
+        yield _rows(CUT, [CONTENTS] * len(to), to, [self.block] * len(to), packs)
+        yield _rows(CUT, [PLACES], [None], [self.block], [_pack([at + self.next, none, doc, version, start], PLACE)])
+        self.next += len(self.known)
+        self._clear()
+
+
+def _contexts(spec: Windows, buckets: int, hot: np.ndarray):
+    """Blocks of answers and texts: contents and places of the runs asked for."""
+
+    def cut(batch: pa.RecordBatch, asked: np.ndarray, into: _Gathered) -> None:
+        elements, off = _elements(batch, spec)
+        none, doc = _ids(batch)
+        version = batch.column("version").to_numpy()
+        raw = None if spec.words else memoryview(text_buffer(batch.column("text"))[0])
+        split = {}
+        for r in rolling.runs(elements, off, spec.length, spec.gram):
+            want = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, r.anchor), len(asked) - 1)] == r.anchor)
+            if not len(want):
+                continue
+            row, start, count, anchor = r.row[want], r.start[want], r.count[want], r.anchor[want]
+            if len(hot):
+                # Windows of hot anchors one by one, in buckets by their content.
+                many = np.isin(anchor, hot)
+                if many.any():
+                    n = count[many]
+                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    one_row, one_start = np.repeat(row[many], n), np.repeat(start[many], n) + inner
+                    one = rolling.window_hashes(elements, off[one_row] + one_start, spec.length)
+                    row, start = np.append(row[~many], one_row), np.append(start[~many], one_start)
+                    count, anchor = np.append(count[~many], np.ones(len(one), np.int64)), np.append(anchor[~many], one)
+            ends = start + count + (spec.length - 1)
+            if spec.words:
+                bodies = []
+                for k, a, b in zip(row.tolist(), start.tolist(), ends.tolist(), strict=True):
+                    if k not in split:
+                        split[k] = batch.column("text")[k].as_py().encode().split()
+                    bodies.append(b" ".join(split[k][a:b]))
+            else:
+                base = off[row]
+                bodies = [bytes(raw[a:b]) for a, b in zip((base + start).tolist(), (base + ends).tolist(), strict=True)]
+            into.add(bodies, anchor, none[row], doc[row], version[row], start, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole_held, size, held, n = [], 0, [], 0
+        held: list[np.ndarray] = []
+        asked, into = np.zeros(0, np.uint64), None
         for whole in batches:
-            for batch in slices(whole, "text", SCAN):
-                elements, off = _elements(batch, spec) if spec.words else text_buffer(batch.column("text"))
-                sums = None
-                for i in range(batch.num_rows):
-                    few, many = _asked(batch.column("few")[i]), _asked(batch.column("many")[i])
-                    if few is not None:
-                        a = few[3].astype(np.int64) + off[i]
-                        b = a + few[4] - 1 + spec.length
-                        whole_held.append((few, [elements[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
-                        size += int((b - a).sum()) * unit
-                    if many is not None:
-                        if sums is None:
-                            own = elements if spec.words else rolling.byte_elements(elements)
-                            sums = rolling.Sums(own), rolling.Sums(rolling.mix(own))
-                        _, doc, version, start, count = many
-                        count = count.astype(np.int64)
-                        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        at = np.repeat(start.astype(np.int64), count) + inner
-                        a = at + off[i]
-                        hashes = [s.of(a, a + spec.length) for s in sums]
-                        held.append([*hashes, np.repeat(doc, count), np.repeat(version, count), at.astype(np.uint32), np.ones(len(at), np.uint32)])
-                        n += len(at)
-                    if size >= 8 << 20:
-                        yield pack(whole_held)
-                        whole_held, size = [], 0
-                    if n >= GATHER:
-                        yield from singles(held)
-                        held, n = [], 0
-        if whole_held:
-            yield pack(whole_held)
-        if held:
-            yield from singles(held)
+            for block, kind, rows in _segments(whole):
+                if into is None or into.block != block:
+                    if into is not None:
+                        yield from into.flush()
+                    held, asked, into = [], None, _Gathered(block, buckets)
+                if kind == 0:
+                    held += [_unpack(p.as_buffer(), [np.uint64])[0][0] for p in rows.column("data")]
+                    continue
+                if asked is None:
+                    asked, held = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64), []
+                if len(asked):
+                    for batch in slices(rows, "text", SCAN):
+                        cut(batch, asked, into)
+                        if into.full():
+                            yield from into.flush()
+        if into is not None:
+            yield from into.flush()
 
     return run
 
 
-def _indexed(spec: Windows, index: Index, buckets: int):
-    """One bucket of contents, anchor by anchor; or of single windows."""
-    unit = 8 if spec.words else 1
-    settle = _settle(spec)
+def _indexed(spec: Windows, index: Index, part: int):
+    """One bucket of contents: where each of their windows occurs first."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() >= buckets:
-            done = settle(table)
-            return done.filter(pc.equal(done.column("kind"), 0)).select(["doc_id", "version", "spans"])
         cols, bodies = [], []
         for p in table.column("data"):
             raw = p.as_buffer()
-            got, at = _unpack(raw, ASK)
+            got, at = _unpack(raw, CONTENT)
             cols.append(got)
-            sizes = (got[4].astype(np.int64) - 1 + spec.length) * unit
-            ends = at + np.cumsum(sizes)
+            ends = at + np.cumsum(got[8].astype(np.int64))
             view = memoryview(raw)
-            bodies += [bytes(view[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        anchor, doc, version, start, count = (np.concatenate(c) for c in zip(*cols, strict=True))
-        order = np.lexsort((version, start, doc, anchor))
-        anchor, doc, version, start, count = (c[order] for c in (anchor, doc, version, start, count))
-        at = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        ends = np.append(at[1:], len(anchor))
-        groups = [
-            [(d, s, bodies[i]) for d, s, i in zip(doc[a:b].tolist(), start[a:b].tolist(), order[a:b].tolist(), strict=True)]
-            for a, b in zip(at, ends, strict=True)
-        ]
-        flags = index(groups, spec)
-        where, first, run_len = [], [], []
-        for i, seen in enumerate(flags):
-            edge = np.diff(np.concatenate(([0], seen.astype(np.int8), [0])))
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                where.append(i)
-                first.append(a)
-                run_len.append(b - a)
-        w = np.array(where, np.int64)
-        d, v, spans = _by_doc(doc[w], version[w], start[w] + np.array(first, np.int64), np.array(run_len, np.int64))
-        return pa.Table.from_arrays([pa.array(d), pa.array(v), spans], names=["doc_id", "version", "spans"])
+            bodies += [bytes(view[a:b]) for a, b in zip(np.append(at, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+        anchor, block, content, none, doc, start, count, more, size = (np.concatenate(c) for c in zip(*cols, strict=True))
+        # Equal bodies are one content.
+        known: dict[bytes, int] = {}
+        of = np.fromiter((known.setdefault(b, len(known)) for b in bodies), np.int64, len(bodies))
+        del bodies
+        names = list(known)
+        del known
+        order = np.lexsort((start, doc, none, of))
+        head = order[_heads(of[order])]  # by content: its first holder
+        holders = np.bincount(of)
+        several = (holders > 1) | (np.bincount(of, more) > 0)
+        # Anchors by anchor; one that has a single content in a single place
+        # has nothing to be compared with.
+        by = np.lexsort((start[head], doc[head], none[head], anchor[head]))
+        at = _heads(anchor[head][by])
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
+        alive = (np.bincount(group) > 1) | (np.bincount(group, several[by]) > 0)
+        by, group = by[alive[group]], group[alive[group]]
+        out = [[] for _ in range(6)]  # content (of names), from, to, none, doc, start
+        bounds = _heads(group)
+        ends = np.append(bounds[1:], len(by))
+        total = np.cumsum(size[head][by].astype(np.int64)) if len(by) else by
+        a = 0
+        while a < len(bounds):
+            # Anchors up to about a part share an index.
+            b = a + 1
+            floor = total[bounds[a]] - size[head][by[bounds[a]]]
+            while b < len(bounds) and total[ends[b] - 1] - floor <= part:
+                b += 1
+            own = by[bounds[a] : ends[b - 1]]
+            own = own[np.lexsort((start[head][own], doc[head][own], none[head][own]))]
+            shard = Shard([names[i] for i in own.tolist()], none[head][own], doc[head][own], start[head][own].astype(np.int64))
+            for here, (i, (source, where)) in enumerate(zip(own.tolist(), index(shard, spec), strict=True)):
+                # Stretches of windows that occur first in one line.
+                line = shard.start[source] + where - np.arange(len(where))
+                new = _heads(shard.none[source], shard.doc[source], line)
+                to = np.append(new[1:], len(where))
+                if len(new) == 1 and source[0] == here and not several[i]:
+                    continue  # it occurs here alone
+                for c, v in zip(out, ([i] * len(new), new, to, shard.none[source[new]], shard.doc[source[new]], line[new]), strict=True):
+                    c.append(np.asarray(v))
+            a = b
+        if not out[0]:
+            return pa.Table.from_batches([_rows(ASKED, [], [])])
+        first = [np.concatenate(c) for c in out]
+        # To every holder of a content.
+        order = np.argsort(first[0], kind="stable")
+        first = [c[order] for c in first]
+        lo, hi = np.searchsorted(first[0], of, "left"), np.searchsorted(first[0], of, "right")
+        n = hi - lo
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(lo, n) + inner
+        to, packs = _cut_by(np.repeat(block, n), [np.repeat(content, n), *(c[at] for c in first[1:])], FIRST)
+        return pa.Table.from_batches([_rows(ASKED, to, packs)])
 
     return run
 
 
-def repeated_windows(
-    docs: DataFrame, spec: Windows, index: Index, buckets: int | None = None, carry: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """``(texts, spans)``: the documents with a ``version`` (a hash of their
-    text, so that rows with one id stay apart), and by document the first
-    windows and ends of stretches of windows that occurred earlier.
-
-    ``buckets`` divides the runs; the default follows the number of shuffle
-    partitions, which is to grow with the input.
-    """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    version = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    texts = doc_rows(docs).withColumn("version", version)
-    scanned = texts.mapInArrow(_scan(spec, buckets), BUCKETED)
-    found = staged(scanned.groupBy("bucket").applyInArrow(_settle(spec), FOUND), "found")
-    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("spans"))).alias(name) for k, name in ((1, "few"), (2, "many"))]
-    asks = found.where("kind > 0").groupBy("doc_id", "version").agg(*lists)
-    keyed = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    contents = keyed.join(asks, ["doc_id", "version"]).select("text", "few", "many").mapInArrow(_contents(spec, buckets), BUCKETED)
-    matched = staged(contents.groupBy("bucket").applyInArrow(_indexed(spec, index, buckets), SPANS), "matched")
-    settled = found.where("kind = 0").drop("kind").unionByName(matched)
-    spans = (
-        settled
-        .groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
-    )
-    return doc_rows(docs, carry).withColumn("version", version), spans
-
-
-def covered(spans: list[bytes] | None, units: int, length: int) -> np.ndarray:
+def _spans(answers: list, places: list, spec: Windows) -> dict[tuple, bytes]:
+    """By document and version: merged (first window, end) pairs that occurred
+    earlier."""
+    content, a, b, none, doc, line = _unpacked(answers, FIRST)
+    if not len(content):
+        return {}
+    order = np.argsort(content, kind="stable")
+    content, a, b, none, doc, line = (c[order] for c in (content, a, b, none, doc, line))
+    own, no_id, in_doc, version, start = _unpacked(places, PLACE)
+    lo, hi = np.searchsorted(content, own, "left"), np.searchsorted(content, own, "right")
+    n = hi - lo
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    no_id, in_doc, version, start = (np.repeat(c, n) for c in (no_id, in_doc, version, start.astype(np.int64)))
+    later = (no_id > none[at]) | ((no_id == none[at]) & (in_doc > doc[at]))
+    if spec.within:
+        later |= (no_id == none[at]) & (in_doc == doc[at]) & (start > line[at])
+    no_id, in_doc, version = no_id[later], in_doc[later], version[later]
+    first, end = start[later] + a[at[later]], start[later] + b[at[later]]
+    order = np.lexsort((first, version, in_doc, no_id))
+    no_id, in_doc, version, first, end = (c[order] for c in (no_id, in_doc, version, first, end))
+    head = _heads(no_id, in_doc, version)
+    pairs = np.stack([first, end], 1).astype("<u4")
+    ends = np.append(head[1:], len(first))[: len(head)]
+    return {
+        (None if x else d, v): pairs[i:j].tobytes()
+        for x, d, v, i, j in zip(no_id[head].tolist(), in_doc[head].tolist(), version[head].tolist(), head.tolist(), ends.tolist(), strict=True)
+    }
+
+
+def covered(spans: bytes | None, units: int, length: int) -> np.ndarray:
     """Mask of the units of a text that lie in a stretch of repeated windows."""
     step = np.zeros(units + 1, np.int32)
     if spans:
-        pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+        pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
         np.add.at(step, pairs[:, 0], 1)
         np.add.at(step, pairs[:, 1] - 1 + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def cut_out(texts: DataFrame, spans: DataFrame, cut: Callable[[str, list[bytes] | None], tuple], schema: str) -> DataFrame:
-    """Join spans to texts and apply ``cut`` to each row."""
-    names = [c.split()[0] for c in schema.split(",")]
+def _parts(docs: DataFrame) -> int:
+    """Partitions for an input of this size, as far as the plan knows it."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // BLOCK)) if size < 1 << 60 else least
+
+
+def without_repeated(
+    docs: DataFrame, spec: Windows, index: Index, part: int, cut: Callable[[str, bytes | None], tuple], schema: str, buckets: int | None = None, carry: bool = False
+) -> DataFrame:
+    """``cut`` of every text and the stretches of its windows that occurred
+    earlier, with ``doc_id`` and, with ``carry``, the row as it came in ``_row``.
+
+    ``part`` is the bytes of contents an index holds, about.  Blocks and
+    buckets follow the input's size.
+    """
+    parts = _parts(docs)
+    buckets = buckets or 4 * parts
+    version = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    texts = doc_rows(docs, carry).withColumn("version", version)
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "version"), F.lit(4 * parts)).cast("int"))
+    plain = texts.select("doc_id", "text", "version", "block")
+    told = plain.mapInArrow(_scan(spec, buckets), TOLD)
+    asked = staged(told.groupBy("bucket").applyInArrow(_answer(spec, buckets), ASKED), "asked")
+    found = asked.where(F.col("block") == ANSWERED).select("data").collect()  # at most SPLIT anchors
+    hot = np.unique(_unpacked([bytes(r.data) for r in found], HOT)[0])
+    kind = lambda n: F.lit(n).cast("byte").alias("kind")
+    answers = asked.where(F.col("block") != ANSWERED).select("block", kind(0), "data")
+    both = answers.unionByName(plain.select("*", kind(1)), allowMissingColumns=True)
+    contexts = staged(_placed(both, parts).mapInArrow(_contexts(spec, buckets, hot), CUT), "contexts")
+    contents = contexts.where(F.col("kind") == CONTENTS).select("bucket", "data")
+    firsts = staged(contents.groupBy("bucket").applyInArrow(_indexed(spec, index, part), ASKED), "firsts")
+    places = contexts.where(F.col("kind") == PLACES).select("block", kind(1), "data")
+    three = firsts.select("block", kind(0), "data").unionByName(places).unionByName(texts.select("*", kind(2)), allowMissingColumns=True)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = [kinds[c.split()[1]] for c in schema.split(", ")]
     row, row_schema = carried(texts)
     whole_row = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, spans = None, ([], []), None
         for whole in batches:
-            for batch in slices(whole, "text", SCAN):
-                rows = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols]
-                own = [batch.column("doc_id"), *arrays, *(batch.column(c) for c in whole_row)]
-                yield pa.RecordBatch.from_arrays(own, names=["doc_id", *names, *whole_row])
-
-    key = F.coalesce("doc_id", F.lit(LAST_ID))
-    joined = texts.withColumn("_id", key).join(
-        spans.select(F.col("doc_id").alias("_id"), "version", "spans"), ["_id", "version"], "left"
-    )
-    return joined.select("doc_id", "text", "spans", *whole_row).mapInArrow(run, f"doc_id long, {schema}{row_schema}")
+            for block, k, rows in _segments(whole):
+                if block != now:
+                    now, held, spans = block, ([], []), None
+                if k < 2:
+                    held[k].extend(p.as_buffer() for p in rows.column("data"))
+                    continue
+                if spans is None:
+                    spans, held = _spans(*held, spec), ([], [])
+                for batch in slices(rows, "text", SCAN):
+                    keys = zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), strict=True)
+                    done = [cut(t, spans.get(x)) for t, x in zip(batch.column("text").to_pylist(), keys, strict=True)]
+                    arrays = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
+                    own = [batch.column("doc_id"), *arrays, *(batch.column(c) for c in whole_row)]
+                    yield pa.RecordBatch.from_arrays(own, names=["doc_id", *names, *whole_row])
+
+    return _placed(three, parts).mapInArrow(run, f"doc_id long, {schema}{row_schema}")

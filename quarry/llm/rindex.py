@@ -15,31 +15,44 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by doubling; suffixes differ within ``depth``."""
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling, in which only suffixes that still have equals
+    are sorted again; a text that ends is smaller than one that goes on."""
     n = len(symbols)
-    bits = max(1, int(symbols.max()).bit_length()) if n else 1
+    bits = max(1, int(symbols.max(initial=0)).bit_length() + 1)
     width = max(1, 62 // bits)
     key = np.zeros(n, np.int64)
     for j in range(width):
         key <<= bits
-        key[: n - j if n > j else 0] |= symbols[j:]
+        key[: max(0, n - j)] |= symbols[j:] + 1
     order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    del key
+    # A suffix's rank is where its group of equals begins.
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(at, size)
+    live = np.flatnonzero(np.repeat(size > 1, size))
     have = width
-    while True:
-        sorted_key = key[order]
-        dense = np.zeros(n, np.int32)
-        np.cumsum(sorted_key[1:] != sorted_key[:-1], out=dense[1:])
-        del sorted_key
-        rank = np.empty(n, np.int32)
-        rank[order] = dense
-        if not n or dense[-1] == n - 1 or have >= depth + width:
-            return order, rank
-        key = rank * np.int64(n + 1)
-        if have < n:
-            key[: n - have] += rank[have:] + 1
-        order = np.argsort(key)
+    while len(live):
+        own = order[live]
+        after = own + have
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[own] * np.int64(n + 1) + second
+        by = np.argsort(key)
+        key, own = key[by], own[by]
+        order[live] = own
+        new = np.ones(len(live), bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(live)))
+        rank[own] = np.repeat(live[at], size)
+        live = live[np.repeat(size > 1, size)]
         have *= 2
+    return order
 
 
 class RunIndex:
@@ -57,7 +70,9 @@ class RunIndex:
         inner[closes] = False
         text[inner] = raw.astype(np.int32) + m
         text[closes] = np.arange(m)
-        order, _ = suffix_order(text, int(sizes.max(initial=0)) + 1)
+        # End marks are one letter for the order (what follows them then
+        # orders suffixes that end alike), and each its own in front of a suffix.
+        order = suffix_order(np.maximum(text - (m - 1), 0))
         letters = text[order - 1]  # place 0 wraps to the last end mark
         head = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1])))
         self.n, self.letters = n, letters[head]
@@ -92,20 +107,18 @@ class RunIndex:
         return before, np.maximum(self.common[near] - gone, 0)
 
 
-def first_places(index: RunIndex, length: int) -> np.ndarray:
-    """For every place, the smallest place whose next ``length`` letters equal
-    its own (itself, if none does or an end mark is nearer)."""
+def first_places(index: RunIndex, length: int, rank: np.ndarray) -> np.ndarray:
+    """For every place, the least rank of the places whose next ``length``
+    letters equal its own (its own rank, if an end mark is nearer)."""
     before, common = index.stream()
     jump = np.where(common >= length, before, np.arange(index.n))
-    least = np.minimum(np.arange(index.n), jump)
     # Equal windows are neighbours in sorted order: double along the chain to
-    # its head, keeping the least place seen, then hand the head's down.
+    # its head, collect the least rank there and hand it down.
     while True:
         further = jump[jump]
         if (further == jump).all():
             break
-        least = np.minimum(least, least[jump])
         jump = further
-    low = np.full(index.n, index.n, np.int64)
-    np.minimum.at(low, jump, least)
+    low = np.full(index.n, np.iinfo(np.int64).max, np.int64)
+    np.minimum.at(low, jump, rank)
     return low[jump]

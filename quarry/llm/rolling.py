@@ -89,6 +89,11 @@ def word_elements(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return Sums(byte_elements(raw)).of(starts, ends)
 
 
+def window_hashes(elements: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the window at each of some places."""
+    return Sums(mix(elements)).of(starts, starts + length)
+
+
 @dataclass
 class Runs:
     """Runs of windows with one anchor: document (row), first window in it,

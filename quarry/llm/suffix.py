@@ -6,47 +6,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import with_text
-from .repeats import Context, Windows, covered, cut_out, repeated_windows
+from .repeats import Shard, Windows, covered, without_repeated
 from .rindex import RunIndex, first_places
 
 BYTES = 100
 GRAM = 24
-#: Contexts of one anchor in an index at most; beyond, windows are settled
-#: one by one.
+#: Contexts of one anchor beyond which its windows are contents of their own.
 MOST = 8_000
-#: Bytes of contexts indexed together; an anchor's contexts stay together.
+#: Bytes of contents indexed together, about; an anchor's stay together.
 PART = 1 << 20
 
 
-def _part(contexts: list[Context], spec: Windows) -> list[np.ndarray]:
-    index = RunIndex([body for _, _, body in contexts])
-    first = first_places(index, spec.length)
-    out = []
-    place = np.append(index.starts, index.n)
-    ids = np.array([c[0] for c in contexts])
-    starts = np.array([c[1] for c in contexts])
-    for i, (doc, start, body) in enumerate(contexts):
-        own = np.arange(place[i], place[i] + len(body) - spec.length + 1)
-        came = first[own]
-        of = np.searchsorted(index.starts, came, "right") - 1
-        # Rows with one id may hold the same start twice: neither is earlier.
-        at = starts[of] + came - index.starts[of]
-        mine = start + own - place[i]
-        out.append((came < own) & ((ids[of] != doc) | (at < mine)))
-    return out
-
-
-def seen_before(groups: list[list[Context]], spec: Windows) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    held: list[Context] = []
-    size = 0
-    for group in groups:
-        held += group
-        size += sum(len(c[2]) + 1 for c in group)
-        if size >= PART:
-            out += _part(held, spec)
-            held, size = [], 0
-    return out + (_part(held, spec) if held else [])
+def first_places_of(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The content, and the place in it, where each window of each content
+    occurs first in document order."""
+    index = RunIndex(shard.bodies)
+    size = np.diff(np.append(index.starts, index.n))
+    of = np.repeat(np.arange(len(shard)), size)
+    place = np.arange(index.n) - index.starts[of]
+    # Places by document, then by where they lie in it.
+    order = np.lexsort((place + shard.start[of], shard.doc[of], shard.none[of]))
+    rank = np.empty(index.n, np.int64)
+    rank[order] = np.arange(index.n)
+    first = order[first_places(index, spec.length, rank)]
+    return [
+        (of[first[a:b]], place[first[a:b]])
+        for a, b in zip(index.starts.tolist(), (index.starts + size - spec.length).tolist(), strict=True)
+    ]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, buckets: int | None = None, whole_rows: bool = False) -> DataFrame:
@@ -57,12 +43,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM
     A byte goes if one of the strings of ``length`` bytes over it starts
     earlier as well: in a document with a smaller id, or further left in the
     same one.  Rows that share an id and a start are not earlier than each
-    other; rows without an id come last.  Null and empty texts have no bytes.
+    other; rows without an id come last, as one document.  Null and empty texts
+    have no bytes; texts of any length are read whole; extra columns are ignored
+    (kept in ``_row``); an empty table gives an empty result.  Strings are
+    compared byte by byte, not by hashes.
     """
     spec = Windows(length, gram, words=False, within=True, most=MOST)
-    texts, spans = repeated_windows(docs, spec, seen_before, buckets, whole_rows)
 
-    def cut(text: str, found: list[bytes] | None) -> tuple:
+    def cut(text: str, found: bytes | None) -> tuple:
         raw = text.encode()
         if not found:
             return len(raw), 0, 0, text if whole_rows else raw
@@ -72,7 +60,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM
         return len(raw), int(gone.sum()), n_spans, kept.decode("utf-8", "ignore") if whole_rows else kept
 
     kind = "string" if whole_rows else "binary"
-    return cut_out(texts, spans, cut, f"n_bytes long, n_removed long, n_spans long, kept {kind}")
+    schema = f"n_bytes long, n_removed long, n_spans long, kept {kind}"
+    return without_repeated(docs, spec, first_places_of, PART, cut, schema, buckets, whole_rows)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quarry.llm import rolling, substring, suffix
 from quarry.llm.automaton import SuffixAutomaton
-from quarry.llm.rindex import RunIndex, first_places
+from quarry.llm.rindex import RunIndex, first_places, suffix_order
 
 
 def brute_words(rows, length):
@@ -89,18 +90,54 @@ def test_run_index_and_automaton():
     for _ in range(60):
         parts = [bytes(rng.choices(b"ab", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 10))]
         index, length = RunIndex(parts), rng.randint(2, 6)
-        got, seen, shard = first_places(index, length), {}, SuffixAutomaton()
+        rank = np.array(rng.sample(range(index.n), index.n))
+        got, least, shard = first_places(index, length, rank), {}, SuffixAutomaton()
+        for s, p in zip(index.starts.tolist(), parts, strict=True):
+            for i in range(len(p) - length + 1):
+                w = p[i : i + length]
+                least[w] = min(least.get(w, index.n), rank[s + i])
         for j, (s, p) in enumerate(zip(index.starts.tolist(), parts, strict=True)):
             for i in range(len(p) - length + 1):
-                assert got[s + i] == seen.setdefault(p[i : i + length], s + i)
-            for i, m in enumerate(shard.matches(list(p))):
-                assert m == max(n for n in range(i + 2) if not n or any(p[i + 1 - n : i + 1] in q for q in parts[:j]))
-            shard.add(list(p))
+                assert got[s + i] == least[p[i : i + length]]
+            size, first = shard.matches(list(p), length)
+            for i, (m, f) in enumerate(zip(size, first, strict=True)):
+                assert m == max(n for n in range(min(i + 1, length) + 1) if not n or any(p[i + 1 - n : i + 1] in q for q in parts[:j]))
+                assert not m or f == min(k for k in range(j) if p[i + 1 - m : i + 1] in parts[k])
+            shard.add(list(p), j)
+
+
+def test_suffix_order():
+    rng = random.Random(7)
+    for n in (0, 1, 2, 50, 300):
+        text = rng.choices(range(3), k=n)
+        assert suffix_order(np.array(text, np.int32)).tolist() == sorted(range(n), key=lambda i: text[i:])
+
+
+def test_words_that_hash_alike(spark):
+    # Sums modulo a power of two cannot tell these two words apart.
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    front = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{front} {word}"), (2, f"{front} {other}"), (3, f"{front} {word}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeated_words(df).collect()} == {1: 0, 2: 0, 3: 50}
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeated_bytes(df).collect())
+    assert got == [(i, *w) for (i, _), w in zip(rows, brute_bytes(rows, 100), strict=True)]
+
+
+def test_largest_id_is_no_missing_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(None, text), (top, text), (None, text)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed) for r in substring.remove_repeated_words(df).collect())
+    assert got == [(str(top), 0), ("None", 60), ("None", 60)]
+    got = sorted((str(r.doc_id), r.n_removed) for r in suffix.remove_repeated_bytes(df).collect())
+    assert got == [(str(top), 0), ("None", len(text)), ("None", len(text))]
 
 
 def test_windows_lie_in_one_run_each():
-    import numpy as np
-
     rng = random.Random(6)
     docs = [bytes(rng.choices(b"ab c", k=rng.randint(0, 60))) for _ in range(8)]
     raw, off = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0] + [len(d) for d in docs])
