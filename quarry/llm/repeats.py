@@ -18,7 +18,8 @@ whether windows are equal is decided on their contents, by an index.
 A content that any number of documents share is one row a block, and its places
 never leave the block.  Where one anchor has very many contexts (the edges of a
 passage that very many documents share), its windows are contents of their own,
-in buckets by their content; such anchors are a list of bounded size.
+which meet in buckets by a hash of the whole window: a second scan asks for these
+in the same way.  Such anchors are a list of bounded size.
 """
 
 from __future__ import annotations
@@ -191,7 +192,18 @@ def _told(held: list[list[np.ndarray]], spec: Windows, buckets: int) -> Iterator
     yield _rows(TOLD, to, [None] * len(to), packs)
 
 
-def _scan(spec: Windows, buckets: int):
+def _by_window(runs: rolling.Runs, elements: np.ndarray, off: np.ndarray, spec: Windows, hot: np.ndarray) -> rolling.Runs:
+    """Windows of hot anchors as runs of their own, anchored by their hash."""
+    own = np.flatnonzero(np.isin(runs.anchor, hot))
+    n = runs.count[own]
+    row, start = np.repeat(runs.row[own], n), np.repeat(runs.start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    anchor = rolling.window_hashes(elements, off[row] + start, spec.length)
+    return rolling.Runs(row, start, np.ones(len(row), np.int64), anchor, np.zeros(len(row), np.uint64))
+
+
+def _scan(spec: Windows, buckets: int, hot: np.ndarray | None = None):
+    """Runs of all windows or, with ``hot``, the windows of these anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for whole in batches:
@@ -200,6 +212,8 @@ def _scan(spec: Windows, buckets: int):
                 none, doc = _ids(batch)
                 block = batch.column("block").to_numpy()
                 for r in rolling.runs(elements, off, spec.length, spec.gram):
+                    if hot is not None:
+                        r = _by_window(r, elements, off, spec, hot)
                     held.append([r.anchor, r.context.astype(np.uint16), block[r.row], none[r.row], doc[r.row]])
                     n += len(r.row)
                 if n >= GATHER:
@@ -250,8 +264,8 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]
 
 
 def _placed(df: DataFrame, parts: int) -> DataFrame:
-    """Rows by block, within it by kind."""
-    return df.repartition(parts, "block").sortWithinPartitions("block", "kind")
+    """A partition for each block, its rows by kind."""
+    return df.repartitionById(parts, F.col("block")).sortWithinPartitions("block", "kind")
 
 
 CUT = "kind byte, bucket int, block int, data binary"
@@ -311,21 +325,18 @@ def _contexts(spec: Windows, buckets: int, hot: np.ndarray):
         version = batch.column("version").to_numpy()
         raw = None if spec.words else memoryview(text_buffer(batch.column("text"))[0])
         split = {}
-        for r in rolling.runs(elements, off, spec.length, spec.gram):
-            want = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, r.anchor), len(asked) - 1)] == r.anchor)
+        asks = lambda anchor: asked[np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)] == anchor
+        found = rolling.runs(elements, off, spec.length, spec.gram)
+        if len(hot):
+            found += [_by_window(r, elements, off, spec, hot) for r in found]
+        for i, r in enumerate(found):
+            want = asks(r.anchor)
+            if len(hot) and 2 * i < len(found):
+                want &= ~np.isin(r.anchor, hot)
+            want = np.flatnonzero(want)
             if not len(want):
                 continue
             row, start, count, anchor = r.row[want], r.start[want], r.count[want], r.anchor[want]
-            if len(hot):
-                # Windows of hot anchors one by one, in buckets by their content.
-                many = np.isin(anchor, hot)
-                if many.any():
-                    n = count[many]
-                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    one_row, one_start = np.repeat(row[many], n), np.repeat(start[many], n) + inner
-                    one = rolling.window_hashes(elements, off[one_row] + one_start, spec.length)
-                    row, start = np.append(row[~many], one_row), np.append(start[~many], one_start)
-                    count, anchor = np.append(count[~many], np.ones(len(one), np.int64)), np.append(anchor[~many], one)
             ends = start + count + (spec.length - 1)
             if spec.words:
                 bodies = []
@@ -489,15 +500,22 @@ def without_repeated(
     buckets follow the input's size.
     """
     parts = _parts(docs)
-    buckets = buckets or 4 * parts
+    buckets = buckets or parts
     version = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     texts = doc_rows(docs, carry).withColumn("version", version)
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "version"), F.lit(4 * parts)).cast("int"))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "version"), F.lit(parts)).cast("int"))
     plain = texts.select("doc_id", "text", "version", "block")
-    told = plain.mapInArrow(_scan(spec, buckets), TOLD)
-    asked = staged(told.groupBy("bucket").applyInArrow(_answer(spec, buckets), ASKED), "asked")
+
+
+    def answered(hot: np.ndarray | None = None) -> DataFrame:
+        told = plain.mapInArrow(_scan(spec, buckets, hot), TOLD)
+        return staged(told.groupBy("bucket").applyInArrow(_answer(spec, buckets), ASKED), "asked")
+
+    asked = answered()
     found = asked.where(F.col("block") == ANSWERED).select("data").collect()  # at most SPLIT anchors
     hot = np.unique(_unpacked([bytes(r.data) for r in found], HOT)[0])
+    if len(hot):
+        asked = asked.unionByName(answered(hot))
     kind = lambda n: F.lit(n).cast("byte").alias("kind")
     answers = asked.where(F.col("block") != ANSWERED).select("block", kind(0), "data")
     both = answers.unionByName(plain.select("*", kind(1)), allowMissingColumns=True)

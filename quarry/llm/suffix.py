@@ -14,7 +14,7 @@ GRAM = 24
 #: Contexts of one anchor beyond which its windows are contents of their own.
 MOST = 8_000
 #: Bytes of contents indexed together, about; an anchor's stay together.
-PART = 1 << 20
+PART = 1 << 17
 
 
 def first_places_of(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -22,17 +22,17 @@ def first_places_of(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.nd
     occurs first in document order."""
     index = RunIndex(shard.bodies)
     size = np.diff(np.append(index.starts, index.n))
-    of = np.repeat(np.arange(len(shard)), size)
-    place = np.arange(index.n) - index.starts[of]
-    # Places by document, then by where they lie in it.
-    order = np.lexsort((place + shard.start[of], shard.doc[of], shard.none[of]))
-    rank = np.empty(index.n, np.int64)
-    rank[order] = np.arange(index.n)
-    first = order[first_places(index, spec.length, rank)]
-    return [
-        (of[first[a:b]], place[first[a:b]])
-        for a, b in zip(index.starts.tolist(), (index.starts + size - spec.length).tolist(), strict=True)
-    ]
+    # Places by document, then by where they lie in it; a document's contents
+    # follow each other.
+    new = np.ones(len(shard), bool)
+    new[1:] = (shard.doc[1:] != shard.doc[:-1]) | (shard.none[1:] != shard.none[:-1])
+    source = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    line = (group << 40) + shard.start - index.starts
+    first = first_places(index, spec.length, np.arange(index.n) + np.repeat(line, size))
+    of = source[first >> 40]
+    place = (first & ((1 << 40) - 1)) - shard.start[of]
+    return [(of[a:b], place[a:b]) for a, b in zip(index.starts.tolist(), (index.starts + size - spec.length).tolist(), strict=True)]
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, buckets: int | None = None, whole_rows: bool = False) -> DataFrame:
