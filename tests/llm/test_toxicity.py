@@ -29,7 +29,7 @@ def _texts(seed, n):
 
 
 def _spell(words):
-    letters, starts, _ = tx.words_of([" ".join(words)])
+    letters, starts, _ = tx.words_of(words)
     return tx._spelled(letters, starts, np.arange(len(starts) - 1))
 
 
@@ -59,9 +59,34 @@ def test_kernel_equals_its_definition():
 
 
 def test_words_and_spelled_out_letters():
-    letters, starts, firsts = tx.words_of(["I.d.I-0.t a b", "", "é$$ c", "d e", "aaaaab"])
+    letters, starts, firsts = tx.words_of(["I.d.I-0.t a b", "", "ê$$ c", "d e", "aaaaab", "id iot you", "ó x word"])
     words = ["".join(chr(96 + c) for c in letters[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-    assert words == ["idiot", "ab", "e" + "c", "de", "aab"] and firsts.tolist() == [0, 2, 2, 3, 4, 5]
+    own = lambda i: chr(96 + 27 + i)
+    assert words == ["idiot", "ab", own(2) + "c", "de", "aab", "id", "idiot", "iot", "you", own(7) + "x", own(7) + "xword", "word"]
+    assert firsts.tolist() == [0, 2, 2, 3, 4, 5, 9, 12]
+
+
+def test_scores_equal_a_machine_by_definition():
+    model = tx.fit([(_bag(t), y) for t, y in _texts(4, 400)])
+    texts = ["the zwofflik ou prumbast", "", "an", "zw offlik kqeldor kqeldor erst", "ingone tent al"]
+
+    def score(word):
+        s, total, norm = [0, *word, 0], 0.0, 0.0
+        for at in combinations(range(len(s)), 4):
+            if at[3] - at[0] <= tx.SPAN:
+                a, b, c, d = (s[i] for i in at)
+                total += tx.DECAY ** (at[3] - at[0] - 3) * model.table[((a * tx.CLASSES + b) * tx.CLASSES + c) * tx.CLASSES + d]
+                norm += tx.DECAY ** (2 * (at[3] - at[0] - 3))
+        return total / max(norm, 1e-9) ** 0.5
+
+    for text, got, p in zip(texts, model.worst(texts), model.score(texts), strict=True):
+        letters, starts, _ = tx.words_of([text])
+        best = sorted({score(letters[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)}, reverse=True)[: tx.WORST]
+        want = [max(x, 0) ** 2 for x in best] + [0.0] * (tx.WORST - len(best))
+        assert np.allclose(got, want, atol=1e-4)
+        z = 1 / (1 + np.exp(-(np.dot(want, model.slope) + model.shift)))
+        q = model.floor + (1 - model.floor - model.chance) * z
+        assert abs(p - 1 / (1 + (1 - q) / q * np.exp(-model.moved))) < 1e-3
 
 
 def test_held_out_accuracy_and_tolerance():
@@ -69,9 +94,10 @@ def test_held_out_accuracy_and_tolerance():
     test = _texts(2, 400)
     score = model.score([t for t, _ in test])
     assert (((score >= tx.THRESHOLD) == [y for _, y in test]).mean()) > 0.98
-    plain, odd = model.worst(["the zwofflik an", "the z.w.o.f.f.l.i.k an"])
-    assert abs(plain - odd) < 1e-9
-    assert model.worst(["the zwoffxlik an"])[0] > 2 * abs(model.worst(["the thousand an"])[0])
+    odd = ["the zwofflik an", "the z.w.o.f.f.l.i.k an", "the z w o f f l i k an", "the zw offlik an", "the zwof*flik an", "the ZWOFFFLIK an"]
+    assert (model.score(odd) >= tx.THRESHOLD).all()
+    plain, changed, clean = model.worst(["the zwofflik an", "the zwoffxlik an", "the thousand an"])[:, 0]
+    assert plain > changed > 2 * clean
     assert (model.score(["", " \n"]) < 0.5).all()
 
 
