@@ -84,3 +84,25 @@ def mime_of(name: pd.Series) -> pd.Series:
 @arrow_udf("string")
 def decode_ignoring(data: pd.Series) -> pd.Series:
     return data.map(lambda x: bytes(x).decode("utf-8", "ignore") if x is not None else None)
+
+
+@arrow_udf("binary")
+def pack_gzip(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: gzip.compress(bytes(x), mtime=0) if x is not None else None)
+
+
+@arrow_udf("binary")
+def recompressed(data: pd.Series) -> pd.Series:
+    """Packed bytes as zstd, once what they hold is seen to come back."""
+    import zstandard
+
+    def one(x: bytes | None) -> bytes | None:
+        if x is None:
+            return None
+        plain = unpack_bytes(bytes(x))
+        out = zstandard.ZstdCompressor(level=19, write_checksum=True).compress(plain)
+        if unpack_bytes(out) != plain:
+            raise ValueError("what was packed does not come back")
+        return out
+
+    return data.map(one)

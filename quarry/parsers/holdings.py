@@ -52,10 +52,29 @@ def holdings_report(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([report(c) for c in content], columns=["form_type", "manager_cik", "manager_name", "period_of_report", "holdings", "error"])
 
 
+#: Columns of the table, as title and field (fixed values).
+LAYOUT = (
+    ("Name of Issuer", "issuer"), ("Title of Class", "class"), ("CUSIP", "cusip"), ("Value (x$1000)", "value"),
+    ("Shares/Amt", "shares"), ("Type", "sh_type"), ("Investment Discretion", "discretion"),
+)
+NOTHING = "*No data found in information table or form is a Notice filing.*"
+
+
 def to_markdown(content: str | bytes | None) -> str:
+    """The report as Markdown: manager, period and the table, or that there is
+    none."""
     r = report(content)
-    lines = [f"# {r['form_type']} - {r['manager_name']}", f"Period: {r['period_of_report']}", "", "| Issuer | Class | CUSIP | Value | Shares |", "| :--- | :--- | :--- | :--- | :--- |"]
-    return "\n".join(lines + [f"| {' | '.join(h[c] for c in ('issuer', 'class', 'cusip', 'value', 'shares'))} |" for h in r["holdings"]])
+    manager = f"**Manager:** {r['manager_name']} (CIK: {r['manager_cik']})"
+    lines = [f"# SEC Form {r['form_type']} Filing", manager, f"**Report Period:** {r['period_of_report']}", ""]
+    if not r["holdings"]:
+        return "\n".join([*lines, NOTHING])
+    rows = [[title for title, _ in LAYOUT], [":---"] * len(LAYOUT), *([h[c] for _, c in LAYOUT] for h in r["holdings"])]
+    return "\n".join([*lines, "### Information Table - Institutional Holdings", *(f"| {' | '.join(cells)} |" for cells in rows)])
+
+
+@arrow_udf("string")
+def holdings_markdown(content: pd.Series) -> pd.Series:
+    return content.map(to_markdown)
 
 
-__all__ = ["holdings_report", "report", "to_markdown"]
+__all__ = ["holdings_markdown", "holdings_report", "report", "to_markdown"]

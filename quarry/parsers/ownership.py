@@ -20,6 +20,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import values as V
 from ..functions.udf import arrow_udf
+from ..operators.nested import error_rows
 
 OWNER = {
     "rptowner_cik": "reportingOwnerId/rptOwnerCik", "rptowner_ccc": "reportingOwnerId/rptOwnerCcc", "rptowner_name": "reportingOwnerId/rptOwnerName",
@@ -158,9 +159,20 @@ def record_json(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None or (r := record(c)) is None else json.dumps(r))
 
 
+def parsed(df: DataFrame, key: str, content: str) -> DataFrame:
+    """``(key, r)`` with the typed nested record, null for what no reader can
+    make sense of."""
+    return df.select(key, F.from_json(record_json(content), schema()).alias("r"))
+
+
 def records(df: DataFrame, key: str, content: str) -> DataFrame:
-    """``(key, r)`` with the typed nested record; unreadable rows left out."""
-    return df.select(key, F.from_json(record_json(content), schema()).alias("r")).where("r IS NOT NULL")
+    """The records that could be read."""
+    return parsed(df, key, content).where("r IS NOT NULL")
+
+
+def errors(df: DataFrame, key: str, content: str) -> DataFrame:
+    """A row that says so for each form that could not."""
+    return error_rows(parsed(df, key, content).where("r IS NULL"), key, "unreadable form")
 
 
 def _typed(name: str, c: Column) -> Column:
@@ -175,9 +187,17 @@ def _typed(name: str, c: Column) -> Column:
     return F.nullif(c, F.lit("")) if name != "security_title" else c
 
 
-def tables(df: DataFrame, key: str, content: str) -> dict[str, DataFrame]:
-    """The eight tables of ownership filings, by name."""
-    r = records(df, key, content)
+def tables(df: DataFrame, key: str, content: str, folder: str | None = None) -> dict[str, DataFrame]:
+    """The eight tables of ownership filings, by name, and ``ownership_error``.
+
+    With a ``folder``, forms are parsed once: their records are written there
+    and all tables read them; else each table parses when it is used.
+    """
+    every = parsed(df, key, content)
+    if folder is not None:
+        every.write.option("compression", "zstd").parquet(folder)
+        every = df.sparkSession.read.schema(every.schema).parquet(folder)
+    r = every.where("r IS NOT NULL")
     first_owner = F.coalesce(N.to_int(F.try_element_at("r.owners", F.lit(1)).getField("rptowner_cik")), F.lit(0).cast("long"))
     head = [F.when(F.col("r.issuer_cik") != "", T.zfill("r.issuer_cik")).alias("issuer_cik")]
     head += [_typed(c, F.col(f"r.{c}")).alias(c) for c in HEAD if c != "issuer_cik"]
@@ -195,20 +215,99 @@ def tables(df: DataFrame, key: str, content: str) -> dict[str, DataFrame]:
     signed = r.select(key, F.explode("r.signatures").alias("s"))
     signed = signed.select(key, F.col("s.signature_name").alias("signature_name"), D.strict_date("s.signature_date").alias("signature_date"))
     out["ownership_signature"] = signed.where("signature_name <> '' AND signature_date IS NOT NULL")
+    out["ownership_error"] = error_rows(every.where("r IS NULL"), key, "unreadable form")
     return out
 
 
-#: Markdown tables: list, heading, columns as title and field.
-_LAYOUT = [
-    ("Table I - Non-Derivative Securities", [
-        ("nonderiv_transactions", "Transactions", "Security:security_title|Date:transaction_date|Deemed Exec:deemed_execution_date|Code:transaction_code|Form Type:transaction_form_type|A/D:transaction_acquired_disposed_code|Equity Swap:equity_swap_involved|Timeliness:transaction_timeliness|Shares:transaction_shares|Price:transaction_price_per_share|Total Value:transaction_total_value|Owned After:shares_owned_following_transaction|Value After:value_owned_following_transaction|Nature:@nature"),
-        ("nonderiv_holdings", "Holdings", "Security:security_title|Owned After:shares_owned_following_transaction|Value After:value_owned_following_transaction|Nature:@nature|Summary:@none"),
-    ]),
-    ("Table II - Derivative Securities", [
-        ("deriv_transactions", "Transactions", "Security:security_title|Conv/Exer Price:conversion_or_exercise_price|Date:transaction_date|Code:transaction_code|A/D:transaction_acquired_disposed_code|Shares:@amount|Exercise Date:exercise_date|Expiry Date:expiration_date|Underlying Title:underlying_security_title|Underlying Shares:underlying_security_shares|Underlying Value:underlying_security_value|Owned After:shares_owned_following_transaction|Value After:value_owned_following_transaction|Nature:@nature|Summary:@none"),
-        ("deriv_holdings", "Holdings", "Security:security_title|Conv/Exer Price:conversion_or_exercise_price|Exercise Date:exercise_date|Expiry Date:expiration_date|Underlying Title:underlying_security_title|Underlying Shares:underlying_security_shares|Underlying Value:underlying_security_value|Owned After:shares_owned_following_transaction|Value After:value_owned_following_transaction|Nature:@nature|Summary:@none"),
-    ]),
-]
+#: What a list of the nested record is called, and the table it comes from.
+LISTS = {
+    "non_derivative_transactions": "ownership_nonderiv_transaction", "non_derivative_holdings": "ownership_nonderiv_holding",
+    "derivative_transactions": "ownership_deriv_transaction", "derivative_holdings": "ownership_deriv_holding",
+}
+_SHORT = {"transaction_shares": "shares", "transaction_price_per_share": "price"}
+
+
+def sentence(kind: Column, code: Column, title: Column, refs: Column, notes: Column) -> Column:
+    """What a row says: what was done, under which code, and its notes."""
+    verb = F.when(kind == "A", "acquired").when(kind == "D", "disposed").otherwise("held")
+    coded = F.when(F.coalesce(code, F.lit("")) != "", F.concat(F.lit(" (Code "), code, F.lit(")"))).otherwise("")
+    known = F.filter(F.array_distinct(refs), lambda i: F.try_element_at(notes, i).isNotNull())
+    noted = F.array_join(F.transform(known, lambda i: F.concat(F.lit(" [Note "), i, F.lit(": "), F.try_element_at(notes, i), F.lit("]"))), "")
+    return F.concat(F.coalesce(F.nullif(title, F.lit("")), F.lit("Security")), F.lit(" was "), verb, coded, F.lit("."), noted)
+
+
+def nested_records(t: dict[str, DataFrame], key: str) -> DataFrame:
+    """``(key, record)``: the tables of filings as one nested JSON record each.
+
+    Missing texts are empty, missing numbers 0.0, ids padded, references lists;
+    every row carries its sentence.  Lists are in the order of their rows.
+    """
+
+    def plain(name: str, c: Column) -> Column:
+        if name.endswith("_fn"):
+            return F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "")
+        if name in NUMBERS:
+            return F.coalesce(c, F.lit(0.0))
+        if name in FLAGS:
+            return F.coalesce(c, F.lit(False))
+        if name.endswith("_cik"):
+            return T.zfill(F.coalesce(c.cast("string"), F.lit("")))
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    def listed(df: DataFrame, name: str, fields: list[Column], order: str) -> DataFrame:
+        item = F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("_x"))
+        return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_x"]).alias(name))
+
+    notes = t["ownership_footnote"].groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("footnote_id", "footnote_text"))).alias("footnotes"))
+    empty = F.create_map().cast("map<string,string>")
+    out = t["ownership_submission"].join(notes, key, "left").withColumn("footnotes", F.coalesce("footnotes", empty))
+    owner = t["ownership_reporting_owner"]
+    out = out.join(listed(owner, "reporting_owners", [plain(c, F.col(c)).alias(c) for c in OWNER], "rptowner_cik"), key, "left")
+    for name, table in LISTS.items():
+        rows = t[table].join(notes, key, "left").withColumn("footnotes", F.coalesce("footnotes", empty))
+        cols = [c for c in t[table].columns if c not in (key, "rptowner_cik", "sequence_key")]
+        refs = F.flatten(F.array(*(plain(c, F.col(c)) for c in cols if c.endswith("_fn"))))
+        done = [F.col(c) if c in cols else F.lit("") for c in ("transaction_acquired_disposed_code", "transaction_code")]
+        said = sentence(*done, F.col("security_title"), refs, F.col("footnotes"))
+        short = lambda c: _SHORT.get(c, f"{_SHORT[c[:-3]]}_fn" if c[:-3] in _SHORT and c.endswith("_fn") else c)
+        fields = [plain(c, F.col(c)).alias(short(c)) for c in cols]
+        label = "transaction_summary" if name.endswith("transactions") else "holding_summary"
+        out = out.join(listed(rows, name, [*fields, said.alias(label)], "sequence_key"), key, "left")
+    signed = listed(t["ownership_signature"], "signatures", [F.col("signature_name"), F.col("signature_date").cast("string").alias("signature_date")], "signature_name")
+    out = out.join(signed, key, "left")
+    arrays = [c for c in ("reporting_owners", *LISTS, "signatures")]
+    filled = [F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)).alias(c) for c in arrays]
+    issuer = F.struct(*(plain(c, F.col(c)).alias(c) for c in ("issuer_cik", "issuer_name", "issuer_trading_symbol", "issuer_foreign_trading_symbol", "schema_version")))
+    head = [plain(c, F.col(c)).alias(c) for c in HEAD if not c.startswith("issuer_") and c != "schema_version"]
+    return out.select(key, F.to_json(F.struct(issuer.alias("issuer"), *head, *filled, "footnotes")).alias("record"))
+
+
+_SECURITY, _OWNED, _WORTH = ("Security", "security_title"), ("Owned After", "shares_owned_following_transaction"), ("Value After", "value_owned_following_transaction")
+_NATURE, _SUMMARY, _CONVERSION = ("Nature", "@nature"), ("Summary", "@none"), ("Conv/Exer Price", "conversion_or_exercise_price")
+_UNDERLYING = (
+    ("Exercise Date", "exercise_date"), ("Expiry Date", "expiration_date"), ("Underlying Title", "underlying_security_title"),
+    ("Underlying Shares", "underlying_security_shares"), ("Underlying Value", "underlying_security_value"),
+)
+#: Markdown tables: heading, then list, title and columns as title and field
+#: (fixed values).
+_LAYOUT = (
+    ("Table I - Non-Derivative Securities", (
+        ("nonderiv_transactions", "Transactions", (
+            _SECURITY, ("Date", "transaction_date"), ("Deemed Exec", "deemed_execution_date"), ("Code", "transaction_code"),
+            ("Form Type", "transaction_form_type"), ("A/D", "transaction_acquired_disposed_code"), ("Equity Swap", "equity_swap_involved"),
+            ("Timeliness", "transaction_timeliness"), ("Shares", "transaction_shares"), ("Price", "transaction_price_per_share"),
+            ("Total Value", "transaction_total_value"), _OWNED, _WORTH, _NATURE,
+        )),
+        ("nonderiv_holdings", "Holdings", (_SECURITY, _OWNED, _WORTH, _NATURE, _SUMMARY)),
+    )),
+    ("Table II - Derivative Securities", (
+        ("deriv_transactions", "Transactions", (
+            _SECURITY, _CONVERSION, ("Date", "transaction_date"), ("Code", "transaction_code"), ("A/D", "transaction_acquired_disposed_code"),
+            ("Shares", "@amount"), *_UNDERLYING, _OWNED, _WORTH, _NATURE, _SUMMARY,
+        )),
+        ("deriv_holdings", "Holdings", (_SECURITY, _CONVERSION, *_UNDERLYING, _OWNED, _WORTH, _NATURE, _SUMMARY)),
+    )),
+)
 NONE, NULL = "[NONE]", "[NULL]"
 
 
@@ -243,9 +342,8 @@ def markdown_of(content: bytes | str | None, accession: str | None = None) -> st
     for title, parts in _LAYOUT:
         if any(r[name] for name, _, _ in parts):
             lines += ["", f"## {title}"]
-        for name, heading, layout in parts:
+        for name, heading, cols in parts:
             if r[name]:
-                cols = [c.split(":") for c in layout.split("|")]
                 lines += [f"### {heading}", f"| {' | '.join(c for c, _ in cols)} |", f"| {' | '.join(':---' for _ in cols)} |"]
                 lines += [f"| {' | '.join(_cell(row, f) for _, f in cols)} |" for row in r[name]]
     notes = [f"[^{i}]: {t}" for i, t in r["footnotes"].items()]
@@ -280,6 +378,11 @@ def ground_truth(content: bytes | str | None) -> dict:
     return out | {"signatures": r["signatures"], "footnotes": r["footnotes"]}
 
 
+@arrow_udf("string")
+def ground_truth_json(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: json.dumps(ground_truth(c)))
+
+
 def rationale(kind: str, code: str | None, title: str | None, refs: list[str], notes: dict[str, str]) -> str:
     """A row in a sentence: what was done, under which code, with its notes."""
     verb = {"A": "acquired", "D": "disposed"}.get(kind, "held")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import io
 import tarfile
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.codecs import unpack, unpack_bytes
+from ..functions.codecs import unpack
 
 SCHEMA = "archive string, member string, content binary"
 
@@ -63,33 +62,66 @@ class ArchiveSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """The same rows from any store Spark reads, an archive a row."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _streamed(path: str, suffix: str) -> Iterator[tuple[str, str, bytes]]:
+    """Members of a tar in any store pyarrow opens, plain or packed, streamed."""
+    from pyarrow import fs
 
-    def run(batches):
-        import pandas as pd
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with store.open_input_file(name) as f:
+        head = f.read(4)
+    kind = "zstd" if head == b"\x28\xb5\x2f\xfd" else "gzip" if head[:2] == b"\x1f\x8b" else None
+    with store.open_input_stream(name, compression=kind) as f, tarfile.open(fileobj=f, mode="r|") as tar:
+        for m in tar:
+            if m.isfile() and m.name.endswith(suffix):
+                yield path, m.name, tar.extractfile(m).read()
 
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(unpack_bytes(bytes(content)))) as tar:
-                    rows = [(name, m.name, tar.extractfile(m).read()) for m in tar if m.isfile() and m.name.endswith(suffix)]
-                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
-    return files.mapInPandas(run, SCHEMA)
+def archive_members(paths: DataFrame, path: str = "path", suffix: str = "") -> DataFrame:
+    """``(archive, member, content)`` of the archives a table names, each opened
+    and unpacked in its task as a stream: one member at a time is in memory."""
 
+    def run(batches):
+        import pandas as pd
 
-def daily_archives(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
-    """``(day, path)`` of feeds under a folder, zstd before gzip of a day."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    day = F.regexp_extract("path", r"/(\d{8})[^/]*\.tar(?:\.(?:gz|zst))?$", 1)
-    found = files.select(day.alias("day"), "path").where(F.col("day").rlike("^[0-9]{8}$"))
+        for batch in batches:
+            for name in batch["path"]:
+                held, size = [], 0
+                for row in _streamed(name, suffix):
+                    held.append(row)
+                    size += len(row[2])
+                    if size >= 8 << 20:
+                        yield pd.DataFrame(held, columns=["archive", "member", "content"])
+                        held, size = [], 0
+                yield pd.DataFrame(held, columns=["archive", "member", "content"])
+
+    return paths.select(F.col(path).alias("path")).mapInPandas(run, SCHEMA)
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of all files below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+
+
+def best_archives(paths: DataFrame, path: str = "path", days: list[str] | None = None, since: int | None = None) -> DataFrame:
+    """``(day, path)`` of daily feeds under ``year/QTRn/RAW``: names of eight
+    digits, years from ``since`` on, zstd before gzip before plain of a day."""
+    parts = F.regexp_extract(path, r"(?:^|/)(\d{4})/QTR([1-4])/RAW/([^/]*)$", 3)
+    day = F.regexp_extract(parts, r"^(\d{8})[^/]*\.tar(?:\.(?:gz|zst))?$", 1)
+    year = F.regexp_extract(path, r"(?:^|/)(\d{4})/QTR[1-4]/RAW/", 1)
+    found = paths.select(day.alias("day"), F.col(path).alias("path"), year.alias("year")).where(F.col("day").rlike("^[0-9]{8}$"))
+    if since is not None:
+        found = found.where(F.col("year").cast("int") >= since)
     if days is not None:
         found = found.where(F.col("day").isin(days))
     rank = F.when(F.endswith("path", F.lit(".zst")), 0).when(F.endswith("path", F.lit(".gz")), 1).otherwise(2)
     return found.groupBy("day").agg(F.min_by("path", F.struct(rank.alias("r"), "path")).alias("path"))
 
 
+def daily_archives(spark: SparkSession, root: str, days: list[str] | None = None, since: int | None = None) -> DataFrame:
+    """The feeds under a folder, the best file of each day."""
+    return best_archives(listed(spark, root), "path", days, since)
+
+
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     """Files with their content decompressed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -57,3 +57,12 @@ def with_labels(paths: DataFrame, path: str, suffixes: dict[str, str]) -> DataFr
     folder = F.regexp_replace(path, "/[^/]*$", "")
     item = F.struct(F.col(path).alias("path"), label.otherwise("other").alias("label"))
     return paths.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_list(item)).alias("files"))
+
+
+def discovered(pages: DataFrame, base: str, html: str, local: DataFrame, path: str, form: str | None = None) -> DataFrame:
+    """What listing pages name and what is here already, each path once, with
+    whether it is here; with ``form``, paths of that form's folder alone."""
+    there = directory_entries(pages, base, html).select(F.col("target").alias("path"), F.lit(False).alias("here"))
+    here = local.select(F.col(path).alias("path"), F.lit(True).alias("here"))
+    both = there.unionByName(here).groupBy("path").agg(F.max("here").alias("here"))
+    return both if form is None else both.where(F.contains("path", F.lit(f"/{form}/")))

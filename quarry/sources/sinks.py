@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import pack_zstd
+
 from ..functions import text as T
 from ..operators.joins import in_rows
 
@@ -22,6 +31,64 @@ def document_index(documents: DataFrame, filing: str) -> DataFrame:
     return documents.groupBy(filing).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("documents_index"))
 
 
+def side_cars(filings: DataFrame, filing: str, raw: str, markdown: str, fragments: str) -> DataFrame:
+    """``(filing, member, content)``: what lies beside a filing's documents: the
+    envelope, its header and its primary document as Markdown, and a numbered
+    file for each fragment of that (an array of texts), all packed."""
+
+    def one(suffix: str, content: str) -> DataFrame:
+        some = filings.where(F.col(content).isNotNull())
+        return some.select(F.col(filing), F.concat(F.col(filing), F.lit(suffix)).alias("member"), F.encode(F.col(content), "UTF-8").alias("content"))
+
+    pieces = filings.select(F.col(filing), F.posexplode(fragments).alias("n", "t"))
+    number = F.when(F.col("n") < 99, F.lpad((F.col("n") + 1).cast("string"), 2, "0")).otherwise((F.col("n") + 1).cast("string"))
+    pieces = pieces.select(filing, F.concat(F.col(filing), F.lit(".out."), number, F.lit(".md.zst")).alias("member"), F.encode("t", "UTF-8").alias("content"))
+    every = one(".sgml.zst", raw).unionByName(one(".out.md.zst", markdown)).unionByName(pieces)
+    return every.select(filing, "member", pack_zstd("content").alias("content"))
+
+
+def write_archives(members: DataFrame, archive: str, member: str, content: str, folder: str, parts: int | None = None) -> DataFrame:
+    """Write a tar for each value of ``archive``, its members in order, and
+    return ``(archive, path, members)``, a row for each.
+
+    Members stream into their archive one at a time.  A task writes under a name
+    of its own attempt; only the paths of finished tasks are returned, so what a
+    lost task left is never read.
+    """
+    dealt = members.select(F.col(archive).cast("string").alias("archive"), F.col(member).alias("member"), F.col(content).alias("content"))
+    dealt = (dealt.repartition(parts, "archive") if parts else dealt.repartition("archive")).sortWithinPartitions("archive", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        now, out, tar, n, done = None, None, None, 0, []
+
+        def close() -> None:
+            if tar is not None:
+                tar.close()
+                out.close()
+                done.append((now, f"{root}/{now}-{TaskContext.get().taskAttemptId()}.tar", n))
+
+        for batch in batches:
+            for name, file, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if name != now:
+                    close()
+                    store.create_dir(root, recursive=True)
+                    now, n = name, 0
+                    out = store.open_output_stream(f"{root}/{now}-{TaskContext.get().taskAttemptId()}.tar")
+                    tar = tarfile.open(fileobj=out, mode="w|")
+                info = tarfile.TarInfo(file)
+                info.size = len(body or b"")
+                tar.addfile(info, io.BytesIO(body or b""))
+                n += 1
+        close()
+        cols = list(zip(*done, strict=True)) or [[], [], []]
+        kinds = [pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["archive", "path", "members"])
+
+    written = dealt.mapInArrow(run, "archive string, path string, members long")
+    return written.sparkSession.createDataFrame(written.collect(), written.schema)  # a row for each archive
+
+
 def write_table(df: DataFrame, path: str, *partitions: str, mode: str = "append") -> None:
     writer = df.write.mode(mode).option("compression", "zstd")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
@@ -44,6 +111,14 @@ def bundle(root: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]
     return out
 
 
+def registered_bundle(registry: dict, tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """A bundle as a configuration names it: ``root``, its ``key``, and
+    ``related`` tables with the column that refers to it; of the root's rows
+    those whose key is in ``keys``."""
+    root = in_rows(tables[registry["root"]], keys, registry["key"])
+    return bundle(root, registry["key"], {name: (tables[name], foreign) for name, foreign in registry["related"].items()})
+
+
 def filled_template(template: str, fields: dict[str, Column]) -> Column:
     """A LaTeX template with ``{{name}}`` marks, values escaped."""
     out = F.lit(template)

@@ -68,14 +68,19 @@ def test_archives_and_blobs(spark, tmp_path):
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
     raw = buffer.getvalue()
+    feed = tmp_path / "2024/QTR1/RAW"
+    feed.mkdir(parents=True)
     for name, data in (("20240101.tar.gz", gzip.compress(raw)), ("20240101.tar.zst", zstandard.compress(raw)), ("20240102.tar", raw)):
-        (tmp_path / name).write_bytes(data)
+        (feed / name).write_bytes(data)
     spark.dataSource.register(archives.ArchiveSource)
-    got = spark.read.format("archive").option("suffix", ".nc").load(str(tmp_path / "*.tar*")).collect()
+    got = spark.read.format("archive").option("suffix", ".nc").load(str(feed / "*.tar*")).collect()
     assert [(r.member, bytes(r.content)) for r in got] == [("x.nc", b"one")] * 3
-    assert archives.archive_members(spark, str(tmp_path / "*.zst")).count() == 2
-    days = {r.day: r.path for r in archives.daily_archives(spark, str(tmp_path)).collect()}
+    best = archives.daily_archives(spark, str(tmp_path))
+    days = {r.day: r.path for r in best.collect()}
     assert days["20240101"].endswith(".zst") and set(days) == {"20240101", "20240102"}
+    assert sorted((r.member, bytes(r.content)) for r in archives.archive_members(best).collect()) == [("x.nc", b"one")] * 2 + [("y.txt", b"two")] * 2
+    assert archives.archive_members(archives.listed(spark, str(tmp_path)), suffix=".nc").count() == 3
+    assert archives.daily_archives(spark, str(tmp_path), ["20240102"]).count() == 1 and archives.daily_archives(spark, str(tmp_path), since=2025).count() == 0
     (tmp_path / "blob").mkdir()
     (tmp_path / "blob/a.zst").write_bytes(zstandard.compress(b"0123456789"))
     row = archives.blobs(spark, str(tmp_path / "blob")).select(archives.segment("content", 2, 5).alias("s")).first()
