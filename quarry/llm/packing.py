@@ -1,9 +1,9 @@
 """Retrieval packing: sequences filled with lexical neighbours of a seed.
 
 Documents are routed to shards by their words, wherever they lie in the corpus:
-a tree of centroids of weighted token vectors, fitted on a bounded sample, has a
-leaf for about each shard, and a leaf's documents meet in one task.  A shard has
-a BM25 inverted index over token ids; the next unused document is the seed of a
+a tree of centroids of weighted word vectors, fitted on a bounded sample, has a
+leaf for about each shard, and a leaf's documents meet in one task, which encodes
+them (their words are alike, so most are known by then).  A shard has a BM25 inverted index over token ids; the next unused document is the seed of a
 window, all its terms ask the index for unused neighbours, and these
 fill the window best first.  The document that crosses the window's end is cut
 and its rest seeds the next window, so only a shard's last window is not full;
@@ -21,16 +21,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, slices
+from . import rolling
+from .common import doc_rows, slices, text_buffer
 from .tokens import UnitEncoder
 
 LENGTH = 2048
 #: Ids a shard holds before it is packed (a longer document is a shard).
 SHARD = 2 << 20
+#: Bytes of text that a shard is meant to have, which give about so many ids.
+TEXT = 5 << 20
 #: Documents the routing tree is fitted on, about, and its fan-out.
-SAMPLE, FAN = 8192, 8
-#: Places of a routing vector; token ids are dealt to them by a hash.
-PLACES = 4096
+SAMPLE, FAN = 4096, 8
+#: Places of a routing vector; words are dealt to them by a hash of their size
+#: and first letters.
+PLACES, LETTERS = 4096, 6
+#: Bytes of a text that fills many windows by itself: it is dealt by its id.
+LONG = 64 << 10
 K1, B = 1.2, 0.75
 
 
@@ -143,34 +149,33 @@ def pack_shard(docs: list[np.ndarray], ends: int, length: int = LENGTH) -> list[
                 place(lowest)
 
 
-_PLACE = ((np.arange(1 << 17, dtype=np.int64) * 2654435761 >> 12) % PLACES).astype(np.int32)
-
-
-def places_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Document and place of each distinct place of some documents' ids."""
-    flat = np.frombuffer(b"".join(raw), "<u4")
-    at = np.repeat(np.arange(len(raw)) * PLACES, [len(r) // 4 for r in raw])
-    has = np.zeros(len(raw) * PLACES, bool)
-    has[at + _PLACE[flat & 0x1FFFF]] = True
-    keys = np.flatnonzero(has)
-    return keys // PLACES, keys % PLACES
+def places_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which places the words of each text have, and the bytes of each text."""
+    raw, off = text_buffer(texts)
+    starts, ends, first = rolling.word_spans(raw, off)
+    size = ends - starts
+    padded = np.append(raw, np.zeros(LETTERS, np.uint8))
+    key = size.astype(np.uint64)
+    for j in range(LETTERS):
+        key = key * np.uint64(257) + np.where(size > j, padded[starts + j], 0).astype(np.uint64)
+    place = (rolling.mix(key) % np.uint64(PLACES)).astype(np.int64)
+    has = np.zeros(len(texts) * PLACES, bool)
+    has[np.repeat(np.arange(len(texts)) * PLACES, np.diff(first)) + place] = True
+    return has.reshape(len(texts), PLACES), np.diff(off)
 
 
 class Router:
     """A tree of centroids; its leaves are numbered, and a leaf that no
     centroids divide (copies) has several numbers, dealt by row."""
 
-    def __init__(self, sample: list[np.ndarray], sizes: np.ndarray, target: float):
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, target: float):
         n = len(sample)
-        doc = np.repeat(np.arange(n), [len(p) for p in sample])
-        place = np.concatenate(sample).astype(np.int64) if n else np.zeros(0, np.int64)
-        df = np.bincount(place, minlength=PLACES)
+        df = sample.sum(0)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves: list[tuple[int, int]] = []
         self.shards, self.fill = 0, 0.0
-        x = np.zeros((n, PLACES), np.float32)
-        x[doc, place] = self.idf[place]
+        x = sample * self.idf
         x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
         self.root = self._grow(x, np.arange(n), sizes, target, np.random.default_rng(5))
 
@@ -207,11 +212,10 @@ class Router:
         self.nodes[at][1].extend([self._grow(x, own[of == j], sizes, target, rng) for j in kept])
         return at
 
-    def route(self, doc: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The shard of each of ``len(rows)`` documents."""
-        n = len(rows)
-        first = np.searchsorted(doc, np.arange(n + 1))
-        out, todo = np.zeros(n, np.int64), [(self.root, np.arange(n))]
+    def route(self, has: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The shard of each of ``len(rows)`` documents, from their places."""
+        x = has * self.idf
+        out, todo = np.zeros(len(rows), np.int64), [(self.root, np.arange(len(rows)))]
         while todo:
             node, own = todo.pop()
             if node < 0:
@@ -219,33 +223,28 @@ class Router:
                 out[own] = start + rows[own] % copies
                 continue
             mid, children = self.nodes[node]
-            best = np.zeros(len(own), np.int64)
-            for i, d in enumerate(own.tolist()):
-                p = place[first[d] : first[d + 1]]
-                best[i] = (self.idf[p] @ mid[p]).argmax()
+            best = (x[own] @ mid).argmax(1)
             todo += [(c, own[best == j]) for j, c in enumerate(children) if (best == j).any()]
         return out
 
 
-def router(docs: DataFrame, vocabulary: str, pattern: str) -> Router:
-    """A router for a table, from the places of about ``SAMPLE`` texts."""
+def router(docs: DataFrame) -> Router:
+    """A router for a table, from the words of about ``SAMPLE`` texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder.load(vocabulary, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                ids = encoder.encode(batch.column("text").to_pylist())
-                doc, place = places_of(ids)
-                first = np.searchsorted(doc, np.arange(len(ids) + 1))
-                cols = [[len(d) // 4 + 1 for d in ids], [place[a:b].astype("<u2").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["size", "places"])
+            for batch in slices(whole, "text", 1 << 20):
+                has, size = places_of(batch.column("text"))
+                packed = [b.tobytes() for b in np.packbits(has, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(packed, pa.binary())], names=["size", "places"])
 
     count = docs.count()
     some = doc_rows(docs)
     some = some.sample(SAMPLE / count, seed=3) if count > SAMPLE else some
     found = sorted((bytes(r.places), r.size) for r in some.mapInArrow(run, "size long, places binary").collect())
     sizes = np.array([n for _, n in found], float)
-    return Router([np.frombuffer(p, "<u2") for p, _ in found], sizes, SHARD * max(1, len(found)) / max(1, count))
+    sample = np.unpackbits(np.frombuffer(b"".join(p for p, _ in found), np.uint8)).reshape(len(found), PLACES).astype(bool)
+    return Router(sample, sizes, TEXT * max(1, len(found)) / max(1, count))
 
 
 SCHEMA = (
@@ -259,13 +258,13 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
 
     ``start`` and ``length`` place the piece in its document's ids (end id
     included), ``sequence_id`` and ``offset`` in its sequence; ``padded`` is
-    the sequence's size after padding.  Ids are shuffled once, to their shard; a
-    task holds one shard at a time, and a leaf of the router that holds more than
-    a shard is cut.  A null or empty text is the end id alone; rows that share
+    the sequence's size after padding.  Texts are shuffled once, to their shard; a
+    task holds one shard's ids at a time, and a leaf of the router that holds more
+    than a shard is cut.  A null or empty text is the end id alone; rows that share
     an id are packed each; an empty table has no pieces.
     """
 
-    routes = router(docs, vocabulary, pattern)
+    routes = router(docs)
     shared = docs.sparkSession.sparkContext.broadcast(routes)
     # A number for each shard that the shuffle deals to a partition of its own.
     n = max(1, routes.shards)
@@ -273,15 +272,13 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
     own = {r.p: r.id for r in docs.sparkSession.range(40 * n).groupBy(dealt_to).agg(F.min("id").alias("id")).collect()}
     number = np.array([own.get(i, 40 * n + i) for i in range(n)], np.int64)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder.load(vocabulary, pattern)
-        end = np.array([end_id], "<u4").tobytes()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                raw = encoder.encode(batch.column("text").to_pylist())
+            for batch in slices(whole, "text", 1 << 20):
+                has, size = places_of(batch.column("text"))
                 rows = np.array([zlib.crc32(str(i).encode()) for i in batch.column("doc_id").to_pylist()], np.int64)
-                shard = shared.value.route(*places_of(raw), rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number[shard]), pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "shard", "ids"])
+                shard = np.where(size > LONG, rows % n, shared.value.route(has, rows))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number[shard]), batch.column("text")], names=["doc_id", "shard", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
@@ -307,19 +304,20 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, length
             base += last + 1
             return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
+        encoder, end = UnitEncoder.load(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
         names, ids, held, last = [], [], 0, None
-        for batch in (w.slice(i, 256) for w in batches for i in range(0, w.num_rows, 256)):
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids"))
-            for doc_id, shard, raw in zip(*columns, strict=True):
+        for batch in (s for w in batches for s in slices(w, "text", 1 << 20)):
+            coded = encoder.encode(batch.column("text").to_pylist())
+            for doc_id, shard, raw in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), coded, strict=True):
                 if ids and (shard != last or held >= SHARD):
                     yield flush(names, ids)
                     names, ids, held = [], [], 0
                 names.append(doc_id)
-                ids.append(np.frombuffer(raw, "<u4"))
+                ids.append(np.frombuffer(raw + end, "<u4"))
                 held, last = held + len(ids[-1]), shard
         if ids:
             yield flush(names, ids)
 
-    encoded = doc_rows(docs).mapInArrow(encode, "doc_id long, shard long, ids binary")
-    dealt = encoded.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
+    dealt = doc_rows(docs).mapInArrow(deal, "doc_id long, shard long, text string")
+    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(run, SCHEMA)

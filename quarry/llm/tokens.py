@@ -51,6 +51,9 @@ class UnitEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.known, self.bare = _Known(self, "Ġ"), _Known(self, "")
+        #: Pieces of signs alone, and the line break.
+        self.signs = _Signs(self)
+        self.line = self.piece("Ċ")
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -79,11 +82,11 @@ class UnitEncoder:
             parts = unit.split("\n")
             if parts == unit.split():
                 first, *rest = parts
-                line = self.piece("Ċ")
+                line = self.line
                 return b"".join([known[first], *(x for r in rest for x in (line, self.bare[r]))])
         head = unit.rstrip(_SIGNS)
         if head and head != unit and head.isalpha():
-            return known[head] + self.piece(unit[len(head) :])
+            return known[head] + self.signs[unit[len(head) :]]
         pieces = self.split(" " + unit if known.lead else unit)
         return b"".join([self.piece(self._shown(p)) for p in pieces])
 
@@ -98,13 +101,15 @@ class UnitEncoder:
             first, *rest = text[:-1].split(" ") if last else text.split(" ")
             try:
                 ids = self.bare[first] + b"".join(map(known.__getitem__, rest))
-                out.append(ids + self.piece("Ċ") if last else ids)
+                out.append(ids + self.line if last else ids)
             except _Beside:
                 out.append(self.whole(text) if text else b"")
             if len(known) > REMEMBER:
                 known.clear()
             if len(self.bare) > REMEMBER // 4:
                 self.bare.clear()
+            if len(self.signs) > REMEMBER // 8:
+                self.signs.clear()
         return out
 
 
@@ -128,6 +133,17 @@ class _Known(dict):
         return ids
 
 
+class _Signs(dict):
+    """Pieces of signs and their ids."""
+
+    def __init__(self, encoder: UnitEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, shown: str) -> bytes:
+        ids = self[shown] = self.encoder.piece(shown)
+        return ids
+
+
 def default_paths() -> tuple[str, str]:
     """The installed vocabulary and its split pattern."""
     import public_tokenizers

@@ -26,6 +26,7 @@ def test_all_terms_ask():
 
 def test_neighbours_meet_across_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 4000)
+    monkeypatch.setattr(packing, "TEXT", 10_000)
     rng = np.random.default_rng(5)
     words = [[f"{a}{b}" for a in x for b in "lmnoprst"] for x in ("uvw", "xyz")]
     rows = [(i, " ".join(rng.choice(words[i % 2], 20))) for i in range(400)]
