@@ -30,8 +30,9 @@ LENGTH = 2048
 SHARD = 2 << 20
 #: Bytes of text that a shard is meant to have, which give about so many ids.
 TEXT = 5 << 20
-#: Documents the routing tree is fitted on, about, and its fan-out.
-SAMPLE, FAN = 4096, 8
+#: Documents the routing tree is fitted on, about (half grow it, the others tell
+#: how much its leaves will hold), and its fan-out.
+SAMPLE, FAN = 8192, 8
 #: Places of a routing vector; words are dealt to them by a hash of their size
 #: and first letters.
 PLACES, LETTERS = 4096, 6
@@ -164,69 +165,83 @@ def places_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return has.reshape(len(texts), PLACES), np.diff(off)
 
 
+#: Documents of the sample that a leaf grows from at least.
+LEAST = 32
+
+
 class Router:
-    """A tree of centroids; its leaves are numbered, and a leaf that no
-    centroids divide (copies) has several numbers, dealt by row."""
+    """A tree of centroids.  Leaves are given shards by what documents that the
+    tree has not grown from put into them: several shards, dealt by row, to a
+    leaf that holds more than one; one to small leaves that follow each other."""
 
     def __init__(self, sample: np.ndarray, sizes: np.ndarray, target: float):
-        n = len(sample)
-        df = sample.sum(0)
+        grow, tell = (slice(0, None, 2), slice(1, None, 2)) if len(sample) >= 2 * LEAST else (slice(0, None), slice(0, None))
+        df = sample[grow].sum(0)
+        n = len(sample[grow])
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
-        self.leaves: list[tuple[int, int]] = []
-        self.shards, self.fill = 0, 0.0
-        x = sample * self.idf
+        self.leaves = 0
+        x = sample[grow] * self.idf
         x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
-        self.root = self._grow(x, np.arange(n), sizes, target, np.random.default_rng(5))
-
-    def _leaf(self, share: float) -> int:
-        # Small leaves that follow each other, siblings first, share a shard.
-        copies = max(1, int(np.ceil(share)))
-        if self.shards and self.fill + share <= 1:
-            self.leaves.append((self.shards - 1, 1))
-            self.fill += share
-        else:
-            self.leaves.append((self.shards, copies))
-            self.shards, self.fill = self.shards + copies, share if copies == 1 else 1.0
-        return -len(self.leaves)
-
-    def _grow(self, x: np.ndarray, own: np.ndarray, sizes: np.ndarray, target: float, rng) -> int:
-        share = sizes[own].sum() / target
-        if share <= 1 or len(own) < 2:
-            return self._leaf(share)
-        k = int(min(FAN, max(2, np.ceil(share)), len(own)))
-        part = x[own]
-        mid = part[rng.choice(len(own), k, replace=False)]
-        for _ in range(8):
+        share = sizes[grow] / target * (sizes.sum() / max(1.0, sizes[grow].sum()))
+        self.root = self._grow(x, np.arange(n), share, np.random.default_rng(5))
+        del x
+        seen = np.zeros(self.leaves)
+        for i in range(0, len(sample[tell]), 512):
+            own = sizes[tell][i : i + 512]
+            np.add.at(seen, self.leaf(sample[tell][i : i + 512]), own)
+        seen *= sizes.sum() / max(1.0, sizes[tell].sum()) / target
+        self.first, self.copies = np.zeros(self.leaves, np.int64), np.ones(self.leaves, np.int64)
+        self.shards, fill = 0, 2.0
+        for i, held in enumerate(seen.tolist()):
+            if fill + held > 1:
+                self.copies[i] = max(1, int(np.ceil(held)))
+                self.shards, fill = self.shards + int(self.copies[i]), held if held <= 1 else 2.0
+                self.first[i] = self.shards - self.copies[i]
+            else:
+                self.first[i], fill = self.shards - 1, fill + held
+
+    def _grow(self, x: np.ndarray, own: np.ndarray, share: np.ndarray, rng) -> int:
+        whole = share[own].sum()
+        if whole > 1 and len(own) >= 2 * LEAST:
+            k = int(min(FAN, max(2, np.ceil(whole)), len(own) // LEAST))
+            part = x[own]
+            mid = part[rng.choice(len(own), k, replace=False)]
+            for _ in range(8):
+                of = (part @ mid.T).argmax(1)
+                for j in range(k):
+                    if (of == j).any():
+                        m = part[of == j].sum(0)
+                        mid[j] = m / max(np.sqrt((m * m).sum()), 1e-9)
             of = (part @ mid.T).argmax(1)
-            for j in range(k):
-                if (of == j).any():
-                    m = part[of == j].sum(0)
-                    mid[j] = m / max(np.sqrt((m * m).sum()), 1e-9)
-        of = (part @ mid.T).argmax(1)
-        kept = np.unique(of)
-        if len(kept) < 2:
-            return self._leaf(share)
-        at = len(self.nodes)
-        self.nodes.append((np.ascontiguousarray(mid[kept].T), []))
-        self.nodes[at][1].extend([self._grow(x, own[of == j], sizes, target, rng) for j in kept])
-        return at
-
-    def route(self, has: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The shard of each of ``len(rows)`` documents, from their places."""
+            kept = np.unique(of)
+            if len(kept) > 1:
+                at = len(self.nodes)
+                self.nodes.append((np.ascontiguousarray(mid[kept].T), []))
+                self.nodes[at][1].extend([self._grow(x, own[of == j], share, rng) for j in kept])
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, has: np.ndarray) -> np.ndarray:
+        """The leaf of each document, from its places."""
         x = has * self.idf
-        out, todo = np.zeros(len(rows), np.int64), [(self.root, np.arange(len(rows)))]
+        out, todo = np.zeros(len(x), np.int64), [(self.root, np.arange(len(x)))]
         while todo:
             node, own = todo.pop()
             if node < 0:
-                start, copies = self.leaves[-node - 1]
-                out[own] = start + rows[own] % copies
+                out[own] = -node - 1
                 continue
             mid, children = self.nodes[node]
             best = (x[own] @ mid).argmax(1)
             todo += [(c, own[best == j]) for j, c in enumerate(children) if (best == j).any()]
         return out
 
+    def route(self, has: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The shard of each of ``len(rows)`` documents."""
+        leaf = self.leaf(has)
+        return self.first[leaf] + rows % self.copies[leaf]
+
 
 def router(docs: DataFrame) -> Router:
     """A router for a table, from the words of about ``SAMPLE`` texts."""

@@ -90,6 +90,69 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_quality`` that SQL can say, from the same operator."""
+    return op4_quality(spark, sf_dir).select("doc_id", *quality.FEATURES, "base_failed")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of ``op2_pii``."""
+    return op2_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of ``op9_media``."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+#: Words, symbols, lines and windows of eight words by their own counts.
+QUALITY_SQL = """
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\x0b\\f\\r]')) AS ls
+    FROM documents
+), p AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+), again AS (
+    SELECT doc_id, g FROM p GROUP BY doc_id, g HAVING count(*) > 1
+), c AS (
+    SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT p.doc_id, unnest(range(i, i + 8)) AS k FROM p JOIN again USING (doc_id, g)) GROUP BY doc_id
+), f AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+    FROM w LEFT JOIN c USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+"""
+
+#: Matches of the base patterns that hold.
+PII_SQL = """
+WITH m AS (
+    SELECT doc_id,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS e,
+        regexp_extract_all(coalesce(text, ''), '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS i,
+        list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c,
+        list_transform(regexp_extract_all(coalesce(text, ''), '\\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p
+    FROM documents
+)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email,
+    CAST(len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: coalesce(TRY_CAST(y AS HUGEINT), 999))) <= 255)) AS BIGINT) AS n_ip,
+    CAST(len(list_filter(c, lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k:
+        CASE WHEN (length(x) - k) % 2 = 0 THEN CAST(x[k] AS INTEGER) WHEN CAST(x[k] AS INTEGER) > 4 THEN 2 * CAST(x[k] AS INTEGER) - 9 ELSE 2 * CAST(x[k] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
+    CAST(len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM m
+"""
+
+#: Texts as bytes with their padding.
+MEDIA_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b) AS n FROM b)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || unhex(repeat('FF', CAST(m - n AS BIGINT)))) AS payload_sha256
+FROM (SELECT *, CAST(greatest(1, (n + 575) // 576) * 576 AS BIGINT) AS m FROM n)
+"""
+
 #: Windows by their words, found in a document with a smaller id.
 OP5_SQL = """
 WITH w AS (
@@ -147,8 +210,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_records": op8_records,
         "op9_media": op9_media,
         "op10_suffix_array": op10_suffix_array,
+        "quality_counts": quality_counts,
+        "pii_counts": pii_counts,
+        "media_payloads": media_payloads,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": OP5_SQL, "op10_suffix_array": OP10_SQL}
+    return {
+        "op5_substring": OP5_SQL, "op10_suffix_array": OP10_SQL, "quality_counts": QUALITY_SQL, "pii_counts": PII_SQL, "media_payloads": MEDIA_SQL,
+    }

@@ -125,6 +125,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, pattern: str, e
     return sorted(files, key=lambda r: (r.first_id is None, r.first_id or 0, r.first_hash))
 
 
+def record_at(file, offset: int) -> tuple[int | None, bytes]:
+    """The record whose frame begins at an offset of an open data file."""
+    file.seek(offset)
+    head = file.read(HEAD.size)
+    payload, _ = unframe(head + file.read(HEAD.unpack(head)[0] + 4), 0)
+    return parse(payload)
+
+
 def read_index(store: fs.FileSystem, path: str) -> np.ndarray:
     """Offsets and starts of all records of a data file, from its index."""
     with store.open_input_file(path.removesuffix("records") + "index") as f:
@@ -173,6 +181,41 @@ def read_records(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
+def read_shuffled(spark: SparkSession, folder: str, manifest: list, seed: int = 0) -> DataFrame:
+    """All records in an order fixed by ``seed``: ``(place, doc_id, ids)``.
+
+    Only the index files are read to draw the order (by a hash of seed, file and
+    offset); then each record is read at its offset, file by file within a task,
+    so that neighbours in the order come from anywhere in the data.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                offset = read_index(store, path)["offset"].astype(np.int64)
+                for i in range(0, len(offset), 100_000):
+                    part = offset[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(part)], names=["path", "offset"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths, offsets = batch.column("path").to_pylist(), batch.column("offset").to_pylist()
+            found: list[tuple] = [()] * len(paths)
+            for path in dict.fromkeys(paths):
+                with store.open_input_file(path) as f:
+                    for i in (k for k, p in enumerate(paths) if p == path):
+                        found[i] = record_at(f, offsets[i])
+            ids = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("place"), ids, pa.array([x[1] for x in found], pa.binary())], names=["place", "doc_id", "ids"])
+
+    files = spark.createDataFrame([(r.path,) for r in manifest], "path string").repartition(max(1, len(manifest)))
+    place = F.xxhash64(F.lit(seed), "path", "offset").alias("place")
+    drawn = files.mapInArrow(entries, "path string, offset long").select(place, "path", "offset")
+    return drawn.orderBy("place", "path", "offset").mapInArrow(run, "place long, doc_id long, ids binary")
+
+
 def record_round_trip(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0) -> DataFrame:
     """Write ``docs`` as records into the shared folder and read them back.
 

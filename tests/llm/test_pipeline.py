@@ -1,12 +1,19 @@
-"""The pipeline's stages, one by one and as a whole, against brute force."""
+"""The pipeline's stages, one by one and as a whole, against plain versions of
+their contracts that share no code with the operators."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import pii, quality, simhash, tokens
+from quarry.llm import tokens
+
+from .test_pii import plain as plain_spans
+from .test_quality import brute as brute_counts
+from .test_simhash import brute_fingerprint, brute_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the house of a man and some other words that make up plain text for this test in which each line is new".split()
@@ -31,16 +38,23 @@ def test_stages(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_spans", "personal_data", "packed"]
 
-    kept = stages["quality_rules"](spark, docs, "")
-    verdict = {(r.doc_id, r.n_words): r.kept for r in quality.quality_rules(docs).collect()}
-    got = sorted(r.doc_id for r in kept.collect())
-    assert got == sorted(i for i, t, *_ in rows if verdict[i, len((t or "").split())])
-    assert not {301, 302, 303} & set(got) and {0, 200, 201, 300} <= set(got)
-
-    apart = stages["near_duplicates"](spark, kept, "")
-    links = {r.component_id for r in simhash.near_duplicates(kept).collect()}
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(links)
-    assert not {100, 101, 102, 103, 104} & links
+    kept = stages["quality_rules"](spark, docs, "").collect()
+    counts = {(i, t): brute_counts(t) for i, t, *_ in rows}
+    fails = {k for k, (n, _, _, _, again) in counts.items() if n < 20 or 100 * again > 30 * n}
+    got = sorted((r.doc_id, r.text) for r in kept)
+    # What the base rule rejects goes; what no rule can speak against stays.
+    assert not set(got) & fails and {(301, "too short"), (302, None), (303, "spam ham " * 80)} <= fails
+    plain = {k for k in set(counts) - fails if counts[k][2] == counts[k][3] == counts[k][4] == 0}
+    assert plain <= set(got) and len(plain) > 30
+    assert [r for r in kept if r.lang != "en" or r.source != "s" or r.n_chars != len(r.text)] == []
+
+    apart = stages["near_duplicates"](spark, spark.createDataFrame(kept, SCHEMA).repartition(4), "").collect()
+    top, first = brute_groups([brute_fingerprint(r.text) for r in kept]), {}
+    for r, t in zip(kept, top, strict=True):
+        first[t] = min(first.get(t, 1 << 62), r.doc_id)
+    assert sorted(r.doc_id for r in apart) == sorted(first.values())
+    assert not {100, 101, 102, 103, 104} & set(first.values()) and set(map(tuple, apart)) <= set(map(tuple, kept))
+    apart = spark.createDataFrame(apart, SCHEMA).repartition(3)
 
     clean = stages["repeated_spans"](spark, apart, "").collect()
     before = {r.doc_id: r.text for r in apart.collect()}
@@ -61,20 +75,49 @@ def test_stages(spark, tmp_path):
     safe = stages["personal_data"](spark, spark.createDataFrame(clean, SCHEMA), "")
     texts = {r.doc_id: r for r in safe.collect()}
     for r in clean:
-        base, added = pii.find([r.text], pii.judge())[0]
-        assert texts[r.doc_id].text == pii.redact(r.text, base + added)
+        # All that stands between the base spans stays, unless it was added.
+        now, at, pattern = texts[r.doc_id].text, 0, ""
+        for _, x, y in sorted(plain_spans(r.text), key=lambda s: s[1]):
+            if x >= at:
+                pattern += re.escape(r.text[at:x]) + "<[A-Z]+>"
+            at = max(at, y)
+        assert re.fullmatch(pattern + re.escape(r.text[at:]), now) and not plain_spans(now) and texts[r.doc_id].n_chars == len(now)
     assert texts[300].text.endswith("write to <EMAIL> or <PHONE>") and safe.schema == docs.schema
 
-    packed = stages["packed"](spark, safe, "").collect()
-    encoder = tokens.UnitEncoder.load(*tokens.default_paths())
-    for r in packed:
-        ids = np.append(np.frombuffer(encoder.encode([texts[r.doc_id].text])[0], "<u4"), np.uint32(1)).astype("<u4")
-        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
-
+    library = Tokenizer.from_file(tokens.default_paths()[0])
+
+    def check_pieces(packed):
+        pieces = {}
+        for r in packed:
+            pieces.setdefault(r.doc_id, []).append(r)
+        assert set(pieces) == set(texts)
+        for i, own in pieces.items():
+            ids = np.array([*library.encode(texts[i].text, add_special_tokens=False).ids, 1], "<u4")
+            own.sort(key=lambda r: r.start)
+            assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and sum(r.length for r in own) == len(ids)
+            assert all(r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+        rows = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+        for (s0, o0, n0), (s1, o1, _) in zip(rows, rows[1:], strict=False):
+            assert o1 == (o0 + n0 if s1 == s0 else 0)
+        assert all(o + n <= 2048 for _, o, n in rows)
+
+    check_pieces(stages["packed"](spark, safe, "").collect())
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole if r.start == 0 and r.length == r.doc_tokens) or whole
-    assert {r.doc_id for r in whole} == set(texts)
+    check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_more_columns_and_repeated_rows(spark):
+    text = " ".join(WORDS * 3)
+    schema = SCHEMA + ", _key string, key int, row int, block int, kind string"
+    rows = [(1, text, "en", "s", 5, "b", 1, 2, 3, "x"), (1, text, "en", "s", 5, "a", 1, 2, 3, "x"), (None, "other " + text, None, None, None, None, None, None, None, None)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == spark.createDataFrame(rows, schema).columns, name
+        got = docs.collect()
+        assert [r for r in got if r.doc_id == 1] == [r for r in got if r._key == "a"] and len(got) <= 2
+        assert stage(spark, docs, "").count() == len(got)
 
 
 def test_empty_and_odd_tables(spark):

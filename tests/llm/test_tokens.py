@@ -60,6 +60,21 @@ def test_records(spark):
     assert records.record_round_trip(df.limit(0), *PATHS).count() == 0
 
 
+def test_shuffled_reads(spark, tmp_path):
+    rows, df = _frame(spark)
+    folder = f"file://{tmp_path}/records"
+    manifest = records.write_records(df, folder, *PATHS)
+    orders = []
+    for seed in (1, 1, 2):
+        got = records.read_shuffled(spark, folder, manifest, seed).collect()
+        want = sorted((str(i), _ids(t, 0)) for i, t in rows)
+        assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
+        assert [r.place for r in got] == sorted(r.place for r in got)
+        orders.append([r.doc_id for r in got])
+    assert orders[0] == orders[1] != orders[2] and orders[0] != sorted(orders[0], key=lambda i: (i is None, i))
+    assert records.read_shuffled(spark, folder, []).count() == 0
+
+
 def test_damage_is_seen():
     data = records.frame(b"payload")
     assert records.unframe(data, 0) == (b"payload", len(data))
