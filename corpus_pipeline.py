@@ -2,7 +2,12 @@
 
 Each stage works on all rows the one before kept; between stages rows are
 written as Parquet and read again.  All but the last keep the columns of
-``documents``.
+``documents``, whatever more there are and whatever they are called.
+
+Null and empty texts have too few words and go in the first stage, as does a
+table without rows: every stage of an empty table is empty.  Very long texts are
+read whole by every stage.  Of rows that repeat whole, or in id and text, one
+stays, the same in every run; rows without an id take part and come last.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import packing, pii, quality, simhash, suffix, tokens
-from quarry.llm.common import staged
+from quarry.llm.common import kept, release, scratch, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``: a row per piece of a packed sequence.
+
+    Tables a stage stages for itself are deleted when its rows are written, and
+    these when the next stage's are; what the last one reads stays, as its
+    result is lazy.  An empty table gives no pieces.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = kept(staged(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
