@@ -55,3 +55,9 @@ def resolved_path(stored: Column | str, year: Column | str, quarter: Column | st
         usable = usable & F.coalesce(p != 0, F.lit(False))
     made = F.format_string("data/%d/QTR%d/%02d/%02d/%s" + suffix, *parts, col(name))
     return F.coalesce(F.nullif(col(stored), F.lit("")), F.when(usable, made))
+
+
+def year_or(c: Column | str, today: Column | None = None) -> Column:
+    """A year, or where there is none that of ``today`` (a parameter, so that a
+    run can be repeated; else the day of the run)."""
+    return F.coalesce(col(c).cast("int"), F.year(today if today is not None else F.current_date()))

@@ -46,3 +46,11 @@ def round_half_even(c: Column | str, places: int = 2) -> Column:
 def ratio(a: Column | str, b: Column | str) -> Column:
     """Zero where the divisor is."""
     return F.coalesce(F.try_divide(col(a).cast("double"), col(b).cast("double")), F.lit(0.0))
+
+
+def display(c: Column | str, least: int = 2, most: int = 2) -> Column:
+    """A number for reading: thousands separated, at least and at most so many
+    places (``###,##0.00`` has 2 and 2, ``###,##0.####`` 0 and 4)."""
+    whole = F.format_number(F.bround(col(c).cast("decimal(38,10)"), most), most)
+    cut = F.regexp_replace(whole, rf"(\.[0-9]{{{least}}}[0-9]*?)0+$", "$1") if most > least else whole
+    return F.regexp_replace(cut, r"\.$", "")

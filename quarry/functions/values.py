@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -35,6 +36,24 @@ def xml_bool(c: Column | str) -> Column:
     return F.coalesce(F.lower(strip(col(c))).isin("1", "true", "yes", "y"), F.lit(False))
 
 
+def strict_bool(c: Column | str) -> Column:
+    """The strict reading: ``1`` or ``true`` as they stand, nothing else."""
+    return F.coalesce(col(c).isin("1", "true"), F.lit(False))
+
+
+def code_table(stylesheet: str) -> dict[str, str]:
+    """Codes and their descriptions from the published stylesheet's choices, the
+    place where the full list of states and countries is kept."""
+    found = re.findall(r"(?s)<xsl:when\s+test=\"\$\w+\s*=\s*'([^']+)'\"\s*>\s*(.*?)\s*</xsl:when>", stylesheet)
+    return {code: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", text)).strip() for code, text in found}
+
+
+def description_of(code: Column | str, table: dict[str, str]) -> Column:
+    """A code's description from a table; null for one it lacks."""
+    pairs = F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items())))
+    return F.try_element_at(pairs, F.upper(strip(col(code))))
+
+
 def first_present(*cols: Column | str) -> Column:
     """The first value neither null nor empty."""
     return F.coalesce(*(F.nullif(col(c), F.lit("")) for c in cols))

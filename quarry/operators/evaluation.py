@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_left
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udf import arrow_udf
-
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import values as V
+from ..functions.porter import porter_stem
+from ..functions.udf import arrow_udf
 from .joins import ABSENT, matched_values
 
 
@@ -18,7 +23,6 @@ from .joins import ABSENT, matched_values
 def flatten_json(records: pd.Series) -> pd.Series:
     """Leaves of a JSON record by path, parts joined by ``_``; values trimmed
     and in lower case; empty lists and objects leave no key."""
-    import json
 
     def one(raw: str | None) -> dict | None:
         if raw is None:
@@ -180,35 +184,78 @@ def value_in_text(value: Column | str, text: Column | str) -> Column:
     return F.when(v.isNull() | (v == ""), "n/a").when(there, "pass").otherwise("fail")
 
 
-def rouge_1(a: Column, b: Column) -> Column:
-    """F-measure of the overlap of two arrays of words, as multisets."""
-    both = F.array_intersect(a, b)
-    shared = F.aggregate(both, F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
-    return N.ratio(2 * shared, F.size(a) + F.size(b))
-
-
-@arrow_udf("double")
-def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    """F-measure of the longest common subsequence of two texts' words."""
-
-    def one(x: str | None, y: str | None) -> float:
-        u, v = (x or "").lower().split(), (y or "").lower().split()
-        if not u or not v:
-            return 0.0
-        # Hunt and Szymanski: the common length by the least end of each.
-        from bisect import bisect_left
-
-        where: dict[str, list[int]] = {}
-        for i, w in enumerate(v):
-            where.setdefault(w, []).insert(0, i)
-        ends: list[int] = []
-        for w in u:
-            for i in where.get(w, ()):
-                k = bisect_left(ends, i)
-                ends[k : k + 1] = [i]
-        return 2 * len(ends) / (len(u) + len(v))
+def rouge_words(text: str | None, stemmed: bool) -> list[str]:
+    """Runs of ASCII letters and digits in lower case; with ``stemmed``, those
+    of more than three characters by their stem."""
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    return [porter_stem(w) if len(w) > 3 else w for w in words] if stemmed else words
+
+
+def common_length(u: list[str], v: list[str]) -> int:
+    """Length of the longest common subsequence (Hunt and Szymanski: the least
+    end of each length)."""
+    where: dict[str, list[int]] = {}
+    for i, w in enumerate(v):
+        where.setdefault(w, []).insert(0, i)
+    ends: list[int] = []
+    for w in u:
+        for i in where.get(w, ()):
+            k = bisect_left(ends, i)
+            ends[k : k + 1] = [i]
+    return len(ends)
+
+
+def rouge(found: Column | str, truth: Column | str, stemmed: bool = True) -> Column:
+    """F-measures ``(rouge1, rougeL)`` of two texts: of the overlap of their
+    words as multisets, and of their longest common subsequence."""
+
+    @arrow_udf("struct<rouge1: double, rougeL: double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            u, v = rouge_words(x, stemmed), rouge_words(y, stemmed)
+            shared = sum((Counter(u) & Counter(v)).values())
+            n = len(u) + len(v)
+            rows.append((2 * shared / n if n else 0.0, 2 * common_length(u, v) / n if n else 0.0))
+        return pd.DataFrame(rows, columns=["rouge1", "rougeL"], dtype=float)
+
+    return run(T.col(found), T.col(truth))
+
+
+def held_out(keys: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first keys of a hold-out list, at least one."""
+    return keys.orderBy(order).limit(max(1, n)).select(key)
+
+
+#: Fields of an extracted record that are numbers (fixed values).
+NUMERIC_FIELDS = {
+    "shares", "price", "transaction_total_value", "shares_owned_following_transaction", "value_owned_following_transaction",
+    "conversion_or_exercise_price", "underlying_security_shares", "underlying_security_value",
+}
+
+
+@arrow_udf("string")
+def sanitised(records: pd.Series) -> pd.Series:
+    """JSON records with all texts trimmed and the numeric fields' texts, with
+    or without thousands separators, as numbers; null for what is no JSON."""
+
+    def clean(x, name: str = ""):
+        if isinstance(x, dict):
+            return {k: clean(v, k) for k, v in x.items()}
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        if not isinstance(x, str):
+            return x
+        plain = x.strip().replace(",", "")
+        return float(plain) if name in NUMERIC_FIELDS and re.fullmatch(r"[-+]?\d+(?:\.\d+)?", plain) else x.strip()
+
+    def one(raw: str | None) -> str | None:
+        try:
+            return json.dumps(clean(json.loads(raw)), ensure_ascii=False) if raw else None
+        except ValueError:
+            return None
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return records.map(one)
 
 
 def first_mismatch(pairs: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,11 @@ def zipped(a: DataFrame, b: DataFrame, key: str, items: str) -> DataFrame:
     return x.join(y, [key, "pos"])
 
 
-def with_terms(df: DataFrame, terms: list[str], name: str = "term") -> DataFrame:
-    """Each row once per term: the terms are literals in the plan."""
-    return df.withColumn(name, F.explode(F.array(*(F.lit(t) for t in dict.fromkeys(terms)))))
+def per_term(df: DataFrame, keep: list[str], terms: list[str], value: Callable[[str], Column], name: str) -> DataFrame:
+    """``keep``, ``term`` and a value for each literal term, made from the row in
+    one pass: what the value is made of is not copied to each term."""
+    items = F.array(*(F.struct(F.lit(t).alias("term"), value(t).alias(name)) for t in dict.fromkeys(terms)))
+    return df.select(*keep, F.inline(items))
 
 
 def looked_up(ids: Column, table: Column) -> Column:
@@ -52,6 +56,9 @@ def looked_up(ids: Column, table: Column) -> Column:
     return F.filter(F.transform(ids, lambda i: F.try_element_at(table, i)), lambda x: x.isNotNull())
 
 
-def related(parents: DataFrame, child: DataFrame, on: Column, where: Column, key: str) -> DataFrame:
-    """Parents with a child for which a condition on both holds, each once."""
-    return parents.join(child, on, "left").where(where).select(*(parents[c] for c in parents.columns)).dropDuplicates([key])
+def related(parents: DataFrame, child: DataFrame, on: Column, alone: Column, with_child: Column) -> DataFrame:
+    """Parents for which a condition of theirs holds or that have a child for
+    which one of its own does, each once: the first need no join, the others a
+    semi-join, so no parent is copied to its children."""
+    known = F.coalesce(alone, F.lit(False))
+    return parents.where(known).unionByName(parents.where(~known).join(child.where(with_child), on, "left_semi"))

@@ -7,6 +7,7 @@ written beside the old one and switched by :func:`publish`.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,28 +15,46 @@ from pyspark.sql import functions as F
 from .joins import not_in_rows
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Known keys get the source's ``columns``, new ones all it has."""
-    s = source.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_s_{c}") for c in source.columns if c != key), F.lit(True).alias("_new"))
-    joined = target.withColumn("_old", F.lit(True)).join(s, target[key] == s["_k"], "full")
+def one_each(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """A row for each key: that with the greatest ``by``, then the greatest by
+    its columns in their order, so that every run takes the same."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != key))
+    order = F.struct(F.col(by).alias("by"), rest.alias("rest")) if by else rest
+    best = df.groupBy(key).agg(F.max_by(rest, order).alias("row"))
+    return best.select(*(F.col(key) if c == key else F.col(f"row.`{c}`") for c in df.columns))
+
+
+def upsert(target: DataFrame, source: DataFrame, key: str, columns: list[str], by: str | None = None) -> DataFrame:
+    """Known keys get the source's ``columns``, new ones all it has.  Of source
+    rows with one key the last by ``by`` counts (see :func:`one_each`)."""
+    s = one_each(source, key, by).select(F.struct(*(F.col(f"`{c}`") for c in source.columns)).alias("s"))
+    t = target.select(F.struct(*(F.col(f"`{c}`") for c in target.columns)).alias("t"))
+    joined = t.join(s, F.col(f"t.`{key}`") == F.col(f"s.`{key}`"), "full")
 
     def pick(c: str):
-        if c == key:
-            return F.coalesce(key, "_k").alias(key)
+        old = F.col(f"t.`{c}`")
         if c not in source.columns:
-            return F.col(c)
-        from_source = F.col("_old").isNull() if c not in columns else F.col("_new").isNotNull()
-        return F.when(from_source, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c)
+            return old.alias(c)
+        new = F.col(f"s.`{c}`")
+        if c == key:
+            return F.coalesce(old, new).alias(c)
+        from_source = F.col("t").isNull() if c not in columns else F.col("s").isNotNull()
+        return F.when(from_source, new).otherwise(old).alias(c)
 
     return joined.select(*(pick(c) for c in target.columns))
 
 
-def insert_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def insert_ignore(target: DataFrame, source: DataFrame, key: str, by: str | None = None) -> DataFrame:
     """Source rows with new keys join the target; of equal keys, one."""
-    fresh = not_in_rows(source.dropDuplicates([key]), target, key)
+    fresh = not_in_rows(one_each(source, key, by), target, key)
     return target.unionByName(fresh.select(*target.columns))
 
 
+def not_done(rows: DataFrame, done: DataFrame, key: str, replace: bool = False) -> DataFrame:
+    """Rows whose output is not there yet; all, where it is to be replaced."""
+    return rows if replace else not_in_rows(rows, done, key)
+
+
 def get_or_create(target: DataFrame, source: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Keys of the source the target lacks come in with defaults."""
     fresh = not_in_rows(source.select(key).distinct(), target, key)
@@ -82,7 +101,7 @@ def append_unless(entries: DataFrame, new: DataFrame, on: list[str]) -> DataFram
 def content_put(store: DataFrame, blobs: DataFrame) -> DataFrame:
     """Content-addressed insert: new (sha1, content) rows the store lacks."""
     keyed = blobs.select(F.sha1("content").alias("sha1"), "content")
-    return keyed.dropDuplicates(["sha1"]).join(store.select("sha1"), "sha1", "left_anti")
+    return one_each(keyed, "sha1").join(store.select("sha1"), "sha1", "left_anti")
 
 
 def publish(df: DataFrame, root: str, codec: str = "zstd") -> str:
@@ -93,5 +112,56 @@ def publish(df: DataFrame, root: str, codec: str = "zstd") -> str:
     return path
 
 
+POINTER = "CURRENT"
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def switch(spark: SparkSession, root: str, version: str) -> None:
+    """Make a published version the one that :func:`current` reads: its name is
+    written beside the pointer and takes its place by a rename."""
+    name = version.rstrip("/").rpartition("/")[2]
+    fresh, store = _path(spark, f"{root.rstrip('/')}/.{POINTER}-{uuid.uuid4().hex}")
+    out = store.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    pointer, _ = _path(spark, f"{root.rstrip('/')}/{POINTER}")
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, pointer, options)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The version the pointer names; None before the first."""
+    pointer, store = _path(spark, f"{root.rstrip('/')}/{POINTER}")
+    if not store.exists(pointer):
+        return None
+    name = spark.read.text(pointer.toString()).first()["value"]
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+
+
+def copy_tables(spark: SparkSession, read: Callable[[str], DataFrame], root: str, depends: dict[str, list[str]]) -> DataFrame:
+    """Copy tables into ``root``, each after those it refers to:
+    ``(table, place, rows)`` with the place it had in the order."""
+    order: list[str] = []
+    left = dict(depends)
+    while left:
+        ready = sorted(t for t, needs in left.items() if not set(needs) & set(left))
+        if not ready:
+            raise ValueError(f"tables refer to each other: {sorted(left)}")
+        order += ready
+        left = {t: needs for t, needs in left.items() if t not in ready}
+    done = []
+    for i, t in enumerate(order):
+        read(t).write.mode("overwrite").option("compression", "zstd").parquet(f"{root.rstrip('/')}/{t}")
+        done.append((t, i, spark.read.parquet(f"{root.rstrip('/')}/{t}").count()))
+    return spark.createDataFrame(done, "table string, place int, rows long")
+
+
 def missing_tables(spark: SparkSession, names: list[str]) -> list[str]:
     return [n for n in names if not spark.catalog.tableExists(n)]

@@ -21,7 +21,8 @@ LOOKUPS: dict[str, Callable[[Column, object], Column]] = {
     "gte": lambda c, v: c >= v,
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
-    "year": lambda c, v: F.year(c) == v,
+    # A range of texts, which the reader of a date or timestamp can use.
+    "year": lambda c, v: (c >= f"{int(v):04d}-01-01") & (c < f"{int(v) + 1:04d}-01-01"),
     "quarter": lambda c, v: F.quarter(c) == v,
     "range": lambda c, v: c.between(*v),
 }
@@ -72,6 +73,19 @@ def annotated(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.withColumns(exprs)
 
 
+def renamed(df: DataFrame, names: dict[str, str], known: list[str] | None = None) -> DataFrame:
+    """Columns under new names; with ``known``, of these alone those there are."""
+    out = df.withColumnsRenamed(names)
+    return out if known is None else out.select(*(c for c in known if c in out.columns))
+
+
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with the number of their batch of about ``size``: batches are dealt
+    by a hash of the key, so their number needs a count but no order."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
 def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 

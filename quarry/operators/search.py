@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.udf import arrow_udf
 
 from ..functions import text as T
-from .joins import with_terms
+from .joins import per_term
 
 
 def stem(word: str) -> str:
@@ -33,23 +35,23 @@ def term_counts(
     docs: DataFrame, key: str, text: str, terms: list[str], *, case_sensitive: bool = True, tokens: bool = False, stemmed: bool = False
 ) -> DataFrame:
     """``(key, term, count)`` for terms that occur: as substrings that do not
-    overlap, as whole tokens, or by stem (then keyed by the term as given)."""
-    body = F.col(text) if case_sensitive and not stemmed else F.lower(text)
-    want = [t for t in dict.fromkeys(terms) if t]
+    overlap, as whole tokens, or by stem (then keyed by the term as given).
+
+    One pass over each text, whatever the number of terms: words are filtered
+    once, and no text is copied for a term.
+    """
+    plain = case_sensitive and not stemmed
+    body = F.col(text) if plain else F.lower(text)
+    want = {t: (stem(t) if stemmed else t if plain else t.lower()) for t in terms if t}
+    if not want:
+        return docs.select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("count")).where(F.lit(False))
     if tokens or stemmed:
-        words = T.tokens(body)
-        prepared = docs.select(F.col(key), (stems(words) if stemmed else words).alias("_w"))
-        crossed = with_terms(prepared, want)
-        if stemmed:
-            table = F.create_map(*(F.lit(x) for t in want for x in (t, stem(t))))
-            probe = F.element_at(table, F.col("term"))
-        else:
-            probe = F.col("term") if case_sensitive else F.lower("term")
-        n = T.count_token("_w", probe)
+        words = stems(T.tokens(body)) if stemmed else T.tokens(body)
+        hits = F.filter(words, lambda w: w.isin(sorted(set(want.values()))))
+        found = per_term(docs.select(F.col(key), hits.alias("_h")), [key], list(want), lambda t: T.count_token("_h", F.lit(want[t])), "count")
     else:
-        crossed = with_terms(docs.select(F.col(key), body.alias("_t")), want)
-        n = T.count_substring("_t", F.col("term") if case_sensitive else F.lower("term"))
-    return crossed.select(key, "term", n.alias("count")).where("count > 0")
+        found = per_term(docs.select(F.col(key), body.alias("_t")), [key], list(want), lambda t: T.count_substring("_t", F.lit(want[t])), "count")
+    return found.where("count > 0")
 
 
 def primary_document(documents: DataFrame, filing: str, name: str, order: str) -> DataFrame:
@@ -105,6 +107,38 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+#: Functions from a column of texts to a column of vectors, by name; a model is
+#: plugged in with :func:`define_embedding`.
+EMBEDDINGS: dict[str, Callable[[Column], Column]] = {"hashed": hashed_embedding}
+
+
+def define_embedding(name: str, function: Callable[[Column], Column]) -> None:
+    """Name a vectoriser, which then serves rows and queries alike."""
+    EMBEDDINGS[name] = function
+
+
+def embedded(df: DataFrame, text: str, name: str = "hashed", out: str = "embedding") -> DataFrame:
+    return df.withColumn(out, EMBEDDINGS[name](F.col(text)))
+
+
+def retrieved(chunks: DataFrame, questions: DataFrame, k: int, *, key: str, question: str, text: str = "content", name: str = "hashed", where: Column | None = None) -> DataFrame:
+    """The k chunks nearest to each question's text, both embedded by one named
+    function: ``(query_id, key, rank, similarity)``.  Filters come first."""
+    rows = embedded((chunks if where is None else chunks.where(where)).select(key, text), text, name)
+    asks = embedded(questions.select(F.col(question).alias(key), text), text, name)
+    return nearest(rows, asks, k, key=key, itself=True)
+
+
+def filing_context(chunks: DataFrame, filings: DataFrame, filing: str, order: str, content: str, raw: str, k: int = 4, limit: int = 40_000) -> DataFrame:
+    """``(filing, context)``: the k best chunks of each filing, by ``order``, or,
+    of one without chunks, the start of its raw text."""
+    best = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(filing).orderBy(order))).where(F.col("_n") <= k)
+    rows = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(content).alias("t"))))
+    found = best.groupBy(filing).agg(F.array_join(F.transform(rows, lambda r: r.t), "\n\n").alias("_c"))
+    joined = filings.select(filing, raw).join(found, filing, "left")
+    return joined.select(filing, F.coalesce("_c", F.substring(F.col(raw), 1, limit)).alias("context"))
+
+
 def lsh_index(chunks: DataFrame, vector: str = "embedding", tables: int = 8, width: float = 0.5, seed: int = 7):
     """A fitted locality-sensitive index and the frame with ML vectors."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -119,8 +153,8 @@ def lsh_index(chunks: DataFrame, vector: str = "embedding", tables: int = 8, wid
 ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 32_768, 4_096, 32
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """The exact k nearest rows of each query, itself (by key) left out:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", metric: str = "cosine", itself: bool = False) -> DataFrame:
+    """The exact k nearest rows of each query, itself (by key) left out unless asked for:
     ``(query_id, key, rank, similarity or distance)``; ties go to the smaller
     key.
 
@@ -166,7 +200,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vec
             # Near values by one product, those in question exactly.
             about = square - 2 * (w[i : i + 256] @ v.T)
             for q, x, near in zip(asking[i : i + 256], w[i : i + 256], about, strict=True):
-                near[ids == q] = np.inf
+                if not itself:
+                    near[ids == q] = np.inf
                 last = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
                 at = np.flatnonzero((near <= last + 1e-9 * (1 + abs(last) if np.isfinite(last) else 0)) & (near < np.inf))
                 cost = -(v[at] * x).sum(1) if cos else np.sqrt(((v[at] - x) ** 2).sum(1))
@@ -184,24 +219,43 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vec
 
 
 def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """``(key, cosine)`` of two texts' TF-IDF vectors; document frequencies
-    are those of all texts of both columns."""
-    sides = [pairs.select(F.col(key), F.lit(n).alias("side"), F.explode(T.tokens(F.lower(c))).alias("word")) for n, c in ((0, a), (1, b))]
-    tf = sides[0].unionByName(sides[1]).groupBy(key, "side", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    texts = pairs.agg((2 * F.count("*")).alias("n"))  # one row
-    weight = F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))
-    weighted = tf.join(df, "word").crossJoin(F.broadcast(texts)).select(key, "side", "word", weight.alias("w"))
-    by_word = weighted.groupBy(key, "word").agg(*(F.sum(F.when(F.col("side") == n, F.col("w")).otherwise(0.0)).alias(c) for n, c in ((0, "x"), (1, "y"))))
+    """``(key, cosine)`` of the TF-IDF vectors of two texts, fitted to each pair:
+    words of two characters or more in lower case, document frequencies over the
+    pair's two texts, smoothed.  Zero where either text has no word."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    sides = [pairs.select(F.col(key), F.explode(words(F.col(c))).alias("word"), F.lit(x).alias("x"), F.lit(1 - x).alias("y")) for c, x in ((a, 1), (b, 0))]
+    tf = sides[0].unionByName(sides[1]).groupBy(key, "word").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    weighted = tf.select(key, (F.col("x") * idf).alias("x"), (F.col("y") * idf).alias("y"))
     total = lambda u, v: F.sum(F.col(u) * F.col(v))
-    return by_word.groupBy(key).agg(F.coalesce(F.try_divide(total("x", "y"), F.sqrt(total("x", "x") * total("y", "y"))), F.lit(0.0)).alias("cosine"))
+    found = weighted.groupBy(key).agg(F.coalesce(F.try_divide(total("x", "y"), F.sqrt(total("x", "x") * total("y", "y"))), F.lit(0.0)).alias("cosine"))
+    return pairs.select(key).join(found, key, "left").na.fill({"cosine": 0.0})
 
 
-def prompt_context(chunks: DataFrame, form: str, date: str, content: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Retrieved chunks as one text, or one per group of ``by``:
-    ``[form date]: content``, blank lines."""
+def prompt_context(chunks: DataFrame, form: str, date: str, content: str, order: str, by: list[str] | None = None, k: int = 1000) -> DataFrame:
+    """The first ``k`` chunks, by ``order``, as one text, or as one per group of
+    ``by``: ``[form date]: content``, blank lines."""
     line = F.concat(F.lit("["), F.col(form), F.lit(" "), F.col(date).cast("string"), F.lit("]: "), F.col(content))
     keys = by or []
-    rows = chunks.select(*keys, F.struct(F.col(order).alias("o"), line.alias("t")).alias("r"))
-    ordered = F.array_sort(F.collect_list("r"))
+    rows = chunks.select(*keys, F.col(order).alias("o"), line.alias("t"))
+    if keys:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "t"))).where(F.col("_n") <= k)
+    else:
+        rows = rows.orderBy("o", "t").limit(k)
+    ordered = F.array_sort(F.collect_list(F.struct("o", "t")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r.t), "\n\n").alias("context"))
+
+
+#: What an extraction prompt is made of: the schema's template, numbered rules
+#: and the document.
+PROMPT = "Extract the record of this template:\n{template}\n\nRules:\n{rules}\n\nDocument:\n"
+
+
+def extraction_prompt(template: str, rules: list[str], content: Column) -> Column:
+    numbered = "\n".join(f"{i}. {r}" for i, r in enumerate(rules, 1))
+    return F.concat(F.lit(PROMPT.format(template=template, rules=numbered)), content)
+
+
+def cache_key(model: str, prompt: Column) -> Column:
+    """Where the answer to a prompt is kept: equal prompts to one model share it."""
+    return F.sha1(F.encode(F.concat(F.lit(model + "\n"), prompt), "UTF-8"))

@@ -261,7 +261,7 @@ def join_anti_unloaded(spark, sf_dir):
 @query("SELECT DISTINCT o_orderkey, o_orderstatus FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 300000 OR l_quantity >= 50")
 def join_span_or(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), table(spark, sf_dir, "lineitem")
-    rows = joins.related(orders, lines, F.expr("o_orderkey = l_orderkey"), F.expr("o_totalprice > 300000 OR l_quantity >= 50"), "o_orderkey")
+    rows = joins.related(orders, lines, F.expr("o_orderkey = l_orderkey"), F.expr("o_totalprice > 300000"), F.expr("l_quantity >= 50"))
     return rows.select("o_orderkey", "o_orderstatus")
 
 
@@ -276,8 +276,8 @@ def join_positional_zip(spark, sf_dir):
 
 @query(f"SELECT doc_id, term, {RAW_COUNT} AS count FROM documents, {TERM_ROWS}")
 def join_doc_terms_cross(spark, sf_dir):
-    crossed = joins.with_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS)
-    return crossed.select("doc_id", "term", T.count_substring("text", "term").alias("count"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return joins.per_term(docs, ["doc_id"], TERMS, lambda t: T.count_substring("text", F.lit(t)), "count")
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(CAST(a.toxic AS VARCHAR), '__NULL__') AS truth, coalesce(b.lang, '__NULL__') AS found FROM labels a FULL JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
@@ -627,26 +627,41 @@ def eva_macro(spark, sf_dir):
     return evaluation.macro_mean(evaluation.with_scores(evaluation.match_counts(_verdicts(spark, sf_dir), "lang")))
 
 
-@query("SELECT doc_id, round(2.0 * (SELECT coalesce(sum(least(a.n, b.n)), 0) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(aw) AS w) GROUP BY w) a JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(bw) AS w) GROUP BY w) b USING (w)) / (len(aw) + len(bw)), 6) AS rouge FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(d.text), '[ \t\r\n]+'), lambda x: x <> '') AS aw, list_filter(regexp_split_to_array(lower(b.text), '[ \t\r\n]+'), lambda x: x <> '') AS bw FROM documents d JOIN benchmark b ON d.doc_id = b.item_id)")
+def _turn_pairs(spark, sf_dir):
+    """Each turn beside the next of its conversation."""
+    conv = table(spark, sf_dir, "conversations")
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return conv.select("conv_id", "turn", "text").join(nxt, ["conv_id", "turn"])
+
+
+PAIRS = "(SELECT a.conv_id, a.turn, a.text, b.text AS other FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+ROUGE_WORDS = "SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower({}), '[a-z0-9]+')) AS w FROM " + PAIRS + ") GROUP BY ALL"
+
+
+@query(f"WITH a AS ({ROUGE_WORDS.format('text')}), b AS ({ROUGE_WORDS.format('other')}), s AS (SELECT conv_id, turn, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (conv_id, turn, w) GROUP BY ALL), na AS (SELECT conv_id, turn, sum(n) AS n FROM a GROUP BY ALL), nb AS (SELECT conv_id, turn, sum(n) AS n FROM b GROUP BY ALL) SELECT p.conv_id, p.turn, round(coalesce(2.0 * coalesce(shared, 0) / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0), 0), 0), 6) AS rouge FROM {PAIRS} p LEFT JOIN s USING (conv_id, turn) LEFT JOIN na USING (conv_id, turn) LEFT JOIN nb USING (conv_id, turn)")
 def eva_rouge1(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other"), F.expr("doc_id = item_id"))
-    score = evaluation.rouge_1(T.tokens(F.lower("text")), T.tokens(F.lower("other")))
-    return pairs.select("doc_id", F.round(score, 6).alias("rouge"))
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluation.rouge("text", "other", stemmed=False).getField("rouge1"), 6).alias("rouge"))
 
 
 @query()
-def eva_rouge_l(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other"), F.expr("doc_id = item_id"))
-    return pairs.select("doc_id", F.round(evaluation.rouge_l("text", "other"), 6).alias("rouge_l"))
+def eva_rouge_stemmed(spark, sf_dir):
+    scored = _turn_pairs(spark, sf_dir).select("conv_id", "turn", evaluation.rouge("text", "other").alias("r"))
+    return scored.select("conv_id", "turn", F.round("r.rouge1", 6).alias("rouge1"), F.round("r.rougeL", 6).alias("rougeL"))
 
 
-@query("SELECT field, count(*) AS n FROM (SELECT conv_id, 'turns_' || role AS field FROM conversations UNION ALL SELECT conv_id, 'turns_text' FROM conversations) GROUP BY field HAVING false OR field = 'turns_text'")
+@query("SELECT key, field, truth, found FROM (SELECT conv_id AS key, 'turns_' || n || '_' || f AS field, CASE f WHEN 'turn' THEN CAST(turn AS VARCHAR) WHEN 'role' THEN role ELSE lower(trim(text)) END AS truth, CASE WHEN turn % 5 = 4 THEN '__NULL__' WHEN f = 'turn' THEN CAST(turn AS VARCHAR) WHEN f = 'role' THEN CASE WHEN turn % 3 = 0 THEN 'x' ELSE role END ELSE lower(trim(text)) END AS found FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations), (VALUES ('turn'), ('role'), ('text')) t(f))")
 def eva_flatten_match(spark, sf_dir):
+    """Nested records of both sides flattened and matched, field by field."""
     conv = table(spark, sf_dir, "conversations")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    record = conv.groupBy(F.col("conv_id").alias("key")).agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
-    rows = evaluation.long_form(record, "key", "record").withColumn("field", evaluation.without_index("field"))
-    return rows.where("field = 'turns_text'").groupBy("field").agg(F.count("*").alias("n"))
+    one = F.struct("turn", "role", "text")
+    other = F.when(F.col("turn") % 5 == 4, "{}").otherwise(F.to_json(F.struct("turn", F.when(F.col("turn") % 3 == 0, "x").otherwise(F.col("role")).alias("role"), "text")))
+
+    def side(item):
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("j")))), lambda r: r.j)
+        return conv.groupBy(F.col("conv_id").alias("key")).agg(F.concat(F.lit('{"turns": ['), F.array_join(parts, ","), F.lit("]}")).alias("record"))
+
+    truth, found = (evaluation.long_form(side(x), "key", "record") for x in (F.to_json(one), other))
+    return joins.matched_values(truth, found, ["key", "field"])
 
 
 # Nested records and batch reports ----------------------------------------------------------
@@ -713,11 +728,6 @@ def join_note_lookup(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(joins.looked_up(ids, table_of), "; ").alias("notes"))
 
 
-@query("SELECT string_agg('[' || role || ' ' || turn || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE conv_id = 0")
-def rag_context(spark, sf_dir):
-    return search.prompt_context(table(spark, sf_dir, "conversations").where("conv_id = 0"), "role", "turn", "text", "turn")
-
-
 @query("SELECT conv_id, string_agg('[' || role || ' ' || turn || ']: ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def rag_context_each(spark, sf_dir):
     return search.prompt_context(table(spark, sf_dir, "conversations"), "role", "turn", "text", "turn", by=["conv_id"])
@@ -731,16 +741,16 @@ def eva_parity_values(spark, sf_dir):
     )
 
 
-WORDS = "unnest(list_filter(regexp_split_to_array(lower({}), '[ \t\r\n]+'), lambda x: x <> '')) AS word"
+TF = "SELECT conv_id, turn, w, sum(x) AS x, sum(y) AS y FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS w, 1 AS x, 0 AS y FROM " + PAIRS + " UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(lower(other), '[\\p{L}\\p{N}_]{2,}')), 0, 1 FROM " + PAIRS + ") GROUP BY ALL"
 
 
-@query(f"WITH pairs AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id = b.item_id), tf AS (SELECT doc_id, side, word, count(*) AS tf FROM (SELECT doc_id, 0 AS side, {WORDS.format('a')} FROM pairs UNION ALL SELECT doc_id, 1, {WORDS.format('b')} FROM pairs) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), w AS (SELECT doc_id, word, sum(CASE WHEN side = 0 THEN tf * ln((2 * (SELECT count(*) FROM pairs) + 1) / (df + 1)) ELSE 0 END) AS x, sum(CASE WHEN side = 1 THEN tf * ln((2 * (SELECT count(*) FROM pairs) + 1) / (df + 1)) ELSE 0 END) AS y FROM tf JOIN df USING (word) GROUP BY doc_id, word) SELECT doc_id, round(coalesce(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 0), 6) AS cosine FROM w GROUP BY doc_id")
+@query(f"WITH tf AS ({TF}), v AS (SELECT conv_id, turn, x * (CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE ln(1.5) + 1 END) AS x, y * (CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE ln(1.5) + 1 END) AS y FROM tf), c AS (SELECT conv_id, turn, sum(x * y) / sqrt(nullif(sum(x * x) * sum(y * y), 0)) AS c FROM v GROUP BY ALL) SELECT conv_id, turn, round(coalesce(c, 0), 6) AS cosine FROM {PAIRS} LEFT JOIN c USING (conv_id, turn)")
 def vec_tfidf_cosine(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other"), F.expr("doc_id = item_id"))
-    return search.tfidf_cosine(pairs, "doc_id", "text", "other").select("doc_id", F.round("cosine", 6).alias("cosine"))
+    pairs = _turn_pairs(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+    return search.tfidf_cosine(pairs, "key", "text", "other").select("key.*", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 10")
 def vec_ann_index(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     found = search.nearest(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id", metric="euclid")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.joins import not_in_rows
+from ..operators.merge import one_each
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
@@ -22,18 +23,28 @@ def arriving_files(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return stream.option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
-def ingest_new(stream: DataFrame, target: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
+#: Parts of an ingested table, by a hash of the key.
+BUCKETS = 64
+
+
+def ingest_new(
+    stream: DataFrame, target: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d, by: str | None = None
+) -> StreamingQuery:
     """Append rows whose key the target does not have, whatever is available
-    now, then stop.  A batch that is run again adds nothing: its keys are
-    found in the target."""
+    now, then stop.  A batch that is run again adds nothing: its keys are found
+    in the target, of which only the parts that the batch's keys fall into are
+    read (a column ``_bucket``).  Of rows with one key in a batch the last by
+    ``by`` counts."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = prepare(batch).dropDuplicates([key])
         spark = batch.sparkSession
+        rows = one_each(prepare(batch), key, by).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            rows = not_in_rows(rows, spark.read.parquet(target).select(key), key)
-        rows.write.mode("append").option("compression", "zstd").parquet(target)
+            touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most BUCKETS
+            there = spark.read.parquet(target).where(F.col("_bucket").isin(touched))
+            rows = not_in_rows(rows, there.select(key), key)
+        rows.write.mode("append").option("compression", "zstd").partitionBy("_bucket").parquet(target)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,6 +55,21 @@ def quarantined(rows: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(good), rows.where(~good).withColumn("is_error", F.lit(True))
 
 
+def with_second_try(rows: DataFrame, ok: str, again: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``(good, errors)``: rows that could not be read are fetched once more by
+    ``again`` (from rows to rows of the same columns); what fails twice is an
+    error row."""
+    good, bad = quarantined(rows, ok)
+    second, errors = quarantined(again(bad.drop("is_error")), ok)
+    return good.unionByName(second), errors
+
+
+def fan_out(documents: DataFrame, task: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """One task's work on every document, wherever it lies: an iterator of Arrow
+    batches to one of results."""
+    return documents.mapInArrow(task, schema)
+
+
 def event_windows(events: DataFrame, time: str, by: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: counts and sums by tumbling window, with late rows."""
     rows = events.withColumn(time, F.col(time).cast("timestamp"))

@@ -54,6 +54,17 @@ def test_merges(spark, tmp_path):
     assert spark.read.parquet(merge.publish(first, str(tmp_path))).count() == 2
     notes = spark.createDataFrame([("q", "a")], "question string, answer string")
     new = spark.createDataFrame([("q", "b"), ("r", "c")], "question string, answer string")
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "_k int, _s_v string, _old int")
+    fresh = spark.createDataFrame([(2, "x", 5), (2, "y", 4), (3, "z", 7), (3, "w", 8)], "_k int, _s_v string, _old int")
+    got = lambda d: sorted(map(tuple, d.collect()))
+    assert got(merge.upsert(old, fresh, "_k", ["_s_v"], "_old")) == [(1, "a", 1), (2, "x", 1), (3, "w", 8)]
+    assert got(merge.upsert(old, fresh, "_k", ["_s_v"])) == [(1, "a", 1), (2, "y", 1), (3, "z", 7)]
+    assert got(merge.insert_ignore(old, fresh, "_k", "_old")) == [(1, "a", 1), (2, "b", 1), (3, "w", 8)]
+    root = str(tmp_path / "versions")
+    assert merge.current(spark, root) is None
+    for rows in (old, fresh):
+        merge.switch(spark, root, merge.publish(rows, root))
+        assert got(merge.current(spark, root)) == got(rows)
     assert merge.append_unless(notes, new, ["question"]).count() == 2
     assert merge.missing_tables(spark, ["nowhere"]) == ["nowhere"]
     assert all(set(k) <= set(schemas.schema(t).names) for t, k in schemas.KEYS.items())
@@ -70,7 +81,9 @@ def test_evaluation(spark):
     scores = evaluation.with_scores(evaluation.scored_fields(truth, found))
     assert evaluation.report_rows(scores.where("field = 'issuer_cik'")).first().line == "| issuer_cik | 1.000 | 1.000 | 1.000 | 1 |"
     assert evaluation.sections_of(scores, {"issuer": "^issuer", "all": "."}).groupBy("section").count().count() == 2
-    r = one(spark, evaluation.rouge_l(F.lit("a b c d"), F.lit("a x c d")), evaluation.canonical_key(F.lit("issuer_issuer_cik")), evaluation.without_index(F.lit("owners_12_name")))
+    scores = one(spark, evaluation.rouge(F.lit("The cats were running"), F.lit("a cat runs")))[0]
+    assert (round(scores.rouge1, 4), round(scores.rougeL, 4)) == (0.5714, 0.5714)
+    r = one(spark, evaluation.rouge(F.lit("a b c d"), F.lit("a x c d"), False).getField("rougeL"), evaluation.canonical_key(F.lit("issuer_issuer_cik")), evaluation.without_index(F.lit("owners_12_name")))
     assert tuple(r) == (0.75, "issuer_cik", "owners_name")
 
 
