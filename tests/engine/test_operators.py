@@ -119,3 +119,37 @@ def test_ingest_is_idempotent(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     good, bad = ingest.quarantined(rows.withColumn("ok", F.col("id") == 1), "ok")
     assert good.count() == 1 and bad.first().is_error
+
+
+def test_retrieval_by_text(spark):
+    rows = [(i, f"word{i % 7} word{i % 5} tail") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, content string")
+    asks = spark.createDataFrame([(0, "word3 word2 tail"), (1, "word6")], "q long, content string")
+    search.define_embedding("again", search.hashed_embedding)
+    got = {}
+    for r in search.retrieved(chunks, asks, 3, key="id", question="q", name="again").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    embed = lambda d: {r[0]: r.embedding for r in search.embedded(d, "content").collect()}
+    vectors, questions = embed(chunks), embed(asks)
+    for q, v in questions.items():
+        best = sorted(vectors, key=lambda i: (-round(sum(a * b for a, b in zip(v, vectors[i], strict=True)), 6), i))[:3]
+        assert [i for _, i in sorted(got[q])] == best
+
+
+def test_porter_stems():
+    from quarry.functions.porter import porter_stem
+
+    pairs = "caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit vietnamization vietnam formality formal hopefulness hope triplicate triplic electrical electr goodness good revival reviv adjustment adjust adoption adopt controlling control rate rate probate probat cease ceas".split()
+    assert {w: porter_stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def test_hooks(spark):
+    from quarry.operators import extension
+
+    with pytest.raises(KeyError):
+        extension.answers(F.lit("x"), "nobody")
+    df = spark.createDataFrame([(1, "7"), (2, "x"), (3, None)], "id int, t string")
+    got = extension.document_data(df, "id", "t", lambda t: {"n": int(t)}, "n int").collect()
+    assert sorted((r.id, r.n) for r in got) == [(1, 7), (2, None), (3, None)]
+    with pytest.raises(ValueError):
+        merge.copy_tables(spark, lambda t: df, "/nowhere", {"a": ["b"], "b": ["a"]})
