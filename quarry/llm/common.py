@@ -68,6 +68,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
+    kept(df)
     spark, path = df.sparkSession, spark_path(df.sparkSession, df._staged_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -28,9 +28,13 @@ def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     theirs above that many rows.
     """
     limit = max(LEAST_HUB, edges // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))
-    others = rows.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
-    return rows.join(hubs, "a").unionByName(others)
+    hubs = least.where(F.col("n") > limit).select("a", F.col("m").alias("hub"))
+    others = least.select("a", "m")
+    if hubs.isEmpty():
+        return rows.join(others, "a")
+    marked = rows.join(F.broadcast(hubs), "a", "left")
+    near = marked.where("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m"))
+    return near.unionByName(marked.where("hub IS NULL").select("a", "b").join(others, "a").select("a", "b", "m"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -49,12 +53,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
         large = _with_least(both, least, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
         small = _with_least(large, low, before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, now = now, staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        release(old)
+        for gone in (old, least, low):
+            release(gone)
         after = _signature(now)
         if after == before:
             break

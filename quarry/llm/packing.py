@@ -32,7 +32,7 @@ SHARD = 2 << 20
 TEXT = 5 << 20
 #: Documents the routing tree is fitted on, about (half grow it, the others tell
 #: how much its leaves will hold), and its fan-out.
-SAMPLE, FAN = 8192, 8
+SAMPLE, FAN = 4096, 8
 #: Places of a routing vector; words are dealt to them by a hash of their size
 #: and first letters.
 PLACES, LETTERS = 4096, 6
@@ -182,7 +182,7 @@ class Router:
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves = 0
         x = sample[grow] * self.idf
-        x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
         share = sizes[grow] / target * (sizes.sum() / max(1.0, sizes[grow].sum()))
         self.root = self._grow(x, np.arange(n), share, np.random.default_rng(5))
         del x
@@ -205,7 +205,7 @@ class Router:
         whole = share[own].sum()
         if whole > 1 and len(own) >= 2 * LEAST:
             k = int(min(FAN, max(2, np.ceil(whole)), len(own) // LEAST))
-            part = x[own]
+            part = x if len(own) == len(x) else x[own]
             mid = part[rng.choice(len(own), k, replace=False)]
             for _ in range(8):
                 of = (part @ mid.T).argmax(1)
