@@ -84,9 +84,10 @@ class Shard:
         return len(self.bodies)
 
 
-#: Takes a shard; gives for each content, for each of its windows, the content
-#: and the place in it where that window occurs first.
-Index = Callable[[Shard, Windows], list[tuple[np.ndarray, np.ndarray]]]
+#: Takes a shard; gives for all windows of its contents, one content after the
+#: other, the content and the place in it where each occurs first, and the number
+#: of windows of each content.
+Index = Callable[[Shard, Windows], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _pack(cols: list[np.ndarray], kinds: list) -> bytes:
@@ -418,17 +419,23 @@ def _indexed(spec: Windows, index: Index, part: int):
             own = by[bounds[a] : ends[b - 1]]
             own = own[np.lexsort((start[head][own], doc[head][own], none[head][own]))]
             shard = Shard([names[i] for i in own.tolist()], none[head][own], doc[head][own], start[head][own].astype(np.int64))
-            for here, (i, (source, where)) in enumerate(zip(own.tolist(), index(shard, spec), strict=True)):
-                # Stretches of windows that occur first in one line.
-                line = shard.start[source] + where - np.arange(len(where))
-                new = _heads(shard.none[source], shard.doc[source], line)
-                to = np.append(new[1:], len(where))
-                if len(new) == 1 and source[0] == here and not several[i]:
-                    continue  # it occurs here alone
-                for c, v in zip(out, ([i] * len(new), new, to, shard.none[source[new]], shard.doc[source[new]], line[new]), strict=True):
-                    c.append(np.asarray(v))
+            source, where, windows = index(shard, spec)
+            base = np.cumsum(windows) - windows
+            whose = np.repeat(np.arange(len(shard)), windows)
+            inner = np.arange(len(whose)) - base[whose]
+            # Stretches of windows that occur first in one line.
+            line = shard.start[source] + where - inner
+            new = _heads(whose, shard.none[source], shard.doc[source], line)
+            which, end = whose[new], np.append(new[1:], len(whose))
+            # A content that occurs once, here and nowhere before, has no answer.
+            alone = (np.bincount(which, minlength=len(shard)) == 1) & (source[base] == np.arange(len(shard))) & ~several[own]
+            told = ~alone[which]
+            new, which, end = new[told], which[told], end[told]
+            first = (own[which], inner[new], end - base[which], shard.none[source[new]], shard.doc[source[new]], line[new])
+            for c, v in zip(out, first, strict=True):
+                c.append(v)
             a = b
-        if not out[0]:
+        if not out[0] or not sum(map(len, out[0])):
             return pa.Table.from_batches([_rows(ASKED, [], [])])
         first = [np.concatenate(c) for c in out]
         # To every holder of a content.

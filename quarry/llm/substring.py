@@ -25,7 +25,7 @@ MOST = 4_000
 PART = 1 << 18
 
 
-def first_contents(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+def first_contents(shard: Shard, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The content where each window of each content occurs first.  The place
     in it does not matter here: documents are compared alone."""
     names: dict[bytes, int] = {}
@@ -38,9 +38,9 @@ def first_contents(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.nda
         size, first = automaton.matches(sequence, spec.length)
         if min(size[spec.length - 1 :]) < spec.length:
             raise AssertionError("a content is not in its own shard's automaton")
-        source = np.array(first[spec.length - 1 :])
-        out.append((source, np.arange(len(source))))
-    return out
+        out.append(np.array(first[spec.length - 1 :]))
+    windows = np.array([len(o) for o in out])
+    return np.concatenate(out), np.concatenate([np.arange(n) for n in windows.tolist()]), windows
 
 
 def remove_repeated_words(docs: DataFrame, words: int = WORDS, gram: int = GRAM, buckets: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ MOST = 8_000
 PART = 1 << 17
 
 
-def first_places_of(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+def first_places_of(shard: Shard, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The content, and the place in it, where each window of each content
     occurs first in document order."""
     index = RunIndex(shard.bodies)
@@ -30,9 +30,11 @@ def first_places_of(shard: Shard, spec: Windows) -> list[tuple[np.ndarray, np.nd
     group = np.cumsum(new) - 1
     line = (group << 40) + shard.start - index.starts
     first = first_places(index, spec.length, np.arange(index.n) + np.repeat(line, size))
-    of = source[first >> 40]
-    place = (first & ((1 << 40) - 1)) - shard.start[of]
-    return [(of[a:b], place[a:b]) for a, b in zip(index.starts.tolist(), (index.starts + size - spec.length).tolist(), strict=True)]
+    # Places where a window begins: the last ones of a content are no such.
+    windows = size - spec.length
+    at = np.repeat(index.starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    of = source[first[at] >> 40]
+    return of, (first[at] & ((1 << 40) - 1)) - shard.start[of], windows
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, buckets: int | None = None, whole_rows: bool = False) -> DataFrame:
