@@ -100,7 +100,7 @@ def get_or_404(df: DataFrame, **lookups: object):
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 3836) -> DataFrame:
     """``n`` rows in an order fixed by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key).limit(n)
 
 
 #: Markers of bodies that are no content (fixed values).

@@ -390,3 +390,31 @@ def txt_synthesis(spark, sf_dir):
 def snk_names_of_done(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(sinks.document_name(F.concat(F.lit("a"), F.col("c_custkey").cast("string")), F.lit(""), F.lit(0), "").alias("n"), "c_custkey")
     return names.where("c_custkey % 2 = 0").select(F.concat(F.regexp_replace("n", r"\.00$", ""), F.lit(".sgml")).alias("path"), "c_custkey")
+
+
+@query(
+    "SELECT doc_id, s.section, s.content FROM documents, LATERAL (VALUES ('prologue', 'intro ' || doc_id), ('R ' || lang, 'body'), ('R ' || lang || ' > unknown > Deep', 'more' || chr(10) || 'lines'), ('D', 'z')) s(section, content)"
+)
+def txt_breadcrumbs(spark, sf_dir):
+    """Sections under the path of their headings; levels left out, headings with
+    nothing below them."""
+    from ..operators import chunking
+
+    md = F.concat(F.lit("intro "), F.col("doc_id").cast("string"), F.lit("\n# R "), F.col("lang"), F.lit("\nbody\n### Deep\n\nmore\nlines\n## B\n\n# D\nz"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(chunking.markdown_sections(md)))
+
+
+CUTS = "(SELECT doc_id, 60 + doc_id % 20 AS l FROM documents)"
+
+
+@query(
+    f"SELECT doc_id || '_' || s || '_' || i AS id, doc_id, CAST(i AS INTEGER) AS chunk_index, content, CAST(s AS BIGINT) AS start_pos, CAST(e AS BIGINT) AS end_pos FROM {CUTS}, "
+    "LATERAL (VALUES (0, repeat('a', l), 0, l + 1), (1, repeat('b', 60), l + 1, l + 62), (2, '# T' || chr(10) || repeat('c', 96), l + 62, l + 162), (3, repeat('c', 54), l + 162, l + 216)) v(i, content, s, e)"
+)
+def txt_cut_points(spark, sf_dir):
+    """Cuts at a line break, at a heading, and hard ones, of texts of known shape."""
+    from ..operators import chunking
+
+    size = (F.col("doc_id") % 20 + 60).cast("int")
+    text = F.concat(F.repeat(F.lit("a"), size), F.lit("\n"), F.repeat(F.lit("b"), F.lit(60)), F.lit("\n# T\n"), F.repeat(F.lit("c"), F.lit(150)))
+    return chunking.chunk_rows(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")), "doc_id", "t", 100, 2)

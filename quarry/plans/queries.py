@@ -387,7 +387,7 @@ def srt_multi_dir_nulls(spark, sf_dir):
     return relation.ordered(rows, "-n", "s_acctbal").limit(25).withColumn("n", F.coalesce("n", F.lit(-1)))
 
 
-@query()
+@query("SELECT * FROM customer ORDER BY md5(c_custkey || '|3836'), c_custkey LIMIT 100")
 def srt_hash_sample(spark, sf_dir):
     return relation.hash_sample(table(spark, sf_dir, "customer"), "c_custkey", 100)
 
@@ -757,7 +757,7 @@ def vec_ann_index(spark, sf_dir):
     return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query("SELECT event_id, '## EVENT DATA' || CASE WHEN user_id <> 0 THEN chr(10) || '* **USER ID:** ' || user_id ELSE '' END || chr(10) || '* **EVENT TYPE:** ' || event_type || CASE WHEN value <> 0 THEN chr(10) || '* **VALUE:** ' || value ELSE '' END AS markdown FROM events")
 def fn_metadata_markdown(spark, sf_dir):
     record = F.to_json(F.struct(F.struct("user_id", "event_type").alias("event-data"), "value"))
     return table(spark, sf_dir, "events").select("event_id", nested.metadata_markdown(record).alias("markdown"))
