@@ -18,6 +18,14 @@ _STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("i
 _STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+#: Words that go their own way (fixed values of the customary amendments).
+_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning",
+    "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
+
+
 def _consonant(w: str, i: int) -> bool:
     if w[i] == "y":
         return i == 0 or not _consonant(w, i - 1)
@@ -80,6 +88,8 @@ def _replaced(w: str, table: tuple) -> str:
 @lru_cache(maxsize=100_000)
 def porter_stem(word: str) -> str:
     w = word.lower()
+    if w in _IRREGULAR:
+        return _IRREGULAR[w]
     if len(w) <= 2:
         return w
     w = _past(_plural(w))
