@@ -88,9 +88,6 @@ class BkTree:
 def spanning_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect all of a shard's values within the radius."""
     n = len(values)
-    if n == 2:
-        a, b = values
-        return [(a, b)] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius else []
     v, at, found = np.array(values, np.int64).view(np.uint64), np.arange(n), []
     BkTree(v, at).search(v, at, radius, found)
     top = list(range(n))
