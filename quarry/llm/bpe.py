@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import doc_rows, slices
 
 #: Characters a leaf holds at most; longer texts become trees.
-LEAF = 1 << 14
+LEAF = 1 << 10
 WINDOW = 64
 #: Characters behind a match's end that the split pattern can look at: two
 #: for a contraction that did not come about, one for a white-space run.
