@@ -324,7 +324,12 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def clip_rows(media: DataFrame) -> DataFrame:
     """A row per shot: ``doc_id``, ``clip``, first frame and end, times in
-    seconds, and the mean histogram of its frames as ``levels``."""
+    seconds, and the mean histogram of its frames as ``levels``.
+
+    Rows without a film have no shots; the film of an empty text is one frame of
+    filling and one shot; rows that repeat give their shots again; a film of any
+    length is read whole; other columns fall away; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +345,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 names=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s", "levels"],
             )
 
-    return media.select("doc_id", "media").mapInArrow(
+    return media.where("media IS NOT NULL").select("doc_id", "media").mapInArrow(
         run, "doc_id long, clip long, first_frame long, end_frame long, start_s double, end_s double, levels array<long>"
     )
 
@@ -348,7 +353,10 @@ def clip_rows(media: DataFrame) -> DataFrame:
 def film_features(media: DataFrame) -> DataFrame:
     """A row per film, from its stored bytes: true and stored payload length,
     hashes of payload and file, and ``feature``: frames, the shots' first
-    frames, and a checksum of all frames' histograms."""
+    frames, and a checksum of all frames' histograms.
+
+    Rows without a film are left out; else as :func:`clip_rows`.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,4 +376,4 @@ def film_features(media: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return media.where("media IS NOT NULL").select("doc_id", "media").mapInArrow(run, schema)

@@ -75,3 +75,13 @@ def test_documents(spark):
         frames[str(r.doc_id)] = frames.get(str(r.doc_id), 0) + r.end_frame - r.first_frame
     assert frames == {k: r.payload_bytes // 576 for k, r in got.items()}
     assert media.film_features(media.media_column(df.limit(0))).count() == 0
+
+
+def test_rows_without_a_film(spark):
+    docs = spark.createDataFrame([(1, "a" * 2000, "x"), (1, "a" * 2000, "y"), (2, None, "x"), (None, "b", "x")], "doc_id long, text string, media string")
+    films = media.media_column(docs).unionByName(spark.createDataFrame([(9, None)], "doc_id long, media binary"))
+    rows = media.film_features(films).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in rows) == [("1", 2000), ("1", 2000), ("2", 0), ("None", 1)]
+    clips = media.clip_rows(films).collect()
+    assert {str(r.doc_id) for r in clips} == {"1", "2", "None"} and all(r.first_frame < r.end_frame for r in clips)
+    assert media.clip_rows(films.limit(0)).count() == media.film_features(films.limit(0)).count() == 0
