@@ -29,15 +29,15 @@ DAY_SQL = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
 def _index_lines(orders: DataFrame) -> DataFrame:
-    line = f"concat_ws('|', o_custkey, concat('Company ', o_custkey), concat('10-', o_orderstatus), date_format(o_orderdate, 'yyyy-MM-dd'), concat('edgar/data/', o_custkey, '/', {ACC}, '.txt'))"
+    line = f"concat_ws('|', o_custkey, concat('Company ', o_custkey), concat('10-', o_orderstatus), date_format(o_orderdate, 'yyyy-MM-dd'), concat('archive/data/', o_custkey, '/', {ACC}, '.txt'))"
     head = orders.sparkSession.createDataFrame([("Description: Master Index",), ("CIK|Company Name|Form Type|Date Filed|Filename",), ("-" * 80,)], "value string")
     return head.unionByName(orders.select(F.expr(line).alias("value")))
 
 
 @query(
     f"SELECT o_custkey AS cik, 'Company ' || o_custkey AS company, '10-' || o_orderstatus AS form, {DAY_SQL} AS filed, {ACC_SQL} AS accession_number, "
-    f"'https://h/edgar/data/' || o_custkey || '/' || replace({ACC_SQL}, '-', '') || '/' || {ACC_SQL} || '.txt' AS document_url, "
-    f"'https://h/edgar/data/' || o_custkey || '/' || replace({ACC_SQL}, '-', '') || '/' || {ACC_SQL} || '-index.html' AS homepage_url FROM orders"
+    f"'https://h/archive/data/' || o_custkey || '/' || replace({ACC_SQL}, '-', '') || '/' || {ACC_SQL} || '.txt' AS document_url, "
+    f"'https://h/archive/data/' || o_custkey || '/' || replace({ACC_SQL}, '-', '') || '/' || {ACC_SQL} || '-index.html' AS homepage_url FROM orders"
 )
 def src_master_index(spark, sf_dir):
     rows = index_files.master_index(spark, _written(_index_lines(table(spark, sf_dir, "orders")), "master"), "https://h")
@@ -54,10 +54,10 @@ def src_quarters(spark, sf_dir):
     return index_files.quarters(spark, root, [1995, 1996, 1997]).groupBy("year", "quarter").agg(F.count("*").alias("n"), F.sum("cik").alias("keys"))
 
 
-@query(f"SELECT '10-' || o_orderstatus AS form, 'Company ' || o_custkey AS company, o_custkey AS cik, {DAY_SQL} AS filed, 'edgar/data/' || o_orderkey || '.txt' AS file FROM orders")
+@query(f"SELECT '10-' || o_orderstatus AS form, 'Company ' || o_custkey AS company, o_custkey AS cik, {DAY_SQL} AS filed, 'archive/data/' || o_orderkey || '.txt' AS file FROM orders")
 def src_daily_index(spark, sf_dir):
     cells = [("rpad", "concat('10-', o_orderstatus)", 12), ("rpad", "concat('Company ', o_custkey)", 40), ("rpad", "o_custkey", 12), ("rpad", "date_format(o_orderdate, 'yyyyMMdd')", 12)]
-    line = "concat(" + ", ".join(f"{f}(CAST({c} AS STRING), {n}, ' ')" for f, c, n in cells) + ", concat('edgar/data/', o_orderkey, '.txt'))"
+    line = "concat(" + ", ".join(f"{f}(CAST({c} AS STRING), {n}, ' ')" for f, c, n in cells) + ", concat('archive/data/', o_orderkey, '.txt'))"
     head = "Form Type".ljust(12) + "Company Name".ljust(40) + "CIK".ljust(12) + "Date Filed".ljust(12) + "File Name"
     lines = spark.createDataFrame([(head,), ("-" * 100,)], "value string").unionByName(table(spark, sf_dir, "orders").select(F.expr(line).alias("value")))
     got = index_files.daily_index(spark, _written(lines, "daily"))

@@ -257,7 +257,7 @@ def _reports(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.expr("n_nationkey = s_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("s_suppkey").isNotNull(), item))), lambda i: i.x), "").alias("rows")
     )
-    cover = F.concat(F.lit("<XML>\n<edgarSubmission><headerData><submissionType>13F-HR</submissionType><filerInfo><filer><credentials><cik>"), F.col("n_nationkey").cast("string"), F.lit("</cik></credentials></filer></filerInfo></headerData><formData><coverPage><filingManager><name>"), F.col("n_name"), F.lit("</name></filingManager></coverPage><periodOfReport>2024-06-30</periodOfReport></formData></edgarSubmission></XML>"))
+    cover = F.concat(F.lit("<XML>\n<submission><headerData><submissionType>13F-HR</submissionType><filerInfo><filer><credentials><cik>"), F.col("n_nationkey").cast("string"), F.lit("</cik></credentials></filer></filerInfo></headerData><formData><coverPage><filingManager><name>"), F.col("n_name"), F.lit("</name></filingManager></coverPage><periodOfReport>2024-06-30</periodOfReport></formData></submission></XML>"))
     space = F.when(F.col("n_nationkey") % 2 == 0, ' xmlns="urn:t"').otherwise("")
     body = F.concat(F.lit("<xml><informationTable"), space, F.lit(">"), F.col("rows"), F.lit("</informationTable></xml>"))
     return rows.select("n_nationkey", F.when(F.col("n_nationkey") % 7 == 3, "<XML><a></XML>").otherwise(F.concat(cover, body)).alias("content"))

@@ -21,8 +21,8 @@ FILER:
 \tCOMPANY DATA:
 \t\tCOMPANY CONFORMED NAME:\t\tLarch Savings Co
 \t\tCENTRAL INDEX KEY:\t\t5150
-\t\tSTANDARD INDUSTRIAL CLASSIFICATION:\tSAVINGS INSTITUTION [6035]
-\t\tSTATE OF INCORPORATION:\t\tMD
+\t\tSTANDARD INDUSTRIAL CLASSIFICATION:\tPAPER MILLS [2621]
+\t\tSTATE OF INCORPORATION:\t\tME
 </SEC-HEADER>
 <DOCUMENT>
 <TYPE>8-K
@@ -60,8 +60,8 @@ FORM = """text before <ownershipDocument xmlns="urn:form"><schemaVersion>X0508</
 <footnotes><footnote id="F1">By <b>will</b>.</footnote><footnote id="F2">Gift.</footnote></footnotes>
 <ownerSignature><signatureName>/s/ K Ash</signatureName><signatureDate>2022-12-02</signatureDate></ownerSignature><ownerSignature><signatureName>Nobody</signatureName></ownerSignature></ownershipDocument>"""
 
-COVER = """<XML><s:edgarSubmission xmlns:s="urn:cover"><s:headerData><s:submissionType>13F-HR/A</s:submissionType><s:filerInfo><s:filer><s:credentials><s:cik>0000004242</s:cik></s:credentials></s:filer></s:filerInfo></s:headerData>
-<s:formData><s:coverPage><s:filingManager><s:name>Harbour Street Partners</s:name></s:filingManager></s:coverPage><s:periodOfReport>2022-09-30</s:periodOfReport></s:formData></s:edgarSubmission></XML>"""
+COVER = """<XML><s:submission xmlns:s="urn:cover"><s:headerData><s:submissionType>13F-HR/A</s:submissionType><s:filerInfo><s:filer><s:credentials><s:cik>0000004242</s:cik></s:credentials></s:filer></s:filerInfo></s:headerData>
+<s:formData><s:coverPage><s:filingManager><s:name>Harbour Street Partners</s:name></s:filingManager></s:coverPage><s:periodOfReport>2022-09-30</s:periodOfReport></s:formData></s:submission></XML>"""
 REPORT = COVER + """<xml><t:informationTable xmlns:t="urn:rows">
 <t:infoTable><t:nameOfIssuer>ALDER MILLS</t:nameOfIssuer><t:titleOfClass>CL A</t:titleOfClass><t:cusip>11111AA10</t:cusip><t:value>812</t:value><t:shrsOrPrnAmt><t:sshPrnAmt>90</t:sshPrnAmt><t:sshPrnAmtType>SH</t:sshPrnAmtType></t:shrsOrPrnAmt><t:investmentDiscretion>SOLE</t:investmentDiscretion></t:infoTable>
 <t:infoTable><t:nameOfIssuer>CEDAR RAIL</t:nameOfIssuer><t:titleOfClass>NOTE 4%</t:titleOfClass><t:cusip>22222BB20</t:cusip><t:value>15</t:value><t:shrsOrPrnAmt><t:sshPrnAmt>15000</t:sshPrnAmt><t:sshPrnAmtType>PRN</t:sshPrnAmtType></t:shrsOrPrnAmt></t:infoTable></t:informationTable></xml>"""
@@ -72,7 +72,7 @@ def test_envelope(spark):
     rows = {r.key: r for r in envelope.filings(df, "key", "content").collect()}
     r = rows["k"]
     assert (r.accession_number, r.form_type, r.document_count, r.company_name) == ("0000009876-22-000005", "8-K", 2, "Larch Savings Co")
-    assert (r.cik, r.state_incorporation, r.sic, str(r.date_filed)) == ("0000005150", "MD", "SAVINGS INSTITUTION [6035]", "2024-02-01")
+    assert (r.cik, r.state_incorporation, r.sic, str(r.date_filed)) == ("0000005150", "ME", "PAPER MILLS [2621]", "2024-02-01")
     assert [(d.type, d.sequence, d.content_type) for d in r.documents] == [("8-K", "1", "text/html"), ("EX-99", "2", "text/plain")]
     for d in r.documents:
         assert ENVELOPE[d.start_pos : d.end_pos].startswith("<DOCUMENT>") and ENVELOPE[: d.end_pos].endswith("</DOCUMENT>")
