@@ -60,5 +60,5 @@ def related(parents: DataFrame, child: DataFrame, on: Column, alone: Column, wit
     """Parents for which a condition of theirs holds or that have a child for
     which one of its own does, each once: the first need no join, the others a
     semi-join, so no parent is copied to its children."""
-    known = F.coalesce(alone, F.lit(False))
-    return parents.where(known).unionByName(parents.where(~known).join(child.where(with_child), on, "left_semi"))
+    others = parents.where(~F.coalesce(alone, F.lit(False)))
+    return parents.where(alone).unionByName(others.join(child.where(with_child), on, "left_semi"))
