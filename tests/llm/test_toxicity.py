@@ -1,9 +1,11 @@
 """The kernel against its definition, tolerance, and held-out accuracy."""
 
+import os
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from quarry.llm import toxicity as tx
 
@@ -119,3 +121,20 @@ def test_documents(spark):
     right = [(r.score >= tx.THRESHOLD) == (r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 300]
     assert np.mean(right) > 0.97
     assert tx.toxicity(docs.limit(0), tx.train(docs.limit(0), labels)).count() == 0
+
+
+GIVEN = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="needs the given tables")
+def test_held_out_labels_of_the_given_table(spark):
+    docs, labels = spark.read.parquet(f"{GIVEN}/documents.parquet"), spark.read.parquet(f"{GIVEN}/labels.parquet")
+    scored = tx.toxicity(docs, tx.train(docs, labels)).join(labels, "doc_id").where(tx.is_held_out(tx.F.col("doc_id")))
+    rows = scored.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    found = [r for r in rows if r.score >= tx.THRESHOLD]
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.toxic for r in found) >= 0.95 * len(found)
+    for lang, least in (("en", 0.85), ("de", 0.8), ("fr", 0.9), ("es", 0.8)):
+        own = [r for r in toxic if r.lang == lang]
+        assert sum(r.score >= tx.THRESHOLD for r in own) >= least * len(own), lang
+    assert sum(r.score >= tx.THRESHOLD for r in toxic) >= 0.88 * len(toxic)
