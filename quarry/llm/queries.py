@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, pii, quality, records, simhash, substring, suffix, tokens, toxicity
+from . import bpe, classifier, interactions, media, packing, pii, quality, records, simhash, substring, suffix, tokens, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return done.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interaction_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id",
+        toxicity.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op11_whitening`` that SQL can say, from the same operator."""
+    return op11_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op4_quality`` that SQL can say, from the same operator."""
     return op4_quality(spark, sf_dir).select("doc_id", *quality.FEATURES, "base_failed")
@@ -153,6 +177,60 @@ SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || unhex(repeat('FF',
 FROM (SELECT *, CAST(greatest(1, (n + 575) // 576) * 576 AS BIGINT) AS m FROM n)
 """
 
+#: Every document at every step of every order, by the sets of filters that it fails.
+OP12_SQL = """
+WITH t AS (
+    SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS text, coalesce(l.quality = 1, FALSE) AS good, coalesce(l.toxic = 1, FALSE) AS toxic
+    FROM documents d LEFT JOIN labels l USING (doc_id)
+), w AS (
+    SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t
+), f AS (
+    SELECT part, good, toxic, MAP {'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'), 'E': first_id < doc_id} AS fails FROM w
+), l AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step FROM o, unnest(range(1, 6)) AS u(step)
+), c AS (
+    SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), r AS (
+    SELECT part, filter_order, step, good, toxic, n, filter_order[step] AS own, fails[filter_order[step]] AS failed,
+        coalesce(list_bool_or(list_transform(string_split(filter_order[:step - 1], ''), lambda x: x <> '' AND fails[x])), FALSE) AS earlier,
+        len(list_filter(map_values(fails), lambda x: x)) AS n_failed
+    FROM c, s
+), m AS (
+    SELECT part, filter_order, step, own,
+        CAST(sum(CASE WHEN NOT earlier AND NOT failed THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN NOT earlier AND failed THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN earlier AND failed THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN failed AND n_failed = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN NOT earlier AND failed AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN NOT earlier AND failed AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+    FROM r GROUP BY part, filter_order, step, own
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM m
+"""
+
+#: Deviations of whole vectors from the sums over distinct ones.
+DEVIATION_SQL = """
+WITH x AS (
+    SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), d AS (
+    SELECT DISTINCT x FROM x
+), n AS (
+    SELECT count(*) AS n FROM d
+), s AS (
+    SELECT list(s ORDER BY i) AS s FROM (SELECT i, CAST(sum(x[i]) AS HUGEINT) AS s FROM d, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY i)
+)
+SELECT vec_id, CAST(component AS INTEGER) AS component, n.n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i:
+    CAST(n.n * x[i] - s[i] AS HUGEINT) * CAST(n.n * x[i] - s[i] AS HUGEINT))) AS BIGINT) AS deviation
+FROM x, n, s, unnest(range(1, least(4, len(x)) + 1)) AS u(component)
+"""
+
 #: Windows by their words, found in a document with a smaller id.
 OP5_SQL = """
 WITH w AS (
@@ -210,6 +288,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_records": op8_records,
         "op9_media": op9_media,
         "op10_suffix_array": op10_suffix_array,
+        "op11_whitening": op11_whitening,
+        "op12_interactions": op12_interactions,
+        "op13_quality_classifier": op13_quality_classifier,
+        "whitening_deviations": whitening_deviations,
         "quality_counts": quality_counts,
         "pii_counts": pii_counts,
         "media_payloads": media_payloads,
@@ -219,4 +301,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring": OP5_SQL, "op10_suffix_array": OP10_SQL, "quality_counts": QUALITY_SQL, "pii_counts": PII_SQL, "media_payloads": MEDIA_SQL,
+        "op12_interactions": OP12_SQL, "whitening_deviations": DEVIATION_SQL,
     }
