@@ -12,6 +12,7 @@ from ..functions.udf import arrow_udf
 
 from ..functions import text as T
 from .joins import per_term
+from .terms import substring_counts
 
 
 def stem(word: str) -> str:
@@ -37,8 +38,8 @@ def term_counts(
     """``(key, term, count)`` for terms that occur: as substrings that do not
     overlap, as whole tokens, or by stem (then keyed by the term as given).
 
-    One pass over each text, whatever the number of terms: words are filtered
-    once, and no text is copied for a term.
+    One pass over each text, whatever the number of terms: substrings are found
+    by one automaton, words are filtered once, and no text is copied for a term.
     """
     plain = case_sensitive and not stemmed
     body = F.col(text) if plain else F.lower(text)
@@ -49,9 +50,12 @@ def term_counts(
         words = stems(T.tokens(body)) if stemmed else T.tokens(body)
         hits = F.filter(words, lambda w: w.isin(sorted(set(want.values()))))
         found = per_term(docs.select(F.col(key), hits.alias("_h")), [key], list(want), lambda t: T.count_token("_h", F.lit(want[t])), "count")
-    else:
-        found = per_term(docs.select(F.col(key), body.alias("_t")), [key], list(want), lambda t: T.count_substring("_t", F.lit(want[t])), "count")
-    return found.where("count > 0")
+        return found.where("count > 0")
+    found = substring_counts(docs, [key], body, list(want.values()))
+    if plain:
+        return found
+    given = docs.sparkSession.createDataFrame([(w, t) for t, w in want.items()], "term string, given string")
+    return found.join(F.broadcast(given), "term").select(key, F.col("given").alias("term"), "count")
 
 
 def primary_document(documents: DataFrame, filing: str, name: str, order: str) -> DataFrame:
@@ -139,16 +143,6 @@ def filing_context(chunks: DataFrame, filings: DataFrame, filing: str, order: st
     return joined.select(filing, F.coalesce("_c", F.substring(F.col(raw), 1, limit)).alias("context"))
 
 
-def lsh_index(chunks: DataFrame, vector: str = "embedding", tables: int = 8, width: float = 0.5, seed: int = 7):
-    """A fitted locality-sensitive index and the frame with ML vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    frame = chunks.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed).fit(frame)
-    return model, frame
-
-
 #: Rows and queries that meet in one task at most, and row blocks at least.
 ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 32_768, 4_096, 32
 

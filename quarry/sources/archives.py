@@ -1,100 +1,25 @@
-"""Feed archives as a data source: one partition per tar file."""
+"""Feed archives: their members as rows, which of a day's files counts, packed files."""
 
 from __future__ import annotations
 
-import glob
-import tarfile
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.codecs import unpack
+from .archive_format import SCHEMA, ArchiveSource, batches
 
-SCHEMA = "archive string, member string, content binary"
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.suffix = options["path"], options.get("suffix", "")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition is None:
-            return
-        yield from members(partition.value, self.suffix)
-
-
-def members(path: str, suffix: str = "") -> Iterator[tuple[str, str, bytes]]:
-    """Files of a plain, gzip or zstd tar, streamed."""
-    with open(path, "rb") as f:
-        head = f.read(4)
-        f.seek(0)
-        if head == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            stream = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True)
-            tar = tarfile.open(fileobj=stream, mode="r|")
-        else:
-            tar = tarfile.open(fileobj=f, mode="r|gz" if head[:2] == b"\x1f\x8b" else "r|")
-        with tar:
-            for m in tar:
-                if m.isfile() and m.name.endswith(suffix):
-                    yield path, m.name, tar.extractfile(m).read()
-
-
-class ArchiveSource(DataSource):
-    """``spark.read.format("archive").load(glob)``; option ``suffix`` picks
-    members.  For folders that every executor mounts; elsewhere use
-    :func:`archive_members`."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "archive"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
-
-def _streamed(path: str, suffix: str) -> Iterator[tuple[str, str, bytes]]:
-    """Members of a tar in any store pyarrow opens, plain or packed, streamed."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    with store.open_input_file(name) as f:
-        head = f.read(4)
-    kind = "zstd" if head == b"\x28\xb5\x2f\xfd" else "gzip" if head[:2] == b"\x1f\x8b" else None
-    with store.open_input_stream(name, compression=kind) as f, tarfile.open(fileobj=f, mode="r|") as tar:
-        for m in tar:
-            if m.isfile() and m.name.endswith(suffix):
-                yield path, m.name, tar.extractfile(m).read()
-
+__all__ = ["ArchiveSource"]
 
 def archive_members(paths: DataFrame, path: str = "path", suffix: str = "") -> DataFrame:
     """``(archive, member, content)`` of the archives a table names, each opened
     and unpacked in its task as a stream: one member at a time is in memory."""
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for name in batch["path"]:
-                held, size = [], 0
-                for row in _streamed(name, suffix):
-                    held.append(row)
-                    size += len(row[2])
-                    if size >= 8 << 20:
-                        yield pd.DataFrame(held, columns=["archive", "member", "content"])
-                        held, size = [], 0
-                yield pd.DataFrame(held, columns=["archive", "member", "content"])
-
-    return paths.select(F.col(path).alias("path")).mapInPandas(run, SCHEMA)
+    def run(rows):
+        for batch in rows:
+            for name in batch.column(0).to_pylist():
+                yield from batches(name, suffix)
+
+    return paths.select(F.col(path).alias("path")).mapInArrow(run, SCHEMA)
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +11,7 @@ from ..functions.codecs import pack_zstd
 
 from ..functions import text as T
 from ..operators.joins import in_rows
+from .archive_format import ArchiveSource, manifest
 
 
 def document_name(accession: Column | str, kind: Column | str, sequence: Column | str, suffix: str = ".zst") -> Column:
@@ -48,45 +44,16 @@ def side_cars(filings: DataFrame, filing: str, raw: str, markdown: str, fragment
 
 
 def write_archives(members: DataFrame, archive: str, member: str, content: str, folder: str, parts: int | None = None) -> DataFrame:
-    """Write a tar for each value of ``archive``, its members in order, and
-    return ``(archive, path, members)``, a row for each.
-
-    Members stream into their archive one at a time.  A task writes under a name
-    of its own attempt; only the paths of finished tasks are returned, so what a
-    lost task left is never read.
+    """Write a tar for each value of ``archive``, its members in order, by the
+    format ``archive``, and return what the job's commit says of them:
+    ``(archive, path, members)``, read from the manifest it has published.
     """
+    spark, job = members.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(ArchiveSource)
     dealt = members.select(F.col(archive).cast("string").alias("archive"), F.col(member).alias("member"), F.col(content).alias("content"))
     dealt = (dealt.repartition(parts, "archive") if parts else dealt.repartition("archive")).sortWithinPartitions("archive", "member")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        now, out, tar, n, done = None, None, None, 0, []
-
-        def close() -> None:
-            if tar is not None:
-                tar.close()
-                out.close()
-                done.append((now, f"{root}/{now}-{TaskContext.get().taskAttemptId()}.tar", n))
-
-        for batch in batches:
-            for name, file, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if name != now:
-                    close()
-                    store.create_dir(root, recursive=True)
-                    now, n = name, 0
-                    out = store.open_output_stream(f"{root}/{now}-{TaskContext.get().taskAttemptId()}.tar")
-                    tar = tarfile.open(fileobj=out, mode="w|")
-                info = tarfile.TarInfo(file)
-                info.size = len(body or b"")
-                tar.addfile(info, io.BytesIO(body or b""))
-                n += 1
-        close()
-        cols = list(zip(*done, strict=True)) or [[], [], []]
-        kinds = [pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["archive", "path", "members"])
-
-    written = dealt.mapInArrow(run, "archive string, path string, members long")
-    return written.sparkSession.createDataFrame(written.collect(), written.schema)  # a row for each archive
+    dealt.write.format("archive").mode("append").option("job", job).save(folder)
+    return manifest(spark, folder, job)
 
 
 def write_table(df: DataFrame, path: str, *partitions: str, mode: str = "append") -> None:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.joins import not_in_rows
-from ..operators.merge import one_each
-
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).load(folder)
@@ -23,30 +21,71 @@ def arriving_files(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return stream.option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
-#: Parts of an ingested table, by a hash of the key.
-BUCKETS = 64
+class _FirstOnly(StatefulProcessor):
+    """Of each key the rows of the first batch that has any: the last of these by
+    a column.  The state of a key is that it was seen."""
+
+    def __init__(self, by: str | None, keep: int | None):
+        self.by, self.keep = by, keep
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.keep)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, best = self.seen.exists(), None
+        for part in rows:
+            if known or not len(part):
+                continue
+            top = part.tail(1) if self.by is None else part.sort_values(self.by, kind="stable", na_position="first").tail(1)
+            if best is None or self.by is None or pd.isna(best[self.by].iloc[0]) or top[self.by].iloc[0] >= best[self.by].iloc[0]:
+                best = top
+        if best is not None:
+            self.seen.update((True,))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+#: Where the state of streams lies in each executor, and in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_of_each(stream: DataFrame, key: str, by: str | None = None, keep_hours: float | None = None) -> DataFrame:
+    """Rows of keys that no earlier batch had, one for each: the last by ``by``.
+
+    Keys that were seen are the query's state, a bit each, spread over its
+    partitions and restored from the checkpoint; with ``keep_hours`` a key is
+    forgotten after that time, which bounds the state.
+    """
+    keep = None if keep_hours is None else int(keep_hours * 3_600_000)
+    mode = "None" if keep is None else "ProcessingTime"
+    return stream.groupBy(key).transformWithStateInPandas(_FirstOnly(by, keep), stream.schema, "Append", mode)
 
 
 def ingest_new(
-    stream: DataFrame, target: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d, by: str | None = None
-) -> StreamingQuery:
-    """Append rows whose key the target does not have, whatever is available
-    now, then stop.  A batch that is run again adds nothing: its keys are found
-    in the target, of which only the parts that the batch's keys fall into are
-    read (a column ``_bucket``).  Of rows with one key in a batch the last by
-    ``by`` counts."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = one_each(prepare(batch), key, by).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most BUCKETS
-            there = spark.read.parquet(target).where(F.col("_bucket").isin(touched))
-            rows = not_in_rows(rows, there.select(key), key)
-        rows.write.mode("append").option("compression", "zstd").partitionBy("_bucket").parquet(target)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream: DataFrame, target: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d, by: str | None = None,
+    keep_hours: float | None = None,
+) -> StreamingQuery:
+    """Append the rows of new keys to a table of Parquet files, whatever is
+    available now, then stop.
+
+    What was seen is the query's own state, so the target is not read, and a
+    query that starts again from its ``checkpoint`` goes on where it ended; the
+    file sink's log makes a batch that is run again leave one set of files.  Of
+    rows with one key in a batch the last by ``by`` counts.  ``prepare`` works on
+    rows of the stream (no aggregates).
+    """
+    spark = stream.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, STATE_STORE)  # a query takes its settings when it starts
+    try:
+        new = first_of_each(prepare(stream), key, by, keep_hours)
+        sink = new.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        return sink.option("compression", "zstd").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
 def quarantined(rows: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:
