@@ -5,7 +5,8 @@ high recall propose spans that may overlap (written-out addresses, numbers in
 national form, keyed secrets, long mixed tokens); boosted trees judge each by
 its format and context, a calibrated threshold per kind selects, and of
 selected spans that overlap the likeliest stays.  The trees are trained here,
-on sentences made up from templates with a fixed seed: no labels exist.
+on sentences made up from templates with a fixed seed, as no labels exist; other
+templates, harder ones, calibrate them and set the thresholds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +31,11 @@ from .common import carried, doc_rows, slices, with_text
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret", "id"]
 #: Share of personal data among the candidates of a kind that are taken, on
-#: sentences the trees have not seen; the least calibrated probability from which
-#: it holds is the kind's threshold, within these bounds.
-PRECISION, BOUNDS = 0.99, (0.8, 0.95)
-#: Made-up sentences the trees are fitted on.
+#: sentences of templates the trees have not seen: the least calibrated probability
+#: from which it holds, and that so many such candidates reach, is the kind's
+#: threshold, never below one half.  A kind without one adds nothing.
+PRECISION, LEAST, LEAST_CASES, NEVER = 0.98, 0.5, 20, 2.0
+#: Made-up sentences that the trees are fitted on, and as many that calibrate.
 SENTENCES = 6000
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -136,7 +139,7 @@ _KEYED = [
         r"(?i)(?:ssn|social security|iban|account|passport)\W{0,4}(?:no\W{0,2}|number\W{0,2})?$",
         r"(?i)(?:mail|contact|write|reach)\W{0,4}(?:to|me|us)?\W{0,2}$",
         r"(?i)(?:card|visa|credit)\W{0,4}(?:no\W{0,2}|number\W{0,2})?$",
-        r"(?i)(?:version|page|pages|no|isbn|chapter|section|year|in|fig|table|order|item)\W{0,3}$",
+        r"(?i)(?:version|pages?|isbn|chapter|section|year|in|fig(?:ure)?|table|order|item|serial|part|lines?)\W{0,3}(?:no\W{0,2})?$",
         r"(?i)(?:eur|usd|\$|€|£)\s?$",
     )
 ]
@@ -196,7 +199,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, bool]:
     mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(16, 44)))
     d = lambda n: _number(rng, n)
     plain = rng.choice(["", "", _word(rng) + " "])
-    choice = rng.randrange(24)
+    choice = rng.randrange(26)
     if choice == 0:
         return plain, f"{name} [at] {host} [dot] {end}", "", True
     if choice == 1:
@@ -210,7 +213,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, bool]:
     if choice == 5:
         return plain, "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), "", True
     if choice == 6:
-        return rng.choice(["", "ssn "]), f"{d(3)}-{d(2)}-{d(4)}", "", True
+        return rng.choice(["", "ssn ", "SSN: ", "social security number "]), f"{d(3)}-{d(2)}-{d(4)}", "", True
     if choice == 7:
         return rng.choice(["iban ", "account ", ""]), f"{rng.choice(['DE', 'FR', 'ES'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", "", True
     if choice == 8:
@@ -228,7 +231,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, bool]:
     if choice == 14:
         return rng.choice(["$", "EUR ", "€"]), f"{d(3)}.{d(3)}.{d(3)}", rng.choice(["", "€"]), False
     if choice == 15:
-        return rng.choice(["isbn ", "ISBN: "]), f"{d(3)}-{d(2)}-{d(4)}", "", False
+        return rng.choice(["isbn ", "ISBN: ", "chapter ", "part no. ", "order "]), f"{d(3)}-{d(2)}-{d(4)}", "", False
     if choice == 16:
         return plain, "".join(_word(rng) for _ in range(8)).replace("ó", "o"), "", False
     if choice == 17:
@@ -236,16 +239,60 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, bool]:
     if choice == 18:
         return rng.choice(["key: ", "token: ", "secret: ", "key="]), _word(rng) + _word(rng) + "ing", "", False
     if choice == 19:
-        return plain, "/".join(_word(rng).replace("ó", "o") for _ in range(5)), "", False
+        return plain, "/".join(_word(rng).replace("ó", "o") for _ in range(5)) + rng.choice(["", d(1), "." + d(2)]), "", False
     if choice == 20:
         return rng.choice(["order ", "item ", "no. ", ""]), f"{d(4)}-{d(2)}", "", False
     if choice == 21:
         return plain, "".join(rng.choices("=-_+", k=1)) * rng.randint(16, 40), "", False
     if choice == 22:
         return plain, "".join(rng.choices(string.ascii_uppercase, k=rng.randint(16, 30))), "", False
+    if choice == 23:
+        return plain, d(rng.randint(8, 24)), "", False
+    if choice == 24:
+        return plain, rng.choice("/_-").join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(rng.randint(3, 6))) + rng.choice(["", d(1), d(2), d(3)]), "", False
     return plain, f"{d(2)}.{d(2)}.{rng.randint(1900, 2030)}", "", False
 
 
+def _unseen(rng: random.Random, part: int) -> tuple[str, str, str, bool]:
+    """The same from templates that no tree is fitted on: of two parts, one
+    calibrates and the other is for tests."""
+    d = lambda n: _number(rng, n)
+    low = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    hexa = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    name, host, end = low(rng.randint(4, 9)), low(rng.randint(4, 9)), rng.choice(["com", "org", "net", "edu", "info"])
+    choice = rng.randrange(15)
+    if choice == 0:
+        return ["ask ", "write "][part], [f"{name}{{at}}{host}{{dot}}{end}", f"{name}_{low(4)} [AT] {host} [DOT] {end}"][part], "", True
+    if choice == 1:
+        return ["my mobile: ", "number "][part], [f"{d(4)}-{d(6)}", f"({d(4)}) {d(3)}-{d(4)}"][part], "", True
+    if choice == 2:
+        return ["tel ", "phone "][part], [f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"][part], "", True
+    if choice == 3:
+        return ["between ", "about "][part], [f"{d(3)} {d(3)}", f"{d(3)} {d(3)} {d(3)}"][part], [" people", " km"][part], False
+    if choice == 4:
+        return ["ratio ", "lines "][part], [f"{d(3)}/{d(3)}", f"{d(4)}-{d(4)}"][part], "", False
+    if choice == 5:
+        return ["on ", "since "][part], [f"{rng.randint(10, 31)}/{rng.randint(10, 12)}/{rng.randint(1900, 2030)}", f"{rng.randint(10, 12)}-{rng.randint(10, 31)}-{rng.randint(1900, 2030)}"][part], "", False
+    if choice == 6:
+        return ["credit card ", "card no. "][part], [f"{d(4)} {d(6)} {d(5)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}"][part], "", True
+    if choice == 7:
+        return ["serial ", "item "][part], [f"{d(4)}-{d(4)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}"][part], "", False
+    if choice == 8:
+        return ["social security no. ", "SSN: "][part], f"{d(3)}-{d(2)}-{d(4)}", "", True
+    if choice == 9:
+        return ["figure ", "table "][part], f"{d(3)}-{d(2)}-{d(4)}", "", False
+    if choice == 10:
+        return ["PASSWORD = ", "access_key='"][part], [mixed(rng.randint(12, 30)), hexa(rng.choice([24, 32, 48])) + "'"][part].rstrip("'"), ["", "'"][part], True
+    if choice == 11:
+        return ["secret = ", "token: "][part], [hexa(rng.choice([20, 40])), mixed(rng.randint(20, 40))][part], "", True
+    if choice == 12:
+        return ["see ", "file "][part], ["_".join(low(rng.randint(3, 7)) for _ in range(4)), "/".join(low(rng.randint(3, 7)) for _ in range(4)) + d(2)][part], "", False
+    if choice == 14:
+        return ["ref ", "number "][part], [d(rng.randint(16, 22)), d(rng.randint(8, 18))][part], "", False
+    return ["the key: ", "a token: "][part], ["".join(_word(rng) for _ in range(3)), "".join(_word(rng) for _ in range(2))][part].replace("ó", "o"), "", False
+
+
 @dataclass
 class Judge:
     """Calibrated trees, and from which probability each kind is taken."""
@@ -257,13 +304,14 @@ class Judge:
         return self.trees.predict(x)
 
 
-def made_up(seed: int, sentences: int) -> tuple[list[list[float]], list[str], list[bool]]:
-    """Candidates of made-up sentences: their features, kinds, and whether each
-    is a whole item of personal data."""
+def made_up(seed: int, sentences: int, part: int | None = None) -> tuple[list[list[float]], list[str], list[bool]]:
+    """Candidates of made-up sentences (of a ``part`` of the unseen templates, or
+    of those for fitting): their features, kinds, and whether each is a whole item
+    of personal data."""
     rng, rows, kinds, truth = random.Random(seed), [], [], []
     for _ in range(sentences):
         lead = " ".join(_word(rng) for _ in range(rng.randint(0, 5)))
-        before, item, after, personal = _made_up(rng)
+        before, item, after, personal = _made_up(rng) if part is None else _unseen(rng, part)
         front = f"{lead} {before}" if lead else before
         text = f"{front}{item}{after} {_word(rng)}."
         for kind, a, b in candidates(text):
@@ -275,23 +323,42 @@ def made_up(seed: int, sentences: int) -> tuple[list[list[float]], list[str], li
 
 
 def threshold(chance: np.ndarray, truth: np.ndarray) -> float:
-    """The least probability from which the precision holds, within bounds."""
-    low, high = BOUNDS
-    levels = [p for p in np.unique(chance) if low <= p <= high and truth[chance >= p].mean() >= PRECISION]
-    return float(min(levels, default=high))
+    """The least probability from which the precision holds, on enough cases."""
+    levels = [p for p in np.unique(chance) if p >= LEAST and (chance >= p).sum() >= LEAST_CASES and truth[chance >= p].mean() >= PRECISION]
+    return float(min(levels, default=NEVER))
 
 
 @lru_cache(maxsize=1)
 def judge() -> Judge:
     """The fitted, calibrated trees; the same every time."""
-    rows, kinds, truth = made_up(11, SENTENCES)
-    x, y = np.array(rows), np.array(truth)
-    held = np.arange(len(x)) % 4 == 3
+    rows, _, truth = made_up(11, SENTENCES)
+    more, kinds, known = made_up(12, SENTENCES, 0)
+    x, y = np.array(rows + more), np.array(truth + known)
+    held = np.arange(len(x)) >= len(rows)
     trees = boosting.fit(x, y, held)
-    chance, of = trees.predict(x[held]), np.array(kinds)[held]
+    chance, of = trees.predict(x[held]), np.array(kinds)
     return Judge(trees, {k: threshold(chance[of == k], y[held][of == k]) for k in KINDS})
 
 
+def _united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, rising."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a span overlaps one of rising stretches that do not overlap."""
+    at = bisect_left(starts, b) - 1
+    return at >= 0 and ends[at] > a
+
+
 def find(texts: list[str], model: Judge) -> list[tuple[list, list]]:
     """Base spans, and spans added by the model, of each text."""
     out, rows, where = [], [], []
@@ -300,19 +367,24 @@ def find(texts: list[str], model: Judge) -> list[tuple[list, list]]:
         out.append((base, []))
         if not _ANY.search(text):
             continue
+        covered = _united([(a, b) for _, a, b in base])
         for kind, a, b in candidates(text):
-            if not any(a < y and x < b for _, x, y in base):
+            if not _meets(*covered, a, b):
                 rows.append(describe(text, kind, a, b))
                 where.append((i, kind, a, b))
     if rows:
         chance = model.predict(np.array(rows))
         order = sorted(range(len(rows)), key=lambda k: (-chance[k], where[k]))
-        taken: dict[int, list] = {}
+        taken: dict[int, tuple[list[int], list[int]]] = {}
         for k in order:
             i, kind, a, b = where[k]
-            if chance[k] >= model.thresholds[kind] and not any(a < y and x < b for x, y in taken.get(i, ())):
-                taken.setdefault(i, []).append((a, b))
-                out[i][1].append((kind, a, b))
+            if chance[k] >= model.thresholds[kind]:
+                starts, ends = taken.setdefault(i, ([], []))
+                if not _meets(starts, ends, a, b):
+                    at = bisect_left(starts, a)
+                    starts.insert(at, a)
+                    ends.insert(at, b)
+                    out[i][1].append((kind, a, b))
     return out
 
 
