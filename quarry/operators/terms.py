@@ -32,13 +32,14 @@ def counts_in(machine, text: str) -> dict[int, int]:
     return found
 
 
-def substring_counts(docs: DataFrame, keys: list[str], text: Column, terms: list[str]) -> DataFrame:
-    """``(keys, term, count)`` for each of the terms that occurs in a text.
+def substring_counts(docs: DataFrame, keys: list[str], text: Column, terms: list[str], every: bool = False) -> DataFrame:
+    """``(keys, term, count)`` for each of the terms that occurs in a text (with
+    ``every`` for all of them, also of empty texts).
 
     A text is read once whatever the number of terms; the automaton is made in
     each task from the list of terms, which travels with the plan.  Empty terms
-    and repeated ones do not count; null and empty texts give no rows; rows that
-    repeat give theirs each.
+    and repeated ones do not count; null and empty texts hold no
+    term; rows that repeat give theirs each.
     """
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     known = [t for t in dict.fromkeys(terms) if t]
@@ -51,6 +52,8 @@ def substring_counts(docs: DataFrame, keys: list[str], text: Column, terms: list
             counts: list[int] = []
             for n, body in enumerate(batch.column(len(keys))):
                 found = counts_in(machine, body.as_py()) if machine is not None and body.is_valid else {}
+                if every:
+                    found = {i: found.get(i, 0) for i in range(len(known))}
                 rows += [n] * len(found)
                 which += found.keys()
                 counts += found.values()

@@ -56,6 +56,11 @@ class Index:
         return F.broadcast(spark.read.parquet(f"{self.folder}/lists").select("list", "rows", parts))
 
 
+def _usable(key: str, vector: str) -> Column:
+    finite = F.forall(F.col(vector).cast("array<double>"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    return F.col(key).isNotNull() & F.coalesce(finite, F.lit(False))
+
+
 def _matrix(column: pa.Array, unit: bool) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows of doubles (of length 1 if ``unit``), and which are usable."""
     if isinstance(column, pa.ChunkedArray):
@@ -120,9 +125,7 @@ def build(
     if metric not in ("cosine", "euclid"):
         raise ValueError(f"no metric {metric}")
     spark, unit = rows.sparkSession, metric == "cosine"
-    values = F.col(vector).cast("array<double>")
-    finite = F.forall(values, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    known = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(key, vector, *carry)
+    known = rows.where(_usable(key, vector)).select(key, vector, *carry)
     n = known.count()
     sample = _sampled(known, key, vector, n, unit)
     if not len(sample):
@@ -170,7 +173,8 @@ def opened(spark: SparkSession, folder: str) -> Index:
 
 
 def routes(index: Index, queries: DataFrame, k: int, *, key: str, vector: str, probes: int | None = None, exact: bool = False) -> DataFrame:
-    """``(query_id, q, list)``: the lists that each query asks."""
+    """``(query_id, q, list)``: the lists that each query asks; one without a key
+    or a usable vector asks none."""
     unit, count = index.metric == "cosine", min(len(index.rows), probes or index.probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +202,7 @@ def routes(index: Index, queries: DataFrame, k: int, *, key: str, vector: str, p
                 flat = pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * q.shape[1], pa.array(q[row].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), flat, pa.array(lists.astype(np.int32))], names=["query_id", "q", "list"])
 
-    asking = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    asking = queries.where(_usable(key, vector)).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     return asking.mapInArrow(run, f"query_id {asking.schema['query_id'].dataType.simpleString()}, q array<double>, list int")
 
 

@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunking, dedup, evaluation, joins, merge, nested, relation, search
+from ..operators import chunking, dedup, evaluation, joins, merge, nested, relation, search, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Query] = {}
@@ -276,8 +276,7 @@ def join_positional_zip(spark, sf_dir):
 
 @query(f"SELECT doc_id, term, {RAW_COUNT} AS count FROM documents, {TERM_ROWS}")
 def join_doc_terms_cross(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return joins.per_term(docs, ["doc_id"], TERMS, lambda t: T.count_substring("text", F.lit(t)), "count")
+    return terms.substring_counts(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), TERMS, every=True)
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(CAST(a.toxic AS VARCHAR), '__NULL__') AS truth, coalesce(b.lang, '__NULL__') AS found FROM labels a FULL JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, forms, more  # noqa: F401  these register queries
+from . import files, forms, indexes, more  # noqa: F401  these register queries
 from . import queries as registered
 
 

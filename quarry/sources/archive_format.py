@@ -44,21 +44,40 @@ def opened_store(path: str) -> tuple[fs.FileSystem, str]:
 
 def arrivals(path: str) -> list[tuple[int, str]]:
     """``(modified, path)`` of the archives of a folder, or of those that a path
-    with wildcards names, oldest first."""
+    with wildcards names, oldest first.  Of a folder that this format has written
+    only archives of committed jobs count, from when these were committed."""
     scheme = re.match(r"^[a-z0-9+]+://|^file:", path)
     store, full = opened_store(path)
     parts = full.split("/")
     wild = next((i for i, p in enumerate(parts) if re.search(r"[*?\[]", p)), len(parts))
     base = "/".join(parts[:wild]) or "/"
+    own = lambda p: f"{scheme[0]}{p}" if scheme else p
+    if wild == len(parts) and (jobs := _committed(store, full)):
+        return sorted((t, own(d["path"])) for t, said in jobs.values() for d in _entries(store, full, said))
     listed = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if wild < len(parts) else None
     if listed is None:
         one = store.get_file_info(full)
         listed = [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(full, recursive=True, allow_not_found=True))
     fits = lambda p: len(p.split("/")) == len(parts) and all(map(fnmatch.fnmatchcase, p.split("/"), parts)) if wild < len(parts) else p.endswith(_ENDS) or p == full
-    own = lambda p: f"{scheme[0]}{p}" if scheme else p
     return sorted((f.mtime_ns or 0, own(f.path)) for f in listed if f.type == fs.FileType.File and fits(f.path))
 
 
+def _committed(store: fs.FileSystem, root: str) -> dict[str, tuple[int, list[str]]]:
+    """Committed jobs: when, and the names of their manifests."""
+    jobs = {}
+    for f in store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{_DONE}", allow_not_found=True)):
+        if f.base_name.endswith(".json"):
+            with store.open_input_stream(f.path) as body:
+                jobs[f.base_name.removesuffix(".json")] = (f.mtime_ns or 0, json.loads(body.read()))
+    return jobs
+
+
+def _entries(store: fs.FileSystem, root: str, names: list[str]) -> Iterator[dict]:
+    for name in names:
+        with store.open_input_stream(f"{root.rstrip('/')}/{_SAID}/{name}") as body:
+            yield from map(json.loads, body.read().decode().splitlines())
+
+
 def members(path: str, suffix: str = "") -> Iterator[tuple[str, str, bytes]]:
     """Files of a plain, gzip or zstd tar in any store that pyarrow opens, streamed."""
     store, name = opened_store(path)
@@ -230,10 +249,7 @@ class ArchiveSource(DataSource):
 
 def manifest(spark: SparkSession, folder: str, job: str | None = None) -> DataFrame:
     """``(archive, path, members)`` of the archives of committed jobs (or of one)."""
-    store, root = opened_store(folder.rstrip("/"))
-    found: list[str] = []
-    for f in store.get_file_info(fs.FileSelector(f"{root}/{_DONE}", allow_not_found=True)):
-        if f.base_name.endswith(".json") and (job is None or f.base_name == f"{job}.json"):
-            with store.open_input_stream(f.path) as body:
-                found += [f"{folder.rstrip('/')}/{_SAID}/{n}" for n in json.loads(body.read())]
+    folder = folder.rstrip("/")
+    jobs = _committed(*opened_store(folder))
+    found = [f"{folder}/{_SAID}/{n}" for name, (_, said) in jobs.items() if job in (None, name) for n in said]
     return spark.read.schema(MANIFEST).json(found) if found else spark.createDataFrame([], MANIFEST)
