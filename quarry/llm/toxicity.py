@@ -54,6 +54,10 @@ CLEAN_WORDS = 8_000
 ROUNDS = 2
 #: Words of a text, worst first, that its score is made of.
 WORST = 3
+#: Scores from which a word is also read with one letter left out, letters that are
+#: to stay, and the share of their score that counts (chosen by cross-validation
+#: on learnable labels).
+NEAR, REST, KEPT = 1.2, 4, 1.0
 THRESHOLD = 0.7
 #: Share of toxic texts among those at or above the threshold, and the least
 #: probability the threshold may stand for: no text that is likelier clean.
@@ -200,6 +204,47 @@ def word_scores(row: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.nda
     return np.concatenate(parts)
 
 
+def _shortened(row: np.ndarray, edges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chosen words with each of their letters left out in turn, between end
+    marks, and which word each comes from.  Of a letter written twice one is."""
+    size = np.diff(edges)[chosen]
+    of = np.repeat(np.arange(len(chosen)), size - 2)
+    ends = np.cumsum(size - 2)
+    left_out = 1 + np.arange(len(of)) - np.repeat(ends - (size - 2), size - 2)
+    first = edges[:-1][chosen][of]
+    new = row[first + left_out] != row[first + left_out - 1]
+    of, left_out, first = of[new], left_out[new], first[new]
+    own = size[of] - 1
+    ends = np.cumsum(own)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - own, own)
+    place += place >= np.repeat(left_out, own)
+    return row[np.repeat(first, own) + place], np.concatenate(([0], ends)), of
+
+
+def _written(row: np.ndarray, edges: np.ndarray, chosen: np.ndarray) -> list[bytes]:
+    raw = row.astype(np.uint8)
+    return [raw[a + 1 : b - 1].tobytes() for a, b in zip(edges[:-1][chosen].tolist(), edges[1:][chosen].tolist(), strict=True)]
+
+
+def tolerant_scores(row: np.ndarray, edges: np.ndarray, table: np.ndarray, plain: frozenset[bytes] = frozenset()) -> np.ndarray:
+    """Scores of words, each the best of its own and those it has with one letter
+    left out (times ``KEPT``), so that a letter put into an insult, or written
+    twice, changes little.  A word has to look like one, by the gapped
+    subsequences that the letter leaves, to keep ``REST`` letters, and not to be a
+    ``plain`` word."""
+    out = word_scores(row, edges, table)
+    near = np.flatnonzero((out >= NEAR) & (np.diff(edges) - 3 >= REST))
+    if plain:
+        near = near[[w not in plain for w in _written(row, edges, near)]]
+    for at in range(0, len(near), 4000):
+        some = near[at : at + 4000]
+        views, view_edges, of = _shortened(row, edges, some)
+        best = np.full(len(some), -np.inf)
+        np.maximum.at(best, of, word_scores(views, view_edges, table))
+        out[some] = np.maximum(out[some], KEPT * best)
+    return out
+
+
 class Landmarks:
     """Kernel values against some words, through their few subsequences; some
     words at a time, as each has few of all their subsequences."""
@@ -266,6 +311,8 @@ class Model:
     table: np.ndarray
     slope: np.ndarray
     shift: float
+    #: Words of clean texts that are an insult but for one letter.
+    plain: frozenset[bytes] = frozenset()
     #: How likely a text is toxic whose words say nothing, and clean though they
     #: say it is toxic.
     floor: float = 0.0
@@ -283,7 +330,7 @@ class Model:
         text = np.repeat(np.arange(len(texts)), np.diff(firsts))
         pairs = np.unique(text * np.int64(len(first)) + of)
         text, of = pairs // len(first), pairs % len(first)
-        return worst_of(word_scores(row, edges, self.table)[of], np.searchsorted(text, np.arange(len(texts) + 1)))
+        return worst_of(tolerant_scores(row, edges, self.table, self.plain)[of], np.searchsorted(text, np.arange(len(texts) + 1)))
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability that each text is toxic."""
@@ -461,12 +508,24 @@ def fit(bags: list[tuple[bytes, int]]) -> Model:
         aside[np.flatnonzero(toxic == y)[3::4]] = True
     at = np.concatenate(([0], np.cumsum(counts)))
     use = aside if toxic[aside].any() and (~toxic[aside]).any() else np.ones(len(bags), bool)
-    worst = worst_of(word_scores(row, edges, _machine(words, toxic, ~aside))[of], at)[use]
-    model = Model(_machine(words, toxic, np.ones(len(bags), bool)), *_platt(worst, toxic[use]))
+    every = np.ones(len(bags), bool)
+    unseen, table = _machine(words, toxic, ~aside), _machine(words, toxic, every)
+    worst = worst_of(tolerant_scores(row, edges, unseen, _plain(words, toxic, ~aside, unseen))[of], at)[use]
+    slope, shift, floor, chance = _platt(worst, toxic[use])
+    model = Model(table, slope, shift, _plain(words, toxic, every, table), floor, chance)
     model.moved = _shift(model.probability(worst), toxic[use])
     return model
 
 
+def _plain(words: Words, toxic: np.ndarray, use: np.ndarray, table: np.ndarray) -> frozenset[bytes]:
+    """Words of clean texts in use, of no toxic one, that tolerance would raise."""
+    n, learn = len(words.edges) - 1, use[words.bag]
+    of, bag = words.of[learn], words.bag[learn]
+    clean = (np.bincount(of[~toxic[bag]], minlength=n) > 0) & (np.bincount(of[toxic[bag]], minlength=n) == 0)
+    raised = tolerant_scores(words.row, words.edges, table) > word_scores(words.row, words.edges, table)
+    return frozenset(_written(words.row, words.edges, np.flatnonzero(clean & raised)))
+
+
 def _shift(p: np.ndarray, y: np.ndarray) -> float:
     """What to add to log odds so that ``THRESHOLD`` stands for the least
     probability at which the precision holds."""

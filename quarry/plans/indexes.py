@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import terms, vector_index
+from ..functions import lemmas
+from ..operators import retrieval, search, terms, vector_index
+from ..operators import scope as scopes
 from ..parsers import table_functions
 from ..sources import sinks
 from ..sources.archive_format import ArchiveSource
@@ -68,8 +70,6 @@ def sea_many_terms(spark, sf_dir):
 @query(f"SELECT lang, term, CAST(sum(count) AS BIGINT) AS count, count(*) AS documents FROM (SELECT lang, term, {COUNTED.format('lower(text)', 'lower(term)')} AS count FROM documents, {MANY_ROWS}) WHERE count > 0 GROUP BY lang, term")
 def sea_terms_by_group(spark, sf_dir):
     """Terms whatever their case, summed by language."""
-    from ..operators import search
-
     docs = table(spark, sf_dir, "documents")
     found = search.term_counts(docs, "doc_id", "text", MANY, case_sensitive=False)
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("count").alias("count"), F.count("*").alias("documents"))
@@ -129,3 +129,90 @@ def udf_lateral_rows(spark, sf_dir):
         "try_cast(r.fields['shares_owned_following_transaction'] AS double) AS shares FROM {forms}, LATERAL ownership_rows(content) r",
         forms=forms._forms(spark, sf_dir).withColumn("content", F.col("content").cast("string")),
     )
+
+
+# Questions and their contexts -------------------------------------------------------------
+
+#: Letters whose counts stand for a text where SQL has to embed it too.
+LETTERS = "etaonirslhdcumpf"
+
+
+def _letters(text):
+    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+
+
+search.define_embedding("letters", _letters)
+_V = _letters_sql("text")
+_TURNS = f"(SELECT conv_id, turn, role, text, {_V} AS v FROM conversations)"
+_NEAR = "round(list_cosine_similarity(c.v, q.v), 9)"
+
+
+@query(
+    f"WITH c AS (SELECT * FROM {_TURNS} WHERE conv_id % 7 <> 0), q AS (SELECT * FROM {_TURNS} WHERE turn = 0), "
+    f"r AS (SELECT q.conv_id, c.turn, c.role, c.text, row_number() OVER (PARTITION BY q.conv_id ORDER BY {_NEAR} DESC, c.turn) AS n FROM q JOIN c ON c.conv_id = q.conv_id WHERE {_NEAR} IS NOT NULL AND NOT isnan({_NEAR})), "
+    "f AS (SELECT conv_id, string_agg('[' || role || ' ' || turn || ']: ' || text, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS fragments FROM r WHERE n <= 4 GROUP BY conv_id), "
+    "w AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw FROM conversations GROUP BY conv_id) "
+    "SELECT q.conv_id AS question_id, CASE WHEN context IS NOT NULL THEN context WHEN q.conv_id % 14 = 0 THEN 'Raw filing excerpt:' || chr(10) || substr(raw, 1, 40000) ELSE 'Filing text context unavailable.' END AS context, coalesce(fragments, 0) AS fragments "
+    "FROM q LEFT JOIN f USING (conv_id) LEFT JOIN w USING (conv_id)"
+)
+def rag_answers(spark, sf_dir):
+    """Each conversation's first turn asks its turns: four chunks, or the raw text
+    of one that has none, or a note."""
+    conv = table(spark, sf_dir, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t.text)
+    raw = conv.groupBy("conv_id").agg(F.array_join(turns, " ").alias("raw"))
+    raw = raw.withColumn("raw", F.when(F.col("conv_id") % 14 == 0, F.col("raw")))
+    asks = conv.where("turn = 0").select(F.col("conv_id").alias("question_id"), "conv_id", F.col("text").alias("question")).join(raw, "conv_id", "left")
+    chunks = conv.where("conv_id % 7 <> 0").select("conv_id", F.col("turn").alias("chunk_id"), F.col("role").alias("form_type"), F.col("turn").alias("date_filed"), F.col("text").alias("content"))
+    return retrieval.answers_context(asks, chunks, scope=["conv_id"], k=4, name="letters", raw="raw")
+
+
+@query(
+    f"WITH c AS (SELECT doc_id, source, lang, text, {_V} AS v FROM documents), q AS (SELECT item_id, text, {_V} AS v FROM benchmark), s AS (SELECT DISTINCT lang FROM documents), "
+    f"r AS (SELECT q.item_id, s.lang, c.doc_id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.item_id, s.lang ORDER BY {_NEAR} DESC, c.doc_id) AS n FROM q, s, c WHERE c.lang = s.lang AND {_NEAR} IS NOT NULL AND NOT isnan({_NEAR})) "
+    "SELECT item_id || ' ' || lang AS question_id, CAST(n AS INTEGER) AS rank, doc_id AS chunk_id, round(similarity, 6) AS similarity FROM r WHERE n <= 3"
+)
+def rag_topics(spark, sf_dir):
+    """Each benchmark text as a topic asks the documents of each language: three."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select("lang", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    langs = docs.select("lang").distinct().agg(F.collect_set("lang").alias("langs"))  # a few languages
+    topics = table(spark, sf_dir, "benchmark").join(F.broadcast(langs)).select("item_id", F.explode("langs").alias("lang"), F.col("text").alias("question"))
+    asks = topics.withColumn("question_id", F.concat(F.col("item_id").cast("string"), F.lit(" "), F.col("lang")))
+    found = retrieval.top_chunks(asks, chunks, 3, scope=["lang"], name="letters")
+    return found.select("question_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def sea_lemma_counts(spark, sf_dir):
+    """Words of all texts by the lemmas of some terms."""
+    return lemmas.lemma_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["insults", "insulting", "thing", "things", "was", "being", "stations"])
+
+
+# Scopes --------------------------------------------------------------------------------------
+
+
+@query("SELECT 'orders' AS name, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey % 2 = 0")
+def dml_scope(spark, sf_dir):
+    """Two tables change together; a scope that fails between them changes none."""
+    root = shared_folder(spark, "scope")
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    with scopes.scope(spark, root) as s:
+        s.put("orders", orders)
+        s.put("lineitem", lines)
+    with scopes.scope(spark, root) as s:
+        s.put("orders", s.table("orders").where("o_orderkey % 2 = 0"))
+        s.put("lineitem", s.table("lineitem").where("l_orderkey % 2 = 0"))
+    try:
+        with scopes.scope(spark, root) as s:
+            s.put("orders", s.table("orders").limit(0))
+            raise LookupError("between two tables")
+    except LookupError:
+        pass
+    sides = [("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
+    each = [scopes.read(spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.sum(k).alias("keys")) for n, k in sides]
+    return each[0].unionByName(each[1])
