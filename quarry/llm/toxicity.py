@@ -6,7 +6,9 @@ gap costs a factor ``DECAY``, and a word's ends count as letters.  Letters
 lose case, common digit stand-ins become letters, other signs inside a word fall
 away, letters spelled out one by one join, and a word of one or two letters is
 also read together with the word behind it, so gapped and padded spellings stay
-close to the plain word.  The accented letters of the corpus' languages are
+close to the plain word.  A word that the kernel finds near an insult is also read
+with each of its letters left out, so that one letter put into an insult or written
+twice changes nothing, unless clean texts have the word.  The accented letters of the corpus' languages are
 letters of their own, other accents fall away.
 
 A support vector machine on the Nystroem map of some landmark words is trained
@@ -20,8 +22,8 @@ kernel is a dot product of subsequence weights, landmarks and machine collapse
 into one weight per subsequence: a word's score is a sum of table entries.  A
 text's score is that of its ``WORST`` worst distinct words, squared, so that one
 very telling word counts as much as several less telling ones, as a probability
-by logistic calibration, shifted so that ``THRESHOLD`` is the least score above
-which ``PRECISION`` of texts that the machine has not seen are toxic.
+by logistic calibration for the corpus' mixture of toxic and clean texts, moved so
+that ``THRESHOLD`` stands for even odds.
 """
 
 from __future__ import annotations
@@ -54,14 +56,10 @@ CLEAN_WORDS = 8_000
 ROUNDS = 2
 #: Words of a text, worst first, that its score is made of.
 WORST = 3
-#: Scores from which a word is also read with one letter left out, letters that are
-#: to stay, and the share of their score that counts (chosen by cross-validation
-#: on learnable labels).
-NEAR, REST, KEPT = 1.2, 4, 1.0
+#: Score from which a word is also read with one letter left out, and letters that
+#: are to stay (chosen by cross-validation on learnable labels).
+NEAR, REST = 1.2, 4
 THRESHOLD = 0.7
-#: Share of toxic texts among those at or above the threshold, and the least
-#: probability the threshold may stand for: no text that is likelier clean.
-PRECISION, LEAST = 0.95, 0.5
 #: Digits and signs commonly written for letters (fixed values).
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Letters with a class of their own, some together (fixed values).
@@ -226,22 +224,33 @@ def _written(row: np.ndarray, edges: np.ndarray, chosen: np.ndarray) -> list[byt
     return [raw[a + 1 : b - 1].tobytes() for a, b in zip(edges[:-1][chosen].tolist(), edges[1:][chosen].tolist(), strict=True)]
 
 
-def tolerant_scores(row: np.ndarray, edges: np.ndarray, table: np.ndarray, plain: frozenset[bytes] = frozenset()) -> np.ndarray:
+@dataclass(frozen=True)
+class Tolerance:
+    """What a word may be but for one letter: words that the machine was shown as
+    insults.  Words of clean texts that are so by chance are exempt."""
+
+    insults: frozenset[bytes] = frozenset()
+    exempt: frozenset[bytes] = frozenset()
+
+
+def tolerant_scores(row: np.ndarray, edges: np.ndarray, table: np.ndarray, tolerance: Tolerance) -> np.ndarray:
     """Scores of words, each the best of its own and those it has with one letter
-    left out (times ``KEPT``), so that a letter put into an insult, or written
-    twice, changes little.  A word has to look like one, by the gapped
-    subsequences that the letter leaves, to keep ``REST`` letters, and not to be a
-    ``plain`` word."""
+    left out if that leaves an insult, so that a letter put into one, or written
+    twice, changes nothing.  Only words that the kernel finds near one by the gapped
+    subsequences which the letter leaves are looked at so."""
     out = word_scores(row, edges, table)
-    near = np.flatnonzero((out >= NEAR) & (np.diff(edges) - 3 >= REST))
-    if plain:
-        near = near[[w not in plain for w in _written(row, edges, near)]]
+    near = np.flatnonzero((out >= NEAR) & (np.diff(edges) - 3 >= REST)) if tolerance.insults else np.zeros(0, np.int64)
+    near = near[[w not in tolerance.exempt for w in _written(row, edges, near)]] if len(near) else near
     for at in range(0, len(near), 4000):
         some = near[at : at + 4000]
         views, view_edges, of = _shortened(row, edges, some)
-        best = np.full(len(some), -np.inf)
-        np.maximum.at(best, of, word_scores(views, view_edges, table))
-        out[some] = np.maximum(out[some], KEPT * best)
+        fits = np.flatnonzero([w in tolerance.insults for w in _written(views, view_edges, np.arange(len(of)))])
+        if len(fits):
+            size = np.diff(view_edges)[fits]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+            chosen = views[np.repeat(view_edges[:-1][fits], size) + place]
+            np.maximum.at(out, some[of[fits]], word_scores(chosen, np.concatenate(([0], ends)), table))
     return out
 
 
@@ -311,13 +320,13 @@ class Model:
     table: np.ndarray
     slope: np.ndarray
     shift: float
-    #: Words of clean texts that are an insult but for one letter.
-    plain: frozenset[bytes] = frozenset()
+    tolerance: Tolerance = Tolerance()
     #: How likely a text is toxic whose words say nothing, and clean though they
     #: say it is toxic.
     floor: float = 0.0
     chance: float = 0.0
-    #: Added to the log odds, so that the threshold is where it should be.
+    #: Added to the log odds: a class of which few were taken weighs more, and the
+    #: threshold stands for even odds.
     moved: float = 0.0
 
     def worst(self, texts: list[str]) -> np.ndarray:
@@ -330,7 +339,7 @@ class Model:
         text = np.repeat(np.arange(len(texts)), np.diff(firsts))
         pairs = np.unique(text * np.int64(len(first)) + of)
         text, of = pairs // len(first), pairs % len(first)
-        return worst_of(tolerant_scores(row, edges, self.table, self.plain)[of], np.searchsorted(text, np.arange(len(texts) + 1)))
+        return worst_of(tolerant_scores(row, edges, self.table, self.tolerance)[of], np.searchsorted(text, np.arange(len(texts) + 1)))
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability that each text is toxic."""
@@ -485,9 +494,10 @@ def _spread(kernel: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def fit(bags: list[tuple[bytes, int]]) -> Model:
+def fit(bags: list[tuple[bytes, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model from bags: the distinct words of a text (letters by class, a
-    zero byte after each) and its label.
+    zero byte after each) and its label.  A clean and a toxic bag stand for so many
+    texts of the corpus, whose mixture probabilities are about.
 
     A machine that has not seen a fourth of either class's texts calibrates on
     these; the one that is used has seen all.
@@ -509,34 +519,22 @@ def fit(bags: list[tuple[bytes, int]]) -> Model:
     at = np.concatenate(([0], np.cumsum(counts)))
     use = aside if toxic[aside].any() and (~toxic[aside]).any() else np.ones(len(bags), bool)
     every = np.ones(len(bags), bool)
-    unseen, table = _machine(words, toxic, ~aside), _machine(words, toxic, every)
-    worst = worst_of(tolerant_scores(row, edges, unseen, _plain(words, toxic, ~aside, unseen))[of], at)[use]
+    (unseen, insults), (table, known) = _machine(words, toxic, ~aside), _machine(words, toxic, every)
+    worst = worst_of(tolerant_scores(row, edges, unseen, _tolerance(words, toxic, ~aside, unseen, insults))[of], at)[use]
     slope, shift, floor, chance = _platt(worst, toxic[use])
-    model = Model(table, slope, shift, _plain(words, toxic, every, table), floor, chance)
-    model.moved = _shift(model.probability(worst), toxic[use])
-    return model
+    # The threshold is where a text of the corpus is as likely toxic as not.
+    moved = float(np.log(stands_for[1] / stands_for[0]) + np.log(THRESHOLD / (1 - THRESHOLD)))
+    return Model(table, slope, shift, _tolerance(words, toxic, every, table, known), floor, chance, moved)
 
 
-def _plain(words: Words, toxic: np.ndarray, use: np.ndarray, table: np.ndarray) -> frozenset[bytes]:
-    """Words of clean texts in use, of no toxic one, that tolerance would raise."""
+def _tolerance(words: Words, toxic: np.ndarray, use: np.ndarray, table: np.ndarray, insults: frozenset[bytes]) -> Tolerance:
+    """The insults, and the words of clean texts in use, of no toxic one, that are
+    one but for a letter."""
     n, learn = len(words.edges) - 1, use[words.bag]
     of, bag = words.of[learn], words.bag[learn]
     clean = (np.bincount(of[~toxic[bag]], minlength=n) > 0) & (np.bincount(of[toxic[bag]], minlength=n) == 0)
-    raised = tolerant_scores(words.row, words.edges, table) > word_scores(words.row, words.edges, table)
-    return frozenset(_written(words.row, words.edges, np.flatnonzero(clean & raised)))
-
-
-def _shift(p: np.ndarray, y: np.ndarray) -> float:
-    """What to add to log odds so that ``THRESHOLD`` stands for the least
-    probability at which the precision holds."""
-    order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    good = np.flatnonzero((np.cumsum(y) >= PRECISION * np.arange(1, len(y) + 1)) & (p > LEAST) & (np.append(p[1:], 0) < p))
-    if not len(good):
-        return 0.0
-    k = good[-1]
-    cut = min(THRESHOLD, max(LEAST, (p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2))
-    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut)))
+    raised = tolerant_scores(words.row, words.edges, table, Tolerance(insults)) > word_scores(words.row, words.edges, table)
+    return Tolerance(insults, frozenset(_written(words.row, words.edges, np.flatnonzero(clean & raised))))
 
 
 @dataclass
@@ -555,8 +553,9 @@ class Words:
         return self.row[np.repeat(self.edges[:-1][chosen], size) + place], np.concatenate(([0], ends))
 
 
-def _machine(words: Words, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """The weight of each subsequence, from the texts in use."""
+def _machine(words: Words, toxic: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, frozenset[bytes]]:
+    """The weight of each subsequence, from the texts in use, and the insults: first
+    witnesses that tell as whole words."""
     n, table = len(words.edges) - 1, np.zeros(SIZE, np.float32)
     learn = use[words.bag]
     of, bag = words.of[learn], words.bag[learn]
@@ -572,9 +571,10 @@ def _machine(words: Words, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
     clean = np.flatnonzero((in_clean > 0) & ~open_words)
     seeds = np.flatnonzero(open_words & (score >= limit) & (score > -np.inf))
     witness = seeds
+    insults = frozenset(_written(words.row, words.edges, seeds[_telling(in_toxic, in_clean, *sizes)[seeds] > 0]))
     for last in range(ROUNDS - 1, -1, -1):
         if not len(witness) or not len(clean):
-            return table
+            return table, insults
         even = clean[np.linspace(0, len(clean) - 1, min(len(clean), CLEAN_WORDS // 2)).astype(int)]
         hard = clean[np.argsort(-score[clean], kind="stable")][: CLEAN_WORDS // 2]
         own = np.union1d(even, hard)
@@ -599,7 +599,7 @@ def _machine(words: Words, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
             # Words of toxic texts that the machine takes for toxic join.
             score, limit = word_scores(words.row, words.edges, table), -w[-1]
             witness = np.union1d(seeds, np.flatnonzero(open_words & (score >= limit)))
-    return table
+    return table, insults
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -639,7 +639,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     bags = picked.where(F.length("text") <= FIT_CHARS).mapInArrow(_bags, "doc_id long, bag binary")
     label = {r.doc_id: r.toxic for r in chosen.collect()}
     found = sorted((r.doc_id, bytes(r.bag)) for r in bags.collect())
-    return fit([(b, label[i]) for i, b in found])
+    many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    taken = np.bincount([*label.values(), 0, 1], minlength=2) - 1
+    clean, toxic = (max(1, many.get(y, 0)) / max(1, int(taken[y])) for y in (0, 1))
+    return fit([(b, label[i]) for i, b in found], (clean, toxic))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -82,13 +82,11 @@ def test_scores_equal_a_machine_by_definition():
         return total / max(norm, 1e-9) ** 0.5
 
     for text, got, p in zip(texts, model.worst(texts), model.score(texts), strict=True):
+        assert abs(p - plain_score(model, text)) < 1e-3
         letters, starts, _ = tx.words_of([text])
         best = sorted({score(letters[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)}, reverse=True)[: tx.WORST]
         want = [max(x, 0) ** 2 for x in best] + [0.0] * (tx.WORST - len(best))
         assert np.allclose(got, want, atol=1e-4)
-        z = 1 / (1 + np.exp(-(np.dot(want, model.slope) + model.shift)))
-        q = model.floor + (1 - model.floor - model.chance) * z
-        assert abs(p - 1 / (1 + (1 - q) / q * np.exp(-model.moved))) < 1e-3
 
 
 def test_held_out_accuracy_and_tolerance():
@@ -98,11 +96,75 @@ def test_held_out_accuracy_and_tolerance():
     assert (((score >= tx.THRESHOLD) == [y for _, y in test]).mean()) > 0.98
     odd = ["the zwofflik an", "the z.w.o.f.f.l.i.k an", "the z w o f f l i k an", "the zw offlik an", "the zwof*flik an", "the ZWOFFFLIK an"]
     assert (model.score(odd) >= tx.THRESHOLD).all()
-    plain, changed, clean = model.worst(["the zwofflik an", "the zwoffxlik an", "the thousand an"])[:, 0]
-    assert plain > changed > 2 * clean
+    # One letter put in anywhere, or written twice, changes nothing.
+    for word in INSULTS:
+        plain = model.score([f"the {word} an"])[0]
+        put_in = [f"the {word[:i]}{c}{word[i:]} an" for i in range(1, len(word)) for c in "xzv" + word[i]]
+        assert plain >= tx.THRESHOLD and np.allclose(model.score(put_in), plain, atol=1e-6)
+        assert model.score([f"the {word[:3]}xz{word[3:]} an", f"the {word[:3]}therein an"]).max() < plain
+    assert model.tolerance.insults >= {_bag(w)[:-1] for w in INSULTS}
     assert (model.score(["", " \n"]) < 0.5).all()
 
 
+def test_words_of_clean_texts_are_exempt():
+    """A word that clean texts have is not an insult for a letter too many."""
+    texts = _texts(1, 600) + [("a prumbasto here", 0)] * 3
+    model = tx.fit([(_bag(t), y) for t, y in texts])
+    clean, put_in = model.score(["the prumbasto an", "the prumxbast an"])
+    assert put_in >= tx.THRESHOLD > clean
+    row, edges = _spell(["prumxbast"])
+    own = tx.word_scores(row, edges, model.table)
+    assert tx.tolerant_scores(row, edges, model.table, model.tolerance) > own
+    exempt = tx.Tolerance(model.tolerance.insults, frozenset([_bag("prumxbast")[:-1]]))
+    assert tx.tolerant_scores(row, edges, model.table, exempt) == own
+
+
+def test_shortened_words():
+    row, edges = _spell(["abbc", "ab"])
+    views, view_edges, of = tx._shortened(row, edges, np.array([0, 1]))
+    words = ["".join(chr(96 + c) for c in views[a + 1 : b - 1]) for a, b in zip(view_edges, view_edges[1:], strict=False)]
+    assert list(zip(of.tolist(), words, strict=True)) == [(0, "bbc"), (0, "abc"), (0, "abb"), (1, "b"), (1, "a")]
+
+
+def plain_score(model, text):
+    """A text's score word by word, by the definitions."""
+
+    def machine(word):
+        s, total, norm = [0, *word, 0], 0.0, 0.0
+        for i in range(len(s) - 3):
+            for x, y, z in combinations(range(i + 1, min(len(s), i + tx.SPAN + 1)), 3):
+                total += tx.DECAY ** (z - i - 3) * model.table[((s[i] * tx.CLASSES + s[x]) * tx.CLASSES + s[y]) * tx.CLASSES + s[z]]
+                norm += tx.DECAY ** (2 * (z - i - 3))
+        return total / max(norm, 1e-9) ** 0.5
+
+    def score(word):
+        own = machine(word)
+        if own < tx.NEAR or len(word) - 1 < tx.REST or bytes(word) in model.tolerance.exempt:
+            return own
+        views = [word[:i] + word[i + 1 :] for i in range(len(word))]
+        return max([own, *(machine(v) for v in views if bytes(v) in model.tolerance.insults)])
+
+    letters, starts, _ = tx.words_of([text])
+    words = {tuple(letters[a:b].tolist()) for a, b in zip(starts, starts[1:], strict=False)}
+    best = sorted((score(w) for w in words), reverse=True)[: tx.WORST]
+    want = [max(x, 0) ** 2 for x in best] + [0.0] * (tx.WORST - len(best))
+    p = model.floor + (1 - model.floor - model.chance) / (1 + np.exp(-(np.dot(want, model.slope) + model.shift)))
+    return 1 / (1 + (1 - p) / p * np.exp(-model.moved))
+
+
+def test_query_against_definitions(spark):
+    """Scores of the query on the smallest given table, word by word."""
+    from quarry.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = tx.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if len(r.text or "") < 4000}
+    got = {r.doc_id: r.score for r in queries.op1_toxicity(spark, data).collect()}
+    for i, text in texts.items():
+        assert abs(got[i] - plain_score(model, text)) < 1e-3, i
+
+
 def test_one_class_or_nothing():
     assert (tx.fit([]).score(["a b"]) < 0.5).all()
     assert (tx.fit([(b"\1\2\0", 0)]).score(["a b"]) < 0.5).all()
