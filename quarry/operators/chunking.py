@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_udf
@@ -88,6 +88,36 @@ def markdown_sections(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def line_sections(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, place, section, content)``: the sections of ``markdown_sections`` by
+    Spark's own operators.
+
+    Lines are rows; a running count of headings numbers the sections of a text, a
+    section's lines join to its content, and a fold over a text's headings carries
+    the path: a heading cuts it to the levels above and fills those left out.
+    """
+    line = df.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n", "line"))
+    mark = F.regexp_extract("line", r"^(#+) .*$", 1)
+    own = Window.partitionBy(key).orderBy("n")
+    rows = line.withColumn("level", F.length(mark)).withColumn("place", F.sum((F.col("level") > 0).cast("int")).over(own))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("n", "line")))), lambda x: x.line), "\n")
+    title = F.trim(F.regexp_replace(F.col("line"), r"^#+ ", ""))
+    head = F.max(F.when(F.col("level") > 0, F.struct("level", title.alias("title"))))
+    sections = rows.groupBy(key, "place").agg(F.regexp_replace(body, r"(?U)\A\s+|\s+\z", "").alias("content"), head.alias("head"))
+    heads = sections.where(F.col("head").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "head"))).alias("heads"))
+    # Every heading's path, from that of the heading before.
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<place: bigint, path: array<string>>>").alias("done"))
+
+    def step(state, x):
+        above = F.slice(state.path, F.lit(1), x.head.level - 1)
+        path = F.concat(above, F.array_repeat(F.lit("unknown"), x.head.level - 1 - F.size(above)), F.array(x.head.title))
+        return F.struct(path.alias("path"), F.concat(state.done, F.array(F.struct(x.place.alias("place"), path.alias("path")))).alias("done"))
+
+    paths = heads.select(key, F.inline(F.aggregate("heads", start, step, lambda s: s.done)))
+    met = sections.where("content <> ''").join(paths, [key, "place"], "left")
+    return met.select(key, "place", F.coalesce(F.array_join("path", " > "), F.lit("prologue")).alias("section"), "content")
+
+
 def fixed_chunks(df: DataFrame, key: str, text: str, step: int = 2000) -> DataFrame:
     """``(key, chunk_index, content)``: consecutive runs of ``step``
     characters; blank texts have none."""

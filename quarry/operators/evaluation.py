@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -192,17 +191,17 @@ def rouge_words(text: str | None, stemmed: bool) -> list[str]:
 
 
 def common_length(u: list[str], v: list[str]) -> int:
-    """Length of the longest common subsequence (Hunt and Szymanski: the least
-    end of each length)."""
-    where: dict[str, list[int]] = {}
+    """Length of the longest common subsequence, with a bit for each word of ``v``:
+    a row of the usual table is one addition of long whole numbers."""
+    where: dict[str, int] = {}
     for i, w in enumerate(v):
-        where.setdefault(w, []).insert(0, i)
-    ends: list[int] = []
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(v)) - 1
+    row = full
     for w in u:
-        for i in where.get(w, ()):
-            k = bisect_left(ends, i)
-            ends[k : k + 1] = [i]
-    return len(ends)
+        hits = row & where.get(w, 0)
+        row = ((row + hits) | (row - hits)) & full
+    return len(v) - row.bit_count()
 
 
 def rouge(found: Column | str, truth: Column | str, stemmed: bool = True) -> Column:

@@ -17,10 +17,13 @@ from .joins import not_in_rows
 
 def one_each(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
     """A row for each key: that with the greatest ``by``, then the greatest by
-    its columns in their order, so that every run takes the same."""
+    its columns in their order (by their JSON where they hold maps), so that every
+    run takes the same.  Rows without a key all stay."""
     rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != key))
-    order = F.struct(F.col(by).alias("by"), rest.alias("rest")) if by else rest
-    best = df.groupBy(key).agg(F.max_by(rest, order).alias("row"))
+    plain = F.to_json(rest) if "map<" in df.select(rest.alias("r")).schema.simpleString() else rest
+    order = F.struct(F.col(by).alias("by"), plain.alias("rest")) if by else plain
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    best = df.withColumn("_alone", alone).groupBy(key, "_alone").agg(F.max_by(rest, order).alias("row"))
     return best.select(*(F.col(key) if c == key else F.col(f"row.`{c}`") for c in df.columns))
 
 

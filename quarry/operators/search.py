@@ -22,7 +22,7 @@ def stem(word: str) -> str:
         if w.endswith(end) and len(w) >= least and not (end == "s" and w.endswith(("ss", "us", "is"))):
             w = w[: -len(end)] + put
             break
-    if len(w) > 4 and w[-1] == w[-2] and w[-1] not in "lsz":
+    if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "lsz":
         w = w[:-1]
     return w[:-1] if len(w) > 4 and w.endswith("e") else w
 

@@ -258,10 +258,10 @@ def snk_csv(spark, sf_dir):
     return spark.read.option("header", True).option("escape", "\\").csv(path)
 
 
-@query("SELECT doc_id, text, n_chars FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, text, n_chars FROM documents")
 def snk_json(spark, sf_dir):
     path = shared_folder(spark, "json")
-    sinks.write_json(table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", "text", "n_chars"), path)
+    sinks.write_json(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), path)
     return spark.read.schema("doc_id long, text string, n_chars long").json(path)
 
 

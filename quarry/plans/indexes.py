@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lemmas
-from ..operators import retrieval, search, terms, vector_index
+from ..operators import chunking, retrieval, search, terms, vector_index
 from ..operators import scope as scopes
 from ..parsers import table_functions
 from ..sources import sinks
 from ..sources.archive_format import ArchiveSource
+from ..streaming import ingest
 from . import forms
 from .queries import EACH, query, table
 from .session import shared_folder
@@ -216,3 +217,36 @@ def dml_scope(spark, sf_dir):
     sides = [("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
     each = [scopes.read(spark, root, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.sum(k).alias("keys")) for n, k in sides]
     return each[0].unionByName(each[1])
+
+
+# Sections and cuts of whole given texts --------------------------------------------------------
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Lines of documents that begin with these words stand for headings.
+_MARKED = "regexp_replace(regexp_replace(text, '(^|\n)(The|Le|Die|La) ', '\\1# \\2 ', 'g'), '(^|\n)(And|Of|Und|De) ', '\\1### \\2 ', 'g')"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, unnest(string_split({_MARKED}, chr(10))) AS line, unnest(range(len(string_split({_MARKED}, chr(10))))) AS n FROM documents), "
+    "h AS (SELECT *, length(regexp_extract(line, '^(#+) .*$', 1)) AS level, sum(CASE WHEN regexp_matches(line, '^#+ ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS place FROM l), "
+    f"s AS (SELECT doc_id, CAST(place AS BIGINT) AS place, trim(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), ''), {_SPACES}) AS content, max(level) AS level, trim(max(CASE WHEN level > 0 THEN regexp_replace(line, '^#+ ', '') END)) AS title FROM h GROUP BY doc_id, place), "
+    "p AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place) AS above FROM s) "
+    "SELECT doc_id, place, CASE WHEN level = 0 THEN 'prologue' WHEN level = 1 THEN title ELSE coalesce(above, 'unknown') || ' > unknown > ' || title END AS section, content FROM p WHERE content <> ''"
+)
+def txt_line_sections(spark, sf_dir):
+    """Sections of all documents under their headings' path, by Spark's operators."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.regexp_replace("text", r"(^|\n)(The|Le|Die|La) ", "$1# $2 ")
+    return chunking.line_sections(docs.select("doc_id", F.regexp_replace(first, r"(^|\n)(And|Of|Und|De) ", "$1### $2 ").alias("md")), "doc_id", "md")
+
+
+@query("SELECT o_orderkey, CAST(1 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS INTEGER) AS run FROM orders WHERE o_orderkey % 27 <> 0")
+def str_quarantine(spark, sf_dir):
+    """Three runs over one table: what fails waits and is tried again in the next."""
+    root, orders = shared_folder(spark, "quarantine"), table(spark, sf_dir, "orders").select("o_orderkey")
+    good = []
+    for run in (1, 2, 3):
+        rows = orders if run == 1 else orders.limit(0)
+        done = ingest.with_quarantine(rows, root, "ok", lambda d, run=run: d.withColumn("ok", F.col("o_orderkey") % (3**run) != 0).withColumn("run", F.lit(run)))
+        good.append(done.select("o_orderkey", "run"))
+    return good[0].unionByName(good[1]).unionByName(good[2])

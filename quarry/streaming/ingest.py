@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.merge import current, publish, switch
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).load(folder)
@@ -103,6 +105,32 @@ def with_second_try(rows: DataFrame, ok: str, again: Callable[[DataFrame], DataF
     return good.unionByName(second), errors
 
 
+def with_quarantine(rows: DataFrame, root: str, ok: str, attempt: Callable[[DataFrame], DataFrame], tries: int = 3) -> DataFrame:
+    """One run of work that can fail: ``attempt`` gives rows back with ``ok``
+    (and with ``tries``, a count, as they came).
+
+    What failed in earlier runs waits in a table below ``root`` and is tried again
+    with the new rows; what fails now waits for the next run, until it has had
+    ``tries`` of them.  Returns what is good.  The table's next version is written
+    whole and then becomes the current one, so a run that breaks off leaves the one
+    before.
+    """
+    spark = rows.sparkSession
+    waiting = current(spark, root)
+    fresh = rows.withColumn("tries", F.lit(0))
+    todo = fresh if waiting is None else fresh.unionByName(waiting.where(F.col("tries") < tries).select(fresh.columns))
+    done = attempt(todo.withColumn("tries", F.col("tries") + 1))
+    # Written before it is read twice, so that no work is done again.
+    held = spark.read.parquet(publish(done, f"{root.rstrip('/')}/runs"))
+    good, bad = quarantined(held, ok)
+    given_up = [] if waiting is None else [waiting.where(F.col("tries") >= tries)]
+    left = bad.select(*rows.columns, "tries")
+    for w in given_up:
+        left = left.unionByName(w.select(left.columns))
+    switch(spark, root, publish(left, root))
+    return good.drop("tries")
+
+
 def fan_out(documents: DataFrame, task: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """One task's work on every document, wherever it lies: an iterator of Arrow
     batches to one of results."""

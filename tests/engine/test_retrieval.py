@@ -80,3 +80,45 @@ def test_jdbc_partitions(spark, tmp_path):
     assert some.count() == 249
     assert tables.jdbc_frame(spark, url, "SELECT K FROM T", driver=driver).rdd.getNumPartitions() == 1
     assert tables.jdbc_frame(spark, url, "SELECT K FROM T WHERE K < 0", key="K", driver=driver).count() == 0
+
+
+def test_sections_against_line_by_line(spark):
+    from quarry.operators import chunking
+
+    texts = ["a\n# T\n\n b \n### Deep\nx\n## Mid\n# \n#no\n# Z  \nend ", "", None, "## only", "plain\n\n", "### a\nq\n# b\nr\n###### c\ns\n## d\nt", "# T\nbody\n# T\nbody"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in chunking.line_sections(df, "id", "t").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.section, r.content))
+    want = {r.id: [(s.section, s.content) for s in r.s] for r in df.select("id", chunking.markdown_sections("t").alias("s")).collect()}
+    assert {i: got.get(i, []) for i in range(len(texts))} == want
+
+
+def test_rows_without_a_key_and_maps(spark):
+    from quarry.operators import evaluation, merge
+
+    rows = spark.createDataFrame([(None, {"a": 1}, 1), (None, {"b": 2}, 2), (1, {"a": 1}, 3), (1, {"a": 2}, 3)], "k int, m map<string,int>, v int")
+    assert sorted((r.k is None, r.v) for r in merge.one_each(rows, "k").collect()) == [(False, 3), (True, 1), (True, 2)]
+    assert merge.one_each(rows, "k", "v").where("k = 1").first().m == {"a": 2}
+    assert search.stem("running") == search.stem("run") == "run" and search.stem("sitting") == search.stem("sits")
+    words = "a b a c b d a a b".split()
+    assert evaluation.common_length(words, "b a a d c a b".split()) == 5 and evaluation.common_length([], words) == 0
+    assert evaluation.common_length(["x"] * 3000, ["x"] * 2000) == 2000
+
+
+def test_quarantine(spark, tmp_path):
+    from quarry.streaming import ingest
+
+    root = f"file://{tmp_path}/q"
+    attempt = lambda good: lambda d: d.withColumn("ok", F.col("id").isin(good))
+    rows = spark.createDataFrame([(i,) for i in range(5)], "id int")
+    assert {r.id for r in ingest.with_quarantine(rows, root, "ok", attempt([0, 1]), 2).collect()} == {0, 1}
+    more = spark.createDataFrame([(9,)], "id int")
+    assert {r.id for r in ingest.with_quarantine(more, root, "ok", attempt([2, 9]), 2).collect()} == {2, 9}
+    # Two tries were all: 3 and 4 stay in the table, but are not tried again.
+    assert ingest.with_quarantine(more.limit(0), root, "ok", attempt([3, 4]), 2).collect() == []
+    with pytest.raises(Exception, match="lost"):
+        ingest.with_quarantine(more, root, "ok", lambda d: d.withColumn("ok", F.raise_error(F.lit("lost")).cast("boolean")), 2)
+    from quarry.operators.merge import current
+
+    assert sorted((r.id, r.tries) for r in current(spark, root).collect()) == [(3, 2), (4, 2)]
