@@ -177,7 +177,8 @@ def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, leaf: int = LEAF)
     """Per row: ``doc_id``, ``ids`` (uint32, little-endian), ``decoded`` bytes.
 
     A map over rows: no shuffle, and memory for one 8 MB run of rows (or one
-    longer text) at a time.  Null and empty texts have no ids.
+    longer text) at a time.  Null and empty texts have no ids; rows that repeat
+    give theirs each; other columns fall away; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,7 +279,9 @@ def media_column(docs: DataFrame) -> DataFrame:
     filled up with 255 to a positive multiple of a frame.
 
     A map over rows.  Null and empty texts are one frame of filling; equal
-    texts give equal files.
+    texts give equal files; other columns fall away; an empty table gives no rows.
+    A text is one file, which a task holds whole; the format's sizes have 32 bits,
+    so a file of 4 GB or more is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,21 +71,24 @@ def parse(payload: bytes) -> tuple[int | None, bytes]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=FRONT.size).astype("<u4").tobytes()
 
 
-MANIFEST = "path string, records long, ids long, first_id long, first_hash long"
+#: Bytes of text that a file is made of, about, and index entries written at a time.
+FILE, ENTRIES = 32 << 20, 1 << 16
+MANIFEST = "path string, records long, ids long, first_id long, first_hash long, first_deal int"
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end_id: int = 0) -> list:
     """Write all documents in ascending ``doc_id`` order; returns the manifest,
     a row per file, in that order.
 
-    Rows are range-partitioned by id (then by a hash of the text, so that rows
-    that share an id spread), one file per partition, as many as the session
-    has shuffle partitions.  Rows without an id come last.
+    Rows are range-partitioned by id (then by a hash of the text and of their place
+    in the input, so that rows that share an id, or have none, spread), one file per
+    partition, as many as ``FILE`` bytes of text make.  Rows without an id come
+    last; rows equal in id and text come in either order, which shows nowhere.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = doc_rows(docs).withColumn("hash", F.xxhash64("text"))
-    order = [F.asc_nulls_last("doc_id"), F.asc("hash")]
+    held = doc_rows(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(held) // FILE))
+    keyed = doc_rows(docs).withColumn("hash", F.xxhash64("text")).withColumn("deal", F.hash(F.monotonically_increasing_id()))
+    order = [F.asc_nulls_last("doc_id"), F.asc("hash"), F.asc("deal")]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,36 +97,41 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, pattern: str, e
         context = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         name = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        out, index, at, start, first = None, [], 0, 0, None
+        out, offsets, starts, at, start, first = None, array("Q"), array("Q"), 0, 0, None
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{name}.records")
-                    first = (batch.column("doc_id")[0].as_py(), batch.column("hash")[0].as_py())
+                    first = tuple(batch.column(c)[0].as_py() for c in ("doc_id", "hash", "deal"))
                 for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                     ids = np.frombuffer(raw + end, "<u4")
                     data = frame(_payload(doc_id, ids, width))
                     out.write(data)
-                    index.append((at, start))
+                    offsets.append(at)
+                    starts.append(start)
                     at += len(data)
                     start += len(ids)
         rows = []
         if out is not None:
             out.close()
             with store.open_output_stream(f"{name}.index") as f:
-                f.write(MAGIC + struct.pack("<QQ", len(index), at) + np.array(index, INDEX).tobytes())
-            rows = [(f"{name}.records", len(index), start, *first)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.string()] + [pa.int64()] * 4
+                f.write(MAGIC + struct.pack("<QQ", len(offsets), at))
+                for i in range(0, len(offsets), ENTRIES):
+                    part = np.empty(len(offsets[i : i + ENTRIES]), INDEX)
+                    part["offset"], part["start"] = offsets[i : i + ENTRIES], starts[i : i + ENTRIES]
+                    f.write(part.tobytes())
+            rows = [(f"{name}.records", len(offsets), start, *first)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.string()] + [pa.int64()] * 4 + [pa.int32()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-            names=["path", "records", "ids", "first_id", "first_hash"],
+            names=["path", "records", "ids", "first_id", "first_hash", "first_deal"],
         )
 
     files = ranged.mapInArrow(run, MANIFEST).collect()  # a row per file
-    return sorted(files, key=lambda r: (r.first_id is None, r.first_id or 0, r.first_hash))
+    return sorted(files, key=lambda r: (r.first_id is None, r.first_id or 0, r.first_hash, r.first_deal))
 
 
 def record_at(file, offset: int) -> tuple[int | None, bytes]:
@@ -220,7 +229,8 @@ def record_round_trip(docs: DataFrame, vocabulary: str, pattern: str, end_id: in
     """Write ``docs`` as records into the shared folder and read them back.
 
     Null and empty texts are records of the end id alone; an empty table
-    writes no file; rows that share an id are all kept.
+    writes no file; rows that share an id are all kept; a text of any length is one
+    record, which a task holds whole; other columns fall away.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"

@@ -111,3 +111,23 @@ def test_neighbours_share_terms():
     index = packing.Bm25Shard(docs, 1)
     assert index.neighbours(0, np.ones(5, bool)).tolist() == [0, 2, 3]
     assert index.neighbours(1, np.ones(5, bool)).tolist() == []
+
+
+def test_records_of_many_files(spark, monkeypatch):
+    """Files follow the texts' bytes; rows equal in id and text lie in several, and
+    the order across files holds."""
+    monkeypatch.setattr(records, "FILE", 1500)
+    monkeypatch.setattr(records, "ENTRIES", 7)
+    rows = [(i, f"row {i} " * (i % 9)) for i in range(300)] + [(150, "same text of one id")] * 400 + [(None, f"none {i % 3}") for i in range(60)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, deal int").repartition(5)
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/many"
+    manifest = records.write_records(df, folder, *PATHS)
+    assert len(manifest) > 8 and sum(r.records for r in manifest) == len(rows)
+    back = sorted(records.read_records(spark, folder, manifest).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in back]
+    assert ids == sorted((i for i, _ in rows if i is not None)) + [None] * 60
+    ends = np.cumsum([len(r.ids) // 4 for r in back])
+    assert [r.start for r in back] == [0, *ends[:-1].tolist()]
+    want = sorted(len(_ids(t, 0)) for i, t in rows if i == 150)
+    assert sorted(len(r.ids) // 4 for r in back if r.doc_id == 150) == want
+    assert len(records.write_records(df.limit(0), folder + "0", *PATHS)) == 0
