@@ -8,6 +8,7 @@ time, and staged; a bounded number of labelled rows of them fit the trees
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .toxicity import is_held_out
 PER_CLASS = 10_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.5
-#: Text bytes whose statistics are computed at a time (a longer text stands alone).
+#: Text bytes whose statistics are computed at a time.
 SLICE = 2 << 20
 STATISTICS = [
     "log_chars", "log_words", "log_lines", "word_length", "longest_word", "capitals", "digits", "signs", "points", "marks", "foreign",
@@ -75,35 +76,58 @@ def _distinct(owner: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(o[first], minlength=n).astype(float), most
 
 
-def statistics_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of ``STATISTICS`` for each text of a flat batch (UTF-8 and offsets)."""
+@dataclass
+class Tally:
+    """What a batch of texts holds: sums by text, and hashes of words, pairs of
+    neighbouring words and lines with the text that each is of."""
+
+    sums: np.ndarray
+    longest: np.ndarray
+    letters: np.ndarray
+    words: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+    lines: tuple[np.ndarray, np.ndarray]
+
+    def statistics(self) -> np.ndarray:
+        n = len(self.sums)
+        size, later, words, length, upper, digit, sign, point, mark, wide, space, same, pair_count, stops, ended, without, signed, capital = self.sums.T
+        chars, some, rows = np.maximum(size - later, 1.0), np.maximum(words, 1.0), np.maximum(np.bincount(self.lines[0], minlength=n), 1.0)
+        distinct, most = _distinct(*self.words, n)
+        pairs, _ = _distinct(*self.pairs, n)
+        kinds, _ = _distinct(*self.lines, n)
+        lines = np.bincount(self.lines[0], minlength=n).astype(float)
+        share = self.letters / np.maximum(size, 1)[:, None]
+        entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+        return np.stack([
+            np.log1p(chars), np.log1p(words), np.log1p(lines), length / some, np.log1p(self.longest), upper / chars, digit / chars, sign / chars,
+            point / chars, mark / some, (wide - later) / chars, space / chars, distinct / some, most / some, same / some,
+            pairs / np.maximum(pair_count, 1.0),
+            stops / some, (lines - kinds) / rows, ended / rows, without / some, signed / some, capital / some, entropy,
+        ], 1).astype(np.float32)
+
+
+def tally(raw: np.ndarray, off: np.ndarray) -> Tally:
+    """The tally of a flat batch (UTF-8 and offsets)."""
     n, size = len(off) - 1, np.diff(off)
     doc = np.repeat(np.arange(n), size)
     count = lambda table: np.bincount(doc[table[raw]], minlength=n).astype(float)
-    chars = np.maximum(size - count(_LATER), 1.0)
     starts, ends, first = word_spans(raw, off)
-    words = np.diff(first).astype(float)
-    some = np.maximum(words, 1.0)
     of = np.repeat(np.arange(n), np.diff(first))
+    by_word = lambda which: np.bincount(of[which], minlength=n).astype(float)
     later = np.concatenate(([0], np.cumsum(_LATER[raw])))
     length = (ends - starts - (later[ends] - later[starts])).astype(float)
     longest = np.zeros(n)
     np.maximum.at(longest, of, length)
-    same = np.zeros(n)
-    pairs, pair_count = np.zeros(n), np.ones(n)
-    distinct = most = stops = without = signed = capital = np.zeros(n)
+    h = word_elements(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    beside = of[1:] == of[:-1]
+    pair = mix(h[:-1][beside]) + h[1:][beside] if len(h) else h
+    none = np.zeros(n)
+    by = [none] * 4
     if len(starts):
-        h = word_elements(raw, starts, ends)
-        distinct, most = _distinct(of, h, n)
-        beside = of[1:] == of[:-1]
-        same = np.bincount(of[1:][beside & (h[1:] == h[:-1])], minlength=n)
-        pairs, _ = _distinct(of[1:][beside], mix(h[:-1][beside]) + h[1:][beside], n)
-        pair_count = np.maximum(words - 1, 1.0)
-        stops = np.bincount(of[_among(word_elements(_FOLD[raw], starts, ends), _STOPS)], minlength=n)
         letters = np.concatenate(([0], np.cumsum(_LETTER[raw])))
-        without = np.bincount(of[letters[ends] == letters[starts]], minlength=n)
-        signed = np.bincount(of[_SIGNS[raw[ends - 1]]], minlength=n)
-        capital = np.bincount(of[_UPPER[raw[starts]]], minlength=n)
+        folded = word_elements(_FOLD[raw], starts, ends)
+        by = [by_word(x) for x in (_among(folded, _STOPS), letters[ends] == letters[starts], _SIGNS[raw[ends - 1]], _UPPER[raw[starts]])]
+    stops, without, signed, capital = by
     # Lines that hold a word: between breaks and the ends of texts.
     cut = np.unique(np.concatenate((off, np.flatnonzero(raw == 10) + 1)))
     a, b = cut[:-1], cut[1:]
@@ -112,18 +136,48 @@ def statistics_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     held = solid[b] > solid[a]
     a, b = a[held], b[held]
     line_of = np.searchsorted(off, a, "right") - 1
-    lines = np.bincount(line_of, minlength=n).astype(float)
-    line_kinds, _ = _distinct(line_of, Sums(byte_elements(raw)).of(a, b), n) if len(a) else (lines, None)
-    ended = np.bincount(line_of[_END[raw[b - 1]]], minlength=n)
-    bytes_of = np.bincount(doc * 256 + raw, minlength=256 * n).reshape(n, 256) / np.maximum(size, 1)[:, None]
-    entropy = -(bytes_of * np.log2(np.where(bytes_of > 0, bytes_of, 1))).sum(axis=1)
-    rows = np.maximum(lines, 1.0)
-    return np.stack([
-        np.log1p(chars), np.log1p(words), np.log1p(lines), np.bincount(of, length, n) / some, np.log1p(longest),
-        count(_UPPER) / chars, count(_DIGIT) / chars, count(_SIGNS) / chars, count(_POINTS) / chars, count(_MARKS) / some,
-        (count(_WIDE) - count(_LATER)) / chars, count(_SPACE) / chars, distinct / some, most / some, same / some, pairs / pair_count,
-        stops / some, (lines - line_kinds) / rows, ended / rows, without / some, signed / some, capital / some, entropy,
-    ], 1).astype(np.float32)
+    line = Sums(byte_elements(raw)).of(a, b) if len(a) else np.zeros(0, np.uint64)
+    sums = np.stack([
+        size.astype(float), count(_LATER), np.diff(first).astype(float), np.bincount(of, length, n), count(_UPPER), count(_DIGIT), count(_SIGNS), count(_POINTS),
+        count(_MARKS), count(_WIDE), count(_SPACE), np.bincount(of[1:][beside & (h[1:] == h[:-1])], minlength=n), np.bincount(of[1:][beside], minlength=n),
+        stops, np.bincount(line_of[_END[raw[b - 1]]], minlength=n), without, signed, capital,
+    ], 1)
+    letters = np.bincount(doc * 256 + raw, minlength=256 * n).reshape(n, 256)
+    return Tally(sums, longest, letters, (of, h), (of[1:][beside], pair), (line_of, line))
+
+
+def tally_of_one(raw: np.ndarray, piece: int) -> Tally:
+    """The tally of a long text in pieces that end at a line break, or else
+    behind a word (a line of more than a piece counts as several)."""
+    at, parts, before = 0, [], None
+    while at < len(raw):
+        to = min(at + piece, len(raw))
+        if to < len(raw):
+            for kind in (raw[at:to] == 10, _SPACE[raw[at:to]]):
+                if len(found := np.flatnonzero(kind)):
+                    to = at + int(found[-1]) + 1
+                    break
+            else:
+                to = at + piece + int(np.argmax(_SPACE[raw[at + piece :]])) + 1 if _SPACE[raw[at + piece :]].any() else len(raw)
+        t = tally(raw[at:to], np.array([0, to - at]))
+        if len(t.words[1]):
+            if before is not None:  # the pair of words that the cut parts
+                own = t.words[1][:1]
+                t.pairs = (np.zeros(len(t.pairs[0]) + 1, np.int64), np.concatenate((mix(before) + own, t.pairs[1])))
+                t.sums[0, 11] += float(before[0] == own[0])
+                t.sums[0, 12] += 1
+            before = t.words[1][-1:]
+        parts.append(t)
+        at = to
+    joined = lambda name: tuple(np.concatenate(x) for x in zip(*(getattr(t, name) for t in parts), strict=True))
+    return Tally(sum(t.sums for t in parts), np.max([t.longest for t in parts], axis=0), sum(t.letters for t in parts), joined("words"), joined("pairs"), joined("lines"))
+
+
+def statistics_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A row of ``STATISTICS`` for each text of a flat batch (UTF-8 and offsets)."""
+    if len(off) == 2 and len(raw) > 2 * SLICE:
+        return tally_of_one(raw, SLICE).statistics()
+    return tally(raw, off).statistics()
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -174,8 +228,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the text alone.
 
     Null and empty texts score as texts without a word; equal texts score alike;
-    texts of any length are read whole (a task holds one whole with some
-    60 bytes for each of its bytes); other columns are no input and fall away.
+    texts of any length are read whole, long ones in pieces (a task holds a text
+    and some 20 bytes for each of its words); other columns are no input and fall away.
     Without learnable labels of both kinds every score is their share (one half
     where there are none).  An empty table gives an empty result.
     """

@@ -45,6 +45,22 @@ def test_statistics(spark):
         np.testing.assert_allclose(found[i], plain(t or ""), rtol=1e-5, atol=1e-5, err_msg=repr(t)[:60])
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces give what a text gives in one, wherever cuts fall."""
+    text = ("The the a b a b\nline of words. and $x y&\n\n" * 30 + "long " * 40 + "x" * 50 + "\nend").encode()
+    raw = np.frombuffer(text, np.uint8)
+    whole = classifier.tally(raw, np.array([0, len(raw)])).statistics()
+    lines = classifier.STATISTICS.index("log_lines"), classifier.STATISTICS.index("repeated_lines"), classifier.STATISTICS.index("ended_lines")
+    for piece in (300, 70, 41):
+        got = classifier.tally_of_one(raw, piece).statistics()
+        same = [i for i in range(len(classifier.STATISTICS)) if piece > 250 or i not in lines]
+        np.testing.assert_allclose(got[0, same], whole[0, same], rtol=1e-6)
+    monkeypatch.setattr(classifier, "SLICE", 300)
+    np.testing.assert_allclose(classifier.statistics_of(raw, np.array([0, len(raw)])), whole, rtol=1e-6)
+    one = np.frombuffer(b"y" * 5000, np.uint8)
+    np.testing.assert_allclose(classifier.statistics_of(one, np.array([0, 5000])), classifier.tally(one, np.array([0, 5000])).statistics(), rtol=1e-6)
+
+
 def test_walk_of_all_trees_at_once():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
