@@ -513,7 +513,10 @@ def txt_context_window(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", search.context_window(F.col("text"), F.lit(300), F.lit(500), 200).alias("window"))
 
 
-@query()
+@query(
+    "SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '<head>.*?</head>', '', 's'), '<[^>]*>'), lambda x: "
+    "trim(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''), ' ') AS text FROM pages"
+)
 def txt_html_text(spark, sf_dir):
     from ..parsers.html import html_text
 
@@ -546,7 +549,16 @@ def sea_token_counts(spark, sf_dir):
     return search.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS, case_sensitive=False, tokens=True)
 
 
-@query()
+#: The rules of ``search.stem`` on a word in lower case: one ending, a doubled letter, a final e.
+_ENDING = "CASE WHEN w LIKE '%sses' THEN left(w, length(w) - 2) WHEN w LIKE '%ies' AND length(w) >= 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN w LIKE '%edly' AND length(w) >= 7 THEN left(w, length(w) - 4) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%ly' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND length(w) >= 4 AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END"
+_SINGLE = "CASE WHEN length(e) > 3 AND right(e, 1) = left(right(e, 2), 1) AND NOT regexp_matches(e, '[lsz]$') THEN left(e, length(e) - 1) ELSE e END"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\r\n]+')) AS w FROM documents), s AS (SELECT doc_id, {_SINGLE} AS d FROM (SELECT doc_id, {_ENDING} AS e FROM t)), "
+    "f AS (SELECT doc_id, CASE WHEN length(d) > 4 AND d LIKE '%e' THEN left(d, length(d) - 1) ELSE d END AS stem FROM s) "
+    "SELECT doc_id, term, count(*) AS count FROM f JOIN (VALUES ('insulting', 'insult'), ('losers', 'loser'), ('tions', 'tion')) v(term, stem) USING (stem) GROUP BY doc_id, term"
+)
 def sea_stem_counts(spark, sf_dir):
     return search.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["insulting", "losers", "tions"], stemmed=True)
 
