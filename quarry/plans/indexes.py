@@ -188,6 +188,19 @@ def rag_topics(spark, sf_dir):
     return found.select("question_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    f"WITH c AS (SELECT id, {_letters_sql('content')} AS v FROM (SELECT doc_id * 1000 + i AS id, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS content FROM documents, LATERAL (SELECT unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i) WHERE length(trim(text)) > 0)), "
+    f"q AS (SELECT item_id, {_V} AS v FROM benchmark), r AS (SELECT item_id AS query_id, id, list_cosine_similarity(c.v, q.v) AS s FROM q, c WHERE list_sum(c.v) > 0) "
+    "SELECT query_id, id, CAST(n AS INTEGER) AS rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM r) WHERE n <= 5"
+)
+def rag_retrieved(spark, sf_dir):
+    """Texts of the benchmark ask for the five nearest chunks of all documents."""
+    chunks = chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), "content")
+    asks = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("content"))
+    found = search.retrieved(chunks, asks, 5, key="id", question="item_id", name="letters")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def sea_lemma_counts(spark, sf_dir):
     """Words of all texts by the lemmas of some terms."""

@@ -323,16 +323,6 @@ def rag_filing_context(spark, sf_dir):
     return search.filing_context(conv.where("conv_id % 2 = 0"), filings, "conv_id", "turn", "text", "raw", 4, 300)
 
 
-@query()
-def rag_retrieved(spark, sf_dir):
-    """Texts of the benchmark ask for the five nearest chunks of all documents."""
-    from ..operators import chunking
-
-    chunks = chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), "content")
-    asks = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("content"))
-    return search.retrieved(chunks, asks, 5, key="id", question="item_id")
-
-
 @query("SELECT conv_id, turn, sha1('m1' || chr(10) || 'Extract the record of this template:' || chr(10) || '{}' || chr(10) || chr(10) || 'Rules:' || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || chr(10) || 'Document:' || chr(10) || text) AS cache_key FROM conversations")
 def rag_prompt_key(spark, sf_dir):
     prompt = search.extraction_prompt("{}", ["one", "two"], F.col("text"))
