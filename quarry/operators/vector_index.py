@@ -78,6 +78,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _nearest_list(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    out = np.empty(len(v), np.int32)
+    for at in range(0, len(v), 1024):
+        out[at : at + 1024] = np.argmin(_distances(v[at : at + 1024], centroids), axis=1)
+    return out
+
+
 def _sampled(known: DataFrame, key: str, vector: str, n: int, unit: bool) -> np.ndarray:
     share = known.where(F.pmod(F.xxhash64(key), F.lit(max(1, n))) < SAMPLE) if n > SAMPLE else known
     rows = share.orderBy(F.xxhash64(key), key).limit(2 * SAMPLE).select(vector).toArrow()
@@ -103,9 +110,9 @@ def _enough(sample: np.ndarray, centroids: np.ndarray, recall: float, k: int = 1
     """The fewest probes that find the share ``recall`` of the k nearest rows of
     the sample; in the whole table these are nearer, so no more are needed."""
     asks = sample[:: max(1, len(sample) // ASKING)][:ASKING]
-    own = np.argmin(_distances(sample, centroids), axis=1)
+    own = _nearest_list(sample, centroids)
     place = np.argsort(np.argsort(_distances(asks, centroids), axis=1, kind="stable"), axis=1, kind="stable")
-    near = np.argsort(_distances(asks, sample), axis=1, kind="stable")[:, 1 : k + 1]
+    near = np.concatenate([np.argsort(_distances(asks[i : i + 32], sample), axis=1, kind="stable")[:, 1 : k + 1] for i in range(0, len(asks), 32)])
     needed = np.sort(place[np.arange(len(asks))[:, None], own[near]].ravel())
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if needed.size else 1
 
@@ -141,9 +148,7 @@ def build(
                 batch, v = batch.filter(pa.array(fine)), v[fine]
             if not len(v):
                 continue
-            own = np.empty(len(v), np.int32)
-            for at in range(0, len(v), 1024):
-                own[at : at + 1024] = np.argmin(_distances(v[at : at + 1024], centroids), axis=1)
+            own = _nearest_list(v, centroids)
             left = v - centroids[own]
             scale = np.abs(left).max(axis=1) / 127
             code = np.rint(left / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
