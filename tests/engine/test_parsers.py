@@ -151,3 +151,20 @@ def test_sections(spark):
     md = "intro\n# A\nx\n### C\ny\n## B\n\n# D\nz"
     rows = spark.createDataFrame([(md,)], "md string").select(chunking.markdown_sections("md").alias("s")).first().s
     assert [(r.section, r.content) for r in rows] == [("prologue", "intro"), ("A", "x"), ("A > unknown > C", "y"), ("D", "z")]
+
+
+def test_a_form_is_read_once_whatever_is_filtered(spark):
+    """Filters on what a reader gave used to bring a second reading of each form."""
+    df = spark.createDataFrame([("a", FORM), ("b", "<ownershipDocument><broken"), ("c", None)], "accession string, content string")
+    every = {**ownership.tables(df, "accession", "content"), "errors": ownership.errors(df, "accession", "content"), "truths": ownership.ground_truths(df, "accession", "content")}
+    for name, rows in every.items():
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("EvalPython") == 1, name
+    assert sorted(r.accession for r in every["errors"].collect()) == ["b", "c"]
+    assert [r.accession for r in every["truths"].collect()] == ["a"]
+
+
+def test_parts_of_a_record_are_those_of_the_whole():
+    whole = ownership.record(FORM)
+    for part in ownership.PARTS:
+        assert ownership.record(FORM, (part,)) == {k: v for k, v in whole.items() if (k in ownership.HEAD if part == "head" else k == part)}
