@@ -4,7 +4,8 @@ A form is read once, and all kinds of its rows come from that: ``kind``,
 ``position`` (in its kind, or in its table where the form numbers rows) and
 ``fields``, the texts that are there.  A form that cannot be read is one row of
 kind ``error``.  (Table functions of whole Arrow columns cannot stand in a lateral
-join; these take a row at a time, and rows travel as Arrow batches.)
+join; these take a row at a time, and rows travel pickled some hundred at once: an
+Arrow batch for each call's few rows is dearer.)
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _of_one(rows: Callable[[str | bytes | None], Iterator[Row]]):
         def eval(self, content):
             yield from rows(content)
 
-    return F.udtf(Rows, returnType=SCHEMA, useArrow=True)
+    return F.udtf(Rows, returnType=SCHEMA, useArrow=False)
 
 
 def _of_any():
@@ -91,7 +92,7 @@ def _of_any():
             if reader is not None:
                 yield from reader(content)
 
-    return F.udtf(Rows, returnType=SCHEMA, useArrow=True)
+    return F.udtf(Rows, returnType=SCHEMA, useArrow=False)
 
 
 def register_all(spark: SparkSession) -> None:

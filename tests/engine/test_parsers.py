@@ -168,3 +168,19 @@ def test_parts_of_a_record_are_those_of_the_whole():
     whole = ownership.record(FORM)
     for part in ownership.PARTS:
         assert ownership.record(FORM, (part,)) == {k: v for k, v in whole.items() if (k in ownership.HEAD if part == "head" else k == part)}
+
+
+def test_references_without_their_semicolon_are_text():
+    page = "<p>and&amp</p><p>a &am b &amp; &#65; &copy; &unknown; R&D</p>"
+    assert html.read(page) == "and&amp a &am b & A © &unknown; R&D"
+    assert html.read(page, True) == "and&amp\n\na &am b & A © &unknown; R&D"
+
+
+def test_rows_of_table_functions_are_no_arrow_batches(spark):
+    from quarry.parsers import table_functions
+
+    table_functions.register_all(spark)
+    df = spark.createDataFrame([("a", FORM)], "k string, content string")
+    rows = spark.sql("SELECT k, r.kind FROM {df}, LATERAL ownership_rows(content) r", df=df)
+    assert "ArrowEvalPythonUDTF" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() > 1
