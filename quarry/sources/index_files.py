@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +25,42 @@ def _unzipped(data: bytes) -> bytes:
     return unpack_bytes(data) or b""
 
 
-def _master_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Bytes of an index file that are taken apart at once.
+PIECE = 1 << 20
+
+
+def _pieces(data) -> Iterator[bytes]:
+    """Whole lines of a file, some at a time."""
+    view, at = pa.py_buffer(data), 0
+    while at < view.size:
+        piece = view.slice(at, min(PIECE, view.size - at)).to_pybytes()
+        while at + len(piece) < view.size and b"\n" not in piece:
+            piece += view.slice(at + len(piece), min(PIECE, view.size - at - len(piece))).to_pybytes()
+        if at + len(piece) < view.size:
+            piece = piece[: piece.rindex(b"\n") + 1]
+        at += len(piece)
+        yield piece
+
+
+def _master_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.date32(), pa.string()]
+    names = ["path", "cik", "company", "form", "filing_date", "filename"]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            text = _unzipped(bytes(content)).decode("latin1")
-            lines = [x.split("|") for x in text.splitlines()]
-            rows = [x for x in lines if len(x) == 5 and x[0].strip().isdigit()]
-            out = pd.DataFrame(rows, columns=["cik", "company", "form", "filing_date", "filename"])
-            out = out.apply(lambda c: c.str.strip()).assign(path=path)
-            out["cik"] = out["cik"].astype("int64")
-            out["filing_date"] = pd.to_datetime(out["filing_date"], errors="coerce").dt.date
-            yield out[["path", "cik", "company", "form", "filing_date", "filename"]]
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            data = content.as_buffer()
+            packed = data.slice(0, min(4, data.size)).to_pybytes()
+            # A plain file is read where it lies; a packed one is unpacked first.
+            if packed.startswith((b"PK\x03\x04", b"\x28\xb5\x2f\xfd", b"\x1f\x8b", b"\x78")):
+                data = _unzipped(data.to_pybytes())
+            for piece in _pieces(data):
+                lines = (x.split("|") for x in piece.decode("latin1").splitlines())
+                rows = [[c.strip() for c in x] for x in lines if len(x) == 5 and x[0].strip().isdigit()]
+                if not rows:
+                    continue
+                cik, company, form, filed, file = zip(*rows, strict=True)
+                days = pd.to_datetime(pd.Series(filed, dtype=object), errors="coerce").dt.date
+                columns = [[path.as_py()] * len(rows), [int(x) for x in cik], company, form, days, file]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k, from_pandas=True) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def master_index(spark: SparkSession, paths: str | list[str], base_url: str = "") -> DataFrame:
@@ -42,7 +68,7 @@ def master_index(spark: SparkSession, paths: str | list[str], base_url: str = ""
     accession number and the addresses derived from it.  Lines that are no
     rows (header, rule) have no five fields or no number in front."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = files.mapInPandas(_master_rows, MASTER)
+    rows = files.mapInArrow(_master_rows, MASTER)
     accession = T.accession_of("filename")
     folder = F.regexp_replace("filename", "/[^/]*$", "")
     return rows.withColumns(
