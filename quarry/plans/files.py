@@ -214,7 +214,8 @@ def snk_archive_round_trip(spark, sf_dir):
 @query("SELECT lang AS archive, count(*) AS members FROM documents GROUP BY lang")
 def snk_archive_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("string").alias("m"), F.encode("text", "UTF-8").alias("c"))
-    return sinks.write_archives(docs, "lang", "m", "c", shared_folder(spark, "archives")).select("archive", "members")
+    written = sinks.write_archives(docs, "lang", "m", "c", shared_folder(spark, "archives"))
+    return written.groupBy("archive").agg(F.sum("members").alias("members"))
 
 
 @query("SELECT conv_id || '.sgml.zst' AS member, sha1(string_agg(text, '|' ORDER BY turn)) AS sha1 FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id || '.out.md.zst', sha1('# ' || conv_id) FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id || '.out.' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 2, '0') || '.md.zst', sha1(text) FROM conversations")

@@ -103,7 +103,7 @@ def snk_archive_format(spark, sf_dir):
     folder = shared_folder(spark, "archives")
     spark.dataSource.register(ArchiveSource)
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("archive"), F.col("doc_id").cast("string").alias("member"), F.encode("text", "UTF-8").alias("content"))
-    docs.repartition("archive").sortWithinPartitions("archive", "member").write.format("archive").mode("append").save(folder)
+    sinks.in_ranges(docs).sortWithinPartitions("archive", "member").write.format("archive").mode("append").save(folder)
     back = spark.read.format("archive").load(folder)
     of = F.regexp_extract("archive", r"([^/-]*)-[^/]*$", 1)
     return back.groupBy(of.alias("archive")).agg(F.count("*").alias("members"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))

@@ -135,3 +135,14 @@ def test_table_functions(spark):
     got = spark.sql("SELECT id, r.kind, r.position, r.fields['rptowner_cik'] AS cik FROM files, LATERAL document_rows(content, form) r ORDER BY id, kind").collect()
     assert [tuple(r) for r in got] == [(1, "reporting_owner", 1, "7"), (1, "signature", 1, None), (1, "submission", 1, None), (2, "error", 1, None), (4, "error", 1, None)]
     assert spark.sql("SELECT * FROM files, LATERAL holdings_rows(content) r WHERE id = 2").first().kind == "error"
+
+
+def test_a_large_archive_is_several_tars(spark, tmp_path):
+    """One archive used to pass through one task, however large."""
+    rows = spark.range(4000).select(F.lit("x").alias("archive"), F.lpad(F.col("id").cast("string"), 5, "0").alias("member"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    folder = f"file://{tmp_path}/out"
+    done = sinks.write_archives(rows, "archive", "member", "content", folder, parts=4).collect()
+    assert {r.archive for r in done} == {"x"} and sum(r.members for r in done) == 4000
+    assert len(done) > 2 and max(r.members for r in done) < 2000
+    back = {r.member: bytes(r.content) for r in spark.read.format("archive").load(folder).collect()}
+    assert back == {f"{i:05d}": str(i).encode() for i in range(4000)}
