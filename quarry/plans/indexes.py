@@ -71,9 +71,8 @@ def sea_many_terms(spark, sf_dir):
 @query(f"SELECT lang, term, CAST(sum(count) AS BIGINT) AS count, count(*) AS documents FROM (SELECT lang, term, {COUNTED.format('lower(text)', 'lower(term)')} AS count FROM documents, {MANY_ROWS}) WHERE count > 0 GROUP BY lang, term")
 def sea_terms_by_group(spark, sf_dir):
     """Terms whatever their case, summed by language."""
-    docs = table(spark, sf_dir, "documents")
-    found = search.term_counts(docs, "doc_id", "text", MANY, case_sensitive=False)
-    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("count").alias("count"), F.count("*").alias("documents"))
+    found = search.term_counts(table(spark, sf_dir, "documents"), "lang", "text", MANY, case_sensitive=False)
+    return found.groupBy("lang", "term").agg(F.sum("count").alias("count"), F.count("*").alias("documents"))
 
 
 # Archives -----------------------------------------------------------------------------

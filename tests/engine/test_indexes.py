@@ -146,3 +146,12 @@ def test_a_large_archive_is_several_tars(spark, tmp_path):
     assert len(done) > 2 and max(r.members for r in done) < 2000
     back = {r.member: bytes(r.content) for r in spark.read.format("archive").load(folder).collect()}
     assert back == {f"{i:05d}": str(i).encode() for i in range(4000)}
+
+
+def test_terms_by_group_reads_documents_once(spark):
+    """Counts used to be joined to the documents again for their language."""
+    from quarry.plans import registry
+
+    rows = registry.queries()["sea_terms_by_group"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan
