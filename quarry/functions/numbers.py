@@ -29,9 +29,14 @@ def is_numeric_like(c: Column | str) -> Column:
 def canonical_number(c: Column | str) -> Column:
     """Shortest decimal form: no point for whole numbers, no trailing zeros."""
     s = without_commas(c)
-    d = s.try_cast("decimal(38,10)").cast("string")
+    return F.when(s.rlike(NUMERIC), shortest(s)).otherwise(s)
+
+
+def shortest(digits: Column) -> Column:
+    """The same of a text that is known to be a number without commas."""
+    d = digits.try_cast("decimal(38,10)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(d, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(s.rlike(NUMERIC), F.regexp_replace(plain, "^-0$", "0")).otherwise(s)
+    return F.regexp_replace(plain, "^-0$", "0")
 
 
 def plain_float(c: Column | str, places: int = 10) -> Column:

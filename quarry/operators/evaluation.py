@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -46,7 +46,10 @@ def flatten_json(records: pd.Series) -> pd.Series:
 
 def long_form(df: DataFrame, key: str, record: str) -> DataFrame:
     """A JSON record per row to ``(key, field, value)`` rows."""
-    return df.select(key, F.explode(flatten_json(record)).alias("field", "value"))
+    # What follows is dear and a small file is one task's, so records are dealt by
+    # key first; what groups by key and field then needs no shuffle of its own.
+    dealt = df.select(key, F.col(record).alias("_r")).repartition(key)
+    return dealt.select(key, F.explode(flatten_json("_r")).alias("field", "value"))
 
 
 def canonical_key(c: Column | str) -> Column:
@@ -71,12 +74,16 @@ def without_index(c: Column | str) -> Column:
 
 def normal_value(key: Column | str, value: Column | str) -> Column:
     """A value made comparable, by the kind of field it stands in."""
-    k, v = T.col(key), T.strip(value)
-    low = T.strip(T.collapse(F.lower(v)))
+    v = T.strip(value)
+    return _normal(T.col(key), v, T.collapse(F.lower(v)), N.without_commas(v))
+
+
+def _normal(k: Column, v: Column, low: Column, digits: Column) -> Column:
+    """The same of a stripped value, its lower-case form and its form without commas."""
     is_state = (F.contains(k, F.lit("_state")) | F.endswith(k, F.lit("state"))) & ~F.contains(k, F.lit("state_description"))
     return (
         F.when(F.contains(F.lower(k), F.lit("_cik")), F.lower(T.zfill(v)))
-        .when(N.is_numeric_like(v), N.canonical_number(v))
+        .when(digits.rlike(N.NUMERIC), N.shortest(digits))
         .when(F.startswith(k, F.lit("footnotes_")) | (k == "remarks"), low)
         .when(F.contains(k, F.lit("signature_name")), T.strip(T.signer(low)))
         .when(is_state, T.strip(T.drop_punctuation(V.state_code(F.regexp_replace(low, r"[^a-z\s]", "")))))
@@ -107,15 +114,23 @@ def comparable(rows: DataFrame) -> DataFrame:
     )
     rest = rows.where(~is_ref)
     known = rest.unionByName(refs).where(~V.is_nullish("value"))
-    value = F.when(F.endswith("field", F.lit("_fn")), F.col("value")).otherwise(normal_value("field", "value"))
-    return known.select("key", canonical_key("field").alias("field"), value.alias("value"))
+    # Columns of their own, so that what several rules read is made once a row.
+    forms = known.withColumn("_v", T.strip("value")).withColumns({"_low": T.collapse(F.lower("_v")), "_digits": F.replace("_v", F.lit(","), F.lit(""))})
+    value = F.when(F.endswith("field", F.lit("_fn")), F.col("value")).otherwise(_normal(*map(F.col, ("field", "_v", "_low", "_digits"))))
+    return forms.select("key", canonical_key("field").alias("field"), value.alias("value"))
 
 
 def with_streets(rows: DataFrame) -> DataFrame:
     """An owner's two street lines as one more, order-insensitive, field."""
-    parts = rows.select("key", F.regexp_extract("field", r"^(reporting_owners_\d+)_street[12]$", 1).alias("o"), T.strip("value").alias("value"))
-    both = parts.where("o <> '' AND value <> ''").groupBy("key", "o").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("value"))
-    return rows.unionByName(both.select("key", F.concat("o", F.lit("_street_combined")).alias("field"), "value"))
+    # One pass over the rows: a window of each owner's street lines, whose first row
+    # brings the joined field with it.
+    of = F.regexp_extract("field", r"^(reporting_owners_\d+)_street[12]$", 1)
+    parts = rows.withColumn("_o", of).withColumn("_p", F.when(F.col("_o") != "", F.nullif(T.strip("value"), F.lit(""))))
+    owner = Window.partitionBy("key", "_o")
+    both = parts.select("key", "field", "value", "_o", F.collect_list("_p").over(owner).alias("_ps"), F.row_number().over(owner.orderBy("field", "value")).alias("_n"))
+    itself = F.struct("field", "value")
+    more = F.struct(F.concat("_o", F.lit("_street_combined")).alias("field"), F.array_join(F.array_sort("_ps"), "|").alias("value"))
+    return both.select("key", F.inline(F.when((F.col("_n") == 1) & (F.size("_ps") > 0), F.array(itself, more)).otherwise(F.array(itself))))
 
 
 def scored_fields(truth: DataFrame, found: DataFrame) -> DataFrame:
