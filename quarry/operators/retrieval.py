@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import cosine, embedded
+from .search import dot, embedded, norm
 
 #: What stands before raw text that takes the place of chunks, how much of it
 #: there is, and what stands for neither (fixed values).
@@ -20,17 +20,26 @@ def top_chunks(questions: DataFrame, chunks: DataFrame, k: int, *, scope: list[s
     each question among those with its values of ``scope`` (a filing, a company).
 
     Questions and chunks meet by scope alone, so a question is compared with its
-    filing's chunks and no others.  The best are taken by a ranking that keeps k of
-    each question in every task before rows are shuffled.  Ties go to the smaller
+    filing's chunks and no others.  Pairs are ids and a similarity: a chunk's own
+    columns are fetched for the k best alone, by its key and a hash of its columns.
+    The best are taken by a ranking that keeps k of each question in every task
+    before rows are shuffled.  Ties go to the smaller
     key; a question or chunk that is null in its scope meets none; one without a
     similarity is not found.  For questions to a whole table see ``vector_index``.
     """
-    asks = embedded(questions.select(question, *scope, F.col("question").alias("_text")), "_text", name, "_q").drop("_text")
-    rows = embedded(chunks, "content", name, "_v")
-    near = rows.join(asks, scope).withColumn("similarity", F.round(cosine(F.col("_v"), F.col("_q")), PLACES)).where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("similarity"), key))
-    best = near.withColumn("rank", place).where(F.col("rank") <= k)
-    return best.select(question, "rank", "similarity", *chunks.columns)
+    asks = embedded(questions.select(question, *scope, F.col("question").alias("_text")), "_text", name, "_q")
+    plain = [c for c, kind in chunks.dtypes if "map<" not in kind]  # maps have no hash
+    known = chunks.withColumn("_h", F.xxhash64(*plain))
+    rows = embedded(known.select(*dict.fromkeys([*scope, key]), "_h", "content"), "content", name, "_v")
+    sides = rows.withColumn("_vn", norm(F.col("_v"))).drop("content").join(asks.withColumn("_qn", norm(F.col("_q"))).drop("_text"), scope)
+    # What has no similarity ranks last and goes after ranking: a filter before it
+    # would compute each similarity again.
+    near = F.round(F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_vn") * F.col("_qn")), PLACES)
+    pairs = sides.select(question, *dict.fromkeys([*scope, key]), "_h", F.nanvl(near, F.lit(None)).alias("similarity"))
+    place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc_nulls_last("similarity"), key))
+    best = pairs.withColumn("rank", place).where((F.col("rank") <= k) & F.col("similarity").isNotNull())
+    found = best.join(known, [*dict.fromkeys([*scope, key]), "_h"]).dropDuplicates([question, "rank"])
+    return found.select(question, "rank", "similarity", *chunks.columns)
 
 
 def contexts(questions: DataFrame, hits: DataFrame, *, question: str = "question_id", form: str = "form_type", date: str = "date_filed", raw: str | None = None) -> DataFrame:
