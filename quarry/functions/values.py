@@ -63,7 +63,10 @@ def state_code(c: Column | str, table: dict[str, str] | None = None) -> Column:
     """A state's code for its name, and any other text as it is; a longer
     table (territories, countries) is a parameter."""
     codes = F.create_map(*(F.lit(x) for x in chain.from_iterable((table or STATES).items())))
-    return F.coalesce(F.try_element_at(codes, F.lower(strip(col(c)))), F.lower(strip(col(c))))
+    # A lambda, so that the text is made once; and a projection that has one is compiled
+    # in pieces, where whole-stage code may be one method too long for the JVM to compile.
+    name = F.array(F.lower(strip(col(c))))
+    return F.element_at(F.transform(name, lambda x: F.coalesce(F.try_element_at(codes, x), x)), 1)
 
 
 def comma_list(c: Column | str) -> Column:

@@ -47,7 +47,7 @@ def flatten_json(records: pd.Series) -> pd.Series:
 def long_form(df: DataFrame, key: str, record: str) -> DataFrame:
     """A JSON record per row to ``(key, field, value)`` rows."""
     # What follows is dear and a small file is one task's, so records are dealt by
-    # key first; what groups by key and field then needs no shuffle of its own.
+    # key first.
     dealt = df.select(key, F.col(record).alias("_r")).repartition(key)
     return dealt.select(key, F.explode(flatten_json("_r")).alias("field", "value"))
 
@@ -55,17 +55,28 @@ def long_form(df: DataFrame, key: str, record: str) -> DataFrame:
 def canonical_key(c: Column | str) -> Column:
     """Field names with repeated parts taken once and generic derivative
     names spelled out.  The order of the steps matters."""
-    k = T.col(c)
+    return _last_repeats(_spelled_out(_first_repeats(T.col(c))))
+
+
+def _first_repeats(k: Column) -> Column:
     k = F.regexp_replace(k, r"^(\w+)_\1_", "$1_")
     k = F.regexp_replace(k, r"_rptowner_", "_")
     k = F.regexp_replace(k, r"_(\w+)_\1_", "_")
-    k = F.regexp_replace(k, r"(shares_owned|nature_of_ownership)_\1", "$1")
+    return F.regexp_replace(k, r"(shares_owned|nature_of_ownership)_\1", "$1")
+
+
+def _spelled_out(k: Column) -> Column:
     derived = F.startswith(k, F.lit("derivative_transactions"))
-    k = F.when(derived & F.endswith(k, F.lit("_price")), F.regexp_replace(k, "_price", "_conversion_or_exercise_price")).when(
+    return F.when(derived & F.endswith(k, F.lit("_price")), F.regexp_replace(k, "_price", "_conversion_or_exercise_price")).when(
         derived & F.endswith(k, F.lit("_shares")) & ~F.endswith(k, F.lit("_underlying_security_shares")),
         F.regexp_replace(k, "_shares", "_underlying_security_shares"),
     ).otherwise(k)
-    return F.regexp_replace(k, r"([a-z_]+?)_\1(?=_|$)", "$1")
+
+
+def _last_repeats(k: Column) -> Column:
+    # The replacement tries every length at every place; what it finds has a letter
+    # before one _ that stands at the end of a later part too, which is soon seen.
+    return F.when(k.rlike(r"([a-z_])_[a-z_]*\1(?=_|$)"), F.regexp_replace(k, r"([a-z_]+?)_\1(?=_|$)", "$1")).otherwise(k)
 
 
 def without_index(c: Column | str) -> Column:
@@ -115,9 +126,10 @@ def comparable(rows: DataFrame) -> DataFrame:
     rest = rows.where(~is_ref)
     known = rest.unionByName(refs).where(~V.is_nullish("value"))
     # Columns of their own, so that what several rules read is made once a row.
-    forms = known.withColumn("_v", T.strip("value")).withColumns({"_low": T.collapse(F.lower("_v")), "_digits": F.replace("_v", F.lit(","), F.lit(""))})
+    forms = known.withColumns({"_v": T.strip("value"), "_k": _first_repeats(F.col("field"))})
+    forms = forms.withColumns({"_low": T.collapse(F.lower("_v")), "_digits": F.replace("_v", F.lit(","), F.lit("")), "_k": _spelled_out(F.col("_k"))})
     value = F.when(F.endswith("field", F.lit("_fn")), F.col("value")).otherwise(_normal(*map(F.col, ("field", "_v", "_low", "_digits"))))
-    return forms.select("key", canonical_key("field").alias("field"), value.alias("value"))
+    return forms.select("key", _last_repeats(F.col("_k")).alias("field"), value.alias("value"))
 
 
 def with_streets(rows: DataFrame) -> DataFrame:
