@@ -126,7 +126,7 @@ def udf_lateral_rows(spark, sf_dir):
     table_functions.register_all(spark)
     return spark.sql(
         "SELECT acc, r.kind, r.position, coalesce(r.fields['security_title'], r.fields['rptowner_name'], r.fields['footnote_text'], r.fields['signature_name'], r.fields['issuer_name'], r.fields['reason']) AS title, "
-        "try_cast(r.fields['shares_owned_following_transaction'] AS double) AS shares FROM {forms}, LATERAL ownership_rows(content) r",
+        "try_cast(r.fields['shares_owned_following_transaction'] AS double) AS shares FROM {forms} LATERAL VIEW inline(ownership_list(content)) r AS kind, position, fields",
         forms=forms._forms(spark, sf_dir).withColumn("content", F.col("content").cast("string")),
     )
 
